@@ -69,7 +69,7 @@ def store(feedback: DataFrame, prs: DataFrame) -> tuple[DataFrame, DataFrame]:
         "id",
         F.coalesce(
             "id",
-            F.concat_ws("_", "pr_id", "analysis_result_id", F.unix_micros("ts").cast("string")),
+            F.concat_ws("_", "pr_id", "analysis_result_id", F.unix_micros(F.col("ts").cast("timestamp")).cast("string")),
         ),
     )
     w = Window.partitionBy("id").orderBy(F.col("ts").desc(), "reviewer", "feedback_type")
