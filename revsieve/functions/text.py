@@ -14,18 +14,27 @@ OPEN, CLOSE = "﷐", "﷑"
 DIFF_HEADERS = ("---", "+++", "@@", "diff")
 
 
-def any_of(col: Column, words: Iterable[str]) -> Column:
-    return reduce(lambda a, b: a | b, [col.contains(w) for w in words])
+def sql_text(value: str) -> str:
+    """A Python string as a SQL literal."""
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def none_of(col: Column, words: Iterable[str]) -> Column:
+def any_of(col: Column | str, words: Iterable[str]) -> Column:
+    """Whether a text holds one of the words; a column name is built in one call."""
+    if isinstance(col, str):
+        return F.expr(" OR ".join(f"contains({col}, {sql_text(w)})" for w in words))
+    first, *others = [col.contains(w) for w in words]
+    return reduce(lambda a, b: a | b, others, first)
+
+
+def none_of(col: Column | str, words: Iterable[str]) -> Column:
     return ~any_of(col, words)
 
 
-def occurrences(col: Column, needle: str) -> Column:
-    """Non-overlapping occurrences of a literal."""
-    removed = F.length(col) - F.length(F.replace(col, F.lit(needle), F.lit("")))
-    return (removed / len(needle)).cast("int")
+def occurrences(col: str, needle: str) -> Column:
+    """Non-overlapping occurrences of a literal in the named column."""
+    n = len(needle)
+    return F.expr(f"CAST((length({col}) - length(replace({col}, {sql_text(needle)}, ''))) / {n} AS INT)")
 
 
 def strip(col: Column) -> Column:

@@ -10,12 +10,12 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterable
 from dataclasses import dataclass, field, replace
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from revsieve.functions import scoring
+from revsieve.functions.text import sql_text
 
 
 @dataclass(frozen=True)
@@ -201,6 +201,12 @@ LINE_RULE_WORDS = {
 MAX_FEEDBACK_LIFT = 0.1
 
 
+def _literal(value) -> str:
+    if isinstance(value, str):
+        return sql_text(value)
+    return f"{value!r}D" if isinstance(value, float) else repr(value)
+
+
 def line_rule(name, pattern, category, priority, confidence, message, suggestion) -> Rule:
     return Rule(
         name, "pattern", category, priority, confidence, message,
@@ -246,11 +252,17 @@ class RuleBook:
 
     # -- column lookups -----------------------------------------------------
 
-    def lookup(self, attr, rule_no: Column | None = None) -> Column:
-        """Constant of the row's rule, as an indexed literal array."""
+    def values(self, attr) -> str:
+        """SQL array literal with one value per rule."""
         get = attr if callable(attr) else lambda r: getattr(r, attr)
-        values = F.array(*[F.lit(get(r)) for r in self.rules])
-        return F.element_at(values, F.col("rule_no") if rule_no is None else rule_no)
+        return "array(" + ", ".join(_literal(get(r)) for r in self.rules) + ")"
+
+    def lookup(self, attr) -> Column:
+        """Constant of the row's rule, as an indexed literal array.
+
+        Given as SQL text: one call builds the whole array.
+        """
+        return F.expr(f"element_at({self.values(attr)}, rule_no)")
 
     def signature(self) -> Column:
         """Number shared by rules that agree on category and first 50 title characters."""
@@ -291,28 +303,25 @@ class RuleBook:
     def describe(self, findings: DataFrame) -> DataFrame:
         """Attach everything a rule says: texts, metadata and the finding id."""
 
-        def filled(rule: Rule) -> Column:
+        def filled(rule: Rule) -> str:
             pieces, rest = [], rule.description
             while "{" in rest:
                 head, rest = rest.split("{", 1)
                 token, rest = rest.split("}", 1)
-                pieces += [F.lit(head), F.col("file_path" if token == "path" else "arg")]
-            return F.concat(*pieces, F.lit(rest))
+                pieces += [_literal(head), "file_path" if token == "path" else "arg"]
+            return "concat(" + ", ".join([*pieces, _literal(rest)]) + ")"
 
-        def static(rule: Rule) -> Column:
-            pairs = [F.lit(x) for kv in rule.metadata.items() for x in kv]
+        def noted(rule: Rule) -> str:
+            pairs = [_literal(x) for kv in rule.metadata.items() for x in kv]
             if rule.rule_id == "missing_tests":
-                pairs += [F.lit("file_path"), F.col("file_path")]
+                pairs += ["'file_path'", "file_path"]
             if rule.arg_key:
-                pairs += [F.lit(rule.arg_key), F.col("arg")]
-            return F.create_map(*pairs).cast("map<string,string>")
+                pairs += [_literal(rule.arg_key), "arg"]
+            return f"map({', '.join(pairs)})"
 
-        def per_rule(build, default) -> Column:
-            return reduce(
-                lambda acc, i: acc.when(F.col("rule_no") == i, build(self.rules[i - 1])),
-                range(2, len(self.rules) + 1),
-                F.when(F.col("rule_no") == 1, build(self.rules[0])),
-            ).otherwise(default)
+        def per_rule(build) -> Column:
+            cases = [f"WHEN {i} THEN {build(r)}" for i, r in enumerate(self.rules, 1)]
+            return F.expr(f"CASE rule_no {' '.join(cases)} END")
 
         return findings.withColumns({
             "rule_id": self.lookup("rule_id"),
@@ -321,9 +330,9 @@ class RuleBook:
             "priority": self.lookup("priority"),
             "line_end": F.col("line_start"),
             "title": self.lookup("title"),
-            "description": per_rule(filled, F.lit(None).cast("string")),
+            "description": per_rule(filled),
             "suggestion": self.lookup("suggestion"),
-            "metadata": per_rule(static, F.lit(None).cast("map<string,string>")),
+            "metadata": per_rule(noted),
             "analysis_result_id": self.finding_id(),
             "confidence_level": scoring.confidence_level(F.col("confidence")),
         })

@@ -113,5 +113,5 @@ def missing_tests(
         F.col("changes").cast("string").alias("arg"),
         F.lit(None).cast("string").alias("code_snippet"),
         F.lit(0).alias("match_ord"),
-        book.lookup("confidence", F.lit(no)).alias("confidence"),
+        F.lit(book.rules[no - 1].confidence).alias("confidence"),
     )

@@ -7,7 +7,9 @@ narrow finding rows move on.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from revsieve.functions.text import (
@@ -59,79 +61,106 @@ def _no_arg() -> Column:
     return F.lit(None).cast("string")
 
 
-def _file_conditions() -> dict[str, tuple[Column, Column]]:
-    """Rule id to (predicate, value shown in the finding).
+def _file_conditions() -> dict[str, Callable[[], tuple]]:
+    """Rule id to a builder of (predicate, value shown in the finding).
 
     Reads the columns prepared by ``_prepared``: ``d``/``dl`` the text and its lower
     case, ``pl`` the lower-case path, and the shared counts.
     """
     d, dl, pl, language = F.col("d"), F.col("dl"), F.col("pl"), F.col("language")
     loops, methods, functions = F.col("loops"), F.col("methods"), F.col("functions")
-    some_loop = loops > 0
 
-    sensitive = F.when(dl.contains(SENSITIVE_WORDS[0]), SENSITIVE_WORDS[0])
-    for word in SENSITIVE_WORDS[1:]:
-        sensitive = sensitive.when(dl.contains(word), word)
+    def sensitive() -> Column:
+        cases = [f"WHEN contains(dl, '{w}') THEN '{w}'" for w in SENSITIVE_WORDS]
+        return F.expr(f"CASE {' '.join(cases)} END")
 
-    in_controller = any_of(pl, CONTROLLER_PATHS) & any_of(dl, CONTROLLER_FORBIDDEN)
-    in_model = any_of(pl, MODEL_PATHS) & any_of(dl, MODEL_FORBIDDEN)
-    violations = F.concat_ws(
-        ", ", F.when(in_controller, CONTROLLER_VIOLATION), F.when(in_model, MODEL_VIOLATION)
-    )
-    shown = {
-        "sensitive_data": sensitive,
-        "separation_of_concerns": F.lit(ALL_CONCERNS),
-        "large_change": F.col("changes").cast("string"),
-        "interface_segregation": methods.cast("string"),
-        "layer_violation": violations,
-        "god_object": functions.cast("string"),
-        "nested_loops": loops.cast("string"),
-        "hot_path_loop": loops.cast("string"),
-    }
-    conditions = {
-        "sql_injection": (pl.contains("sql") | (language == "sql"))
-        & any_of(F.upper(d), ("SELECT", "INSERT"))
-        & any_of(d, SQL_FORMATTING),
-        "xss": language.isin(*MARKUP_LANGUAGES)
-        & d.contains("innerHTML")
-        & none_of(dl, ("sanitize",)),
-        "auth_bypass": any_of(dl, ENDPOINT_WORDS)
-        & none_of(d, ("@require_auth", "@login_required"))
-        & none_of(dl, ("public", "open")),
-        "sensitive_data": any_of(dl, LOGGING_WORDS) & sensitive.isNotNull(),
-        "separation_of_concerns": any_of(dl, DATABASE_WORDS)
-        & any_of(dl, API_WORDS)
-        & any_of(dl, BUSINESS_WORDS),
-        "large_change": F.col("changes") > LARGE_CHANGE,
-        "dependency_injection": language.isin(*INJECTION_LANGUAGES)
-        & any_of(d, DIRECT_INSTANTIATION)
-        & none_of(d, ("__init__",)),
-        "interface_segregation": language.isin(*INTERFACE_LANGUAGES)
-        & (methods > MAX_INTERFACE_METHODS)
-        & any_of(dl, INTERFACE_WORDS),
-        "layer_violation": in_controller | in_model,
-        "singleton": dl.contains("singleton") & dl.contains("getinstance"),
-        "god_object": functions > MAX_FUNCTIONS,
-        "n_plus_one": any_of(dl, ("for", "while")) & any_of(dl, QUERY_WORDS),
-        "nested_loops": loops >= 2,
-        "missing_index": dl.contains("where") & none_of(dl, ("index",)),
-        "hot_path_loop": any_of(pl, HOT_PATHS) & some_loop,
-        "blocking_io": any_of(dl, ASYNC_WORDS) & any_of(dl, BLOCKING_WORDS),
-        "no_pagination": any_of(dl, FETCH_ALL_WORDS) & none_of(dl, PAGING_WORDS),
-        "nested_comprehension": dl.contains("for ")
-        & dl.contains("in ")
-        & (occurrences(dl, "[") > 2),
-        "string_concat_loop": some_loop
-        & (
-            dl.contains("+=")
-            | dl.contains(
-                F.concat(F.lit("= "), F.substring_index("file_path", ".", -1), F.lit(" +"))
-            )
+    def in_controller() -> Column:
+        return any_of("pl", CONTROLLER_PATHS) & any_of("dl", CONTROLLER_FORBIDDEN)
+
+    def in_model() -> Column:
+        return any_of("pl", MODEL_PATHS) & any_of("dl", MODEL_FORBIDDEN)
+
+    def violations() -> Column:
+        return F.concat_ws(
+            ", ", F.when(in_controller(), CONTROLLER_VIOLATION), F.when(in_model(), MODEL_VIOLATION)
+        )
+
+    def assigned_extension() -> Column:
+        ext = F.substring_index("file_path", ".", -1)
+        return dl.contains(F.concat(F.lit("= "), ext, F.lit(" +")))
+
+    return {
+        "sql_injection": lambda: (
+            (pl.contains("sql") | (language == "sql"))
+            & any_of(F.upper(d), ("SELECT", "INSERT"))
+            & any_of("d", SQL_FORMATTING),
+            None,
+        ),
+        "xss": lambda: (
+            language.isin(*MARKUP_LANGUAGES)
+            & d.contains("innerHTML")
+            & none_of("dl", ("sanitize",)),
+            None,
+        ),
+        "auth_bypass": lambda: (
+            any_of("dl", ENDPOINT_WORDS)
+            & none_of("d", ("@require_auth", "@login_required"))
+            & none_of("dl", ("public", "open")),
+            None,
+        ),
+        "sensitive_data": lambda: (
+            any_of("dl", LOGGING_WORDS) & any_of("dl", SENSITIVE_WORDS),
+            sensitive(),
+        ),
+        "separation_of_concerns": lambda: (
+            any_of("dl", DATABASE_WORDS) & any_of("dl", API_WORDS) & any_of("dl", BUSINESS_WORDS),
+            F.lit(ALL_CONCERNS),
+        ),
+        "large_change": lambda: (
+            F.col("changes") > LARGE_CHANGE,
+            F.col("changes").cast("string"),
+        ),
+        "dependency_injection": lambda: (
+            language.isin(*INJECTION_LANGUAGES)
+            & any_of("d", DIRECT_INSTANTIATION)
+            & none_of("d", ("__init__",)),
+            None,
+        ),
+        "interface_segregation": lambda: (
+            language.isin(*INTERFACE_LANGUAGES)
+            & (methods > MAX_INTERFACE_METHODS)
+            & any_of("dl", INTERFACE_WORDS),
+            methods.cast("string"),
+        ),
+        "layer_violation": lambda: (in_controller() | in_model(), violations()),
+        "singleton": lambda: (dl.contains("singleton") & dl.contains("getinstance"), None),
+        "god_object": lambda: (functions > MAX_FUNCTIONS, functions.cast("string")),
+        "n_plus_one": lambda: (any_of("dl", ("for", "while")) & any_of("dl", QUERY_WORDS), None),
+        "nested_loops": lambda: (loops >= 2, loops.cast("string")),
+        "missing_index": lambda: (dl.contains("where") & none_of("dl", ("index",)), None),
+        "hot_path_loop": lambda: ((loops > 0) & any_of("pl", HOT_PATHS), loops.cast("string")),
+        "blocking_io": lambda: (any_of("dl", ASYNC_WORDS) & any_of("dl", BLOCKING_WORDS), None),
+        "no_pagination": lambda: (
+            any_of("dl", FETCH_ALL_WORDS) & none_of("dl", PAGING_WORDS),
+            None,
+        ),
+        "nested_comprehension": lambda: (
+            dl.contains("for ") & dl.contains("in ") & (occurrences("dl", "[") > 2),
+            None,
+        ),
+        "string_concat_loop": lambda: (
+            (loops > 0) & (dl.contains("+=") | assigned_extension()),
+            None,
+        ),
+        "sequential_await": lambda: (
+            (loops > 0) & dl.contains("await") & none_of("dl", PARALLEL_AWAIT),
+            None,
+        ),
+        "missing_assertions": lambda: (
+            pl.contains("test") & none_of("dl", ("assert", "expect")),
+            None,
         ),
-        "sequential_await": dl.contains("await") & some_loop & none_of(dl, PARALLEL_AWAIT),
-        "missing_assertions": pl.contains("test") & none_of(dl, ("assert", "expect")),
     }
-    return {k: (cond, shown.get(k, _no_arg())) for k, cond in conditions.items()}
 
 
 def _prepared(diffs: DataFrame) -> DataFrame:
@@ -139,11 +168,11 @@ def _prepared(diffs: DataFrame) -> DataFrame:
         "pr_id", "file_ord", "file_path", "language", "status", "changes",
         F.coalesce("diff", F.lit("")).alias("d"),
     ).withColumns({"dl": F.lower("d"), "pl": F.lower("file_path")})
-    dl = F.col("dl")
+    # separate steps: Spark keeps them apart because later columns use them repeatedly
     return base.withColumns({
-        "loops": occurrences(dl, "for ") + occurrences(dl, "while "),
-        "methods": occurrences(dl, "def ") + occurrences(dl, "func "),
-    }).withColumn("functions", F.col("methods") + occurrences(dl, "function "))
+        "loops": occurrences("dl", "for ") + occurrences("dl", "while "),
+        "methods": occurrences("dl", "def ") + occurrences("dl", "func "),
+    }).withColumn("functions", F.col("methods") + occurrences("dl", "function "))
 
 
 def _hit(no: int, line: Column, arg: Column, snippet: Column, order: Column) -> Column:
@@ -155,12 +184,14 @@ def _hit(no: int, line: Column, arg: Column, snippet: Column, order: Column) ->
 
 def _file_hits(book: RuleBook, numbers: list[int]) -> Column | None:
     conditions = _file_conditions()
-    hits = [
-        F.when(cond, _hit(no, F.lit(1), arg, _no_arg(), F.lit(0)))
-        for no in numbers
-        for cond, arg in [conditions.get(book.rules[no - 1].rule_id, (None, None))]
-        if cond is not None
-    ]
+    hits = []
+    for no in numbers:
+        build = conditions.get(book.rules[no - 1].rule_id)
+        if build is None:
+            continue
+        condition, shown = build()
+        shown = _no_arg() if shown is None else shown
+        hits.append(F.when(condition, _hit(no, F.lit(1), shown, _no_arg(), F.lit(0))))
     return F.array_compact(F.array(*hits)) if hits else None
 
 
@@ -197,7 +228,7 @@ def _line_hits(book: RuleBook, numbers: list[int]) -> list[Column]:
             return F.when(l["text"].rlike(pattern), found).otherwise(none)
 
         # a plain word test on the whole text spares most files the regex
-        wanted = readable & any_of(F.col("dl"), words) if words else readable
+        wanted = readable & any_of("dl", words) if words else readable
         return F.when(wanted, F.flatten(F.transform("added", in_line))).otherwise(none)
 
     return [hits(no) for no in numbers if book.rules[no - 1].pattern]
@@ -249,8 +280,6 @@ def pair_imports(findings: DataFrame, book: RuleBook) -> DataFrame:
     narrow shuffle finds them without joining the diffs to themselves. Other
     findings pass through under a key of their own and are spread evenly.
     """
-    from pyspark.sql import Window
-
     no = book.by_id[CIRCULAR]
     edge = F.col("rule_no") == no
     src, dst = F.col("file_path"), F.col("arg")
