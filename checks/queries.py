@@ -203,6 +203,8 @@ def extract_imports(t):
 
 def _functions_sql(lang: str) -> str:
     rx, n = languages.FUNCTION_PATTERNS[lang]
+    if lang == "java":  # no look-around in this dialect
+        rx = r"(?:public|private|protected)?\s*(?:static)?\s*\w+\s+(\w+)\s*\("
     name = "coalesce(" + ", ".join(f"nullif(regexp_extract(piece, {R.q('^(?:' + rx + ')')}, {g}), '')" for g in range(1, n + 1)) + ")"
     return f"""SELECT pr_id, file_ord, {name} AS name, 1 + coalesce(list_sum(list_transform(pieces[1:i], lambda x: length(x) - length(replace(x, chr(10), '')))), 0) AS line
  FROM (SELECT pr_id, file_ord, pieces, unnest(pieces) AS piece, generate_subscripts(pieces, 1) - 1 AS i FROM (

@@ -25,21 +25,28 @@ MORE_EXTENSIONS = {
 ALL_EXTENSIONS = {**CORE_EXTENSIONS, **MORE_EXTENSIONS}
 
 # Function definitions per language (pattern, number of groups).
+# What they match is given; how is written so that long texts stay linear: where words
+# may precede the name, an attempt starts only where an earlier one could not have.
+_START = r"(?:(?<!\s)(?=\s)|(?<![\w\s]))"
+_TYPED = r"(?:(?:public|private|protected)|" + _START + r")\s*+(?:static\s*+)?\w+\s+(\w+)\s*\("
 FUNCTION_PATTERNS = {
     "python": (r"def\s+(\w+)\s*\([^)]*\)", 1),
     "javascript": (r"(?:function\s+(\w+)|const\s+(\w+)\s*=\s*(?:\([^)]*\)\s*=>|function))", 2),
     "typescript": (
-        r"(?:function\s+(\w+)|const\s+(\w+)\s*=\s*(?:\([^)]*\)\s*=>|function)|(\w+)\s*\([^)]*\)\s*:)", 3),
-    "java": (r"(?:public|private|protected)?\s*(?:static)?\s*\w+\s+(\w+)\s*\(", 1),
+        r"(?:function\s+(\w+)|const\s+(\w+)\s*=\s*(?:\([^)]*\)\s*=>|function)|(?<!\w)(\w+)\s*\([^)]*\)\s*:)", 3),
+    "java": (_TYPED, 1),
     "go": (r"func\s+(?:\([^)]*\)\s*)?(\w+)\s*\(", 1),
     "rust": (r"fn\s+(\w+)\s*\(", 1),
-    # words before the name are one character run: a repeated group would recurse per word
     "cpp": (r"(?:\w[\w\s]*\s)?(\w+)\s*\([^)]*\)\s*(?:const)?\s*\{", 1),
     "c": (r"(?:\w[\w\s]*\s)?(\w+)\s*\([^)]*\)\s*\{", 1),
-    "csharp": (r"(?:public|private|protected)?\s*(?:static)?\s*\w+\s+(\w+)\s*\(", 1),
+    "csharp": (_TYPED, 1),
     "ruby": (r"def\s+(\w+)", 1),
     "php": (r"function\s+(\w+)\s*\(", 1),
 }
+# The run of words before a name is tried from its first word only; the blanks before
+# that word are set aside, since the reported line is the one of the word.
+RUN_START = r"(?<![\w\s])(\s*+)"
+RUN_LANGUAGES = ("cpp", "c")
 # Import statements per language (pattern, number of groups).
 IMPORT_PATTERNS = {
     "python": (r"(?:from\s+(\S+)\s+import|import\s+(\S+))", 2),
@@ -75,14 +82,21 @@ def extract_imports(diff: Column, language: Column) -> Column:
     return _by_language(language, cases).otherwise(F.array().cast("array<string>"))
 
 
-def _functions(diff: Column, pattern: str, groups: int) -> Column:
+def _functions(diff: Column, lang: str) -> Column:
     """``array<struct<name,line>>``: bracket matches, then count newlines before each."""
-    marked = F.regexp_replace(diff, pattern, f"{OPEN}$0{CLOSE}")
+    pattern, groups = FUNCTION_PATTERNS[lang]
+    lead = lang in RUN_LANGUAGES
+    if lead:
+        pattern = f"{RUN_START}({pattern})"
+    marked = F.regexp_replace(diff, pattern, f"$1{OPEN}$2{CLOSE}" if lead else f"{OPEN}$0{CLOSE}")
     pieces = F.split(marked, OPEN, -1)
     breaks = F.transform(
         pieces, lambda p: F.length(p) - F.length(F.replace(p, F.lit("\n"), F.lit("")))
     )
-    names = [F.regexp_extract_all(diff, F.lit(pattern), F.lit(g)) for g in range(1, groups + 1)]
+    first = 3 if lead else 1
+    names = [
+        F.regexp_extract_all(diff, F.lit(pattern), F.lit(g)) for g in range(first, first + groups)
+    ]
 
     def build(piece: Column, i: Column) -> Column:
         name = F.coalesce(*[F.nullif(F.get(n, i - 1), F.lit("")) for n in names])
@@ -97,8 +111,7 @@ def _functions(diff: Column, pattern: str, groups: int) -> Column:
 
 
 def extract_functions(diff: Column, language: Column) -> Column:
-    cases = {l: _functions(diff, rx, n) for l, (rx, n) in FUNCTION_PATTERNS.items()}
-    return _by_language(language, cases).otherwise(
+    return _by_language(language, {l: _functions(diff, l) for l in FUNCTION_PATTERNS}).otherwise(
         F.array().cast("array<struct<name:string,line:int>>")
     )
 
