@@ -14,7 +14,7 @@ from revsieve.operators.catalog import LINE_RULES, RuleBook, line_rule, merge_ru
 from revsieve.operators.relational import missing_tests
 from revsieve.operators.scan import scan
 from revsieve.plans import review as rv
-from revsieve.plans.lineage import new_dir
+from revsieve.plans.lineage import cut, new_dir
 from revsieve.sources import readers, team
 from revsieve.streaming import counters, events, sinks
 
@@ -34,8 +34,9 @@ def issues_of(t):
 
 
 def edges_of(t):
+    """The stored edge table, written once per query."""
     numbers = t("prs").select("pr_id", "pr_number")
-    return hist.pr_file_edges(t("file_diffs")).join(numbers, "pr_id")
+    return cut(hist.pr_file_edges(t("file_diffs")).join(numbers, "pr_id"))
 
 
 def findings_of(t, minimum=0.0):

@@ -98,26 +98,32 @@ def common_file_counts(
         .agg(F.count("*").alias("hot_files"))
     )
 
-    # partners through rare files, with the number of hot files shared on top
-    other = rare.select(
-        "file_path", F.col("pr_id").alias("other_id"), F.col("pr_number").alias("other_number")
+    # partners through rare files, with the number of hot files shared on top; both hot
+    # sets ride along in the key, so only pairs that have two are looked up once more
+    named = rare.join(set_of, "pr_id", "left")
+    other = named.select(
+        "file_path", F.col("pr_id").alias("other_id"), F.col("pr_number").alias("other_number"),
+        F.col("set_id").alias("other_set"),
     )
     pairs = (
-        rare.select("file_path", "pr_id")
+        named.select("file_path", "pr_id", "set_id")
         .join(other, "file_path")
-        .groupBy("pr_id", "other_id", "other_number")
+        .groupBy("pr_id", "other_id", "other_number", "set_id", "other_set")
         .agg(F.count("*").alias("rare_files"))
     )
-    other_set = set_of.select(F.col("pr_id").alias("other_id"), F.col("set_id").alias("other_set"))
-    with_hot = (
-        pairs.join(set_of, "pr_id", "left")
-        .join(other_set, "other_id", "left")
-        .join(set_overlap, ["set_id", "other_set"], "left")
-        .select(
-            "pr_id", "other_id", "other_number",
-            (F.col("rare_files") + F.coalesce("hot_files", F.lit(0))).alias("common_files"),
-        )
-    )
+    both_hot = F.col("set_id").isNotNull() & F.col("other_set").isNotNull()
+    columns = ["pr_id", "other_id", "other_number", "common_files"]
+    order = [F.col("common_files").desc(), F.col("other_number").desc(), F.col("other_id").asc()]
+    through_rare = [
+        pairs.filter(~both_hot).withColumn("common_files", F.col("rare_files")),
+        pairs.filter(both_hot).join(set_overlap, ["set_id", "other_set"], "left").withColumn(
+            "common_files", F.col("rare_files") + F.coalesce("hot_files", F.lit(0))
+        ),
+    ]
+    with_hot = top_per_key(
+        through_rare[0].select(*columns).unionByName(through_rare[1].select(*columns)),
+        ["pr_id"], order, limit, "_rn",
+    ).drop("_rn")
 
     # partners through hot files only: first members of every overlapping set
     members = top_per_key(sets, ["set_id"], _tie(), limit, "_rn").select(
@@ -139,12 +145,12 @@ def common_file_counts(
         .select("pr_id", F.inline("partners"))
     )
 
+    # a pair on both lists counts in full; its set-only row can never be among the first
     both = (
         with_hot.unionByName(through_sets)
         .groupBy("pr_id", "other_id", "other_number")
         .agg(F.max("common_files").alias("common_files"))
     )
-    order = [F.col("common_files").desc(), F.col("other_number").desc(), F.col("other_id").asc()]
     return top_per_key(both, ["pr_id"], order, limit, "overlap_rank")
 
 

@@ -14,6 +14,7 @@ from revsieve.operators.catalog import MAX_FEEDBACK_LIFT, Rule, RuleBook
 from revsieve.operators.ranking import MAX_RESULTS, MIN_CONFIDENCE, rank_findings
 from revsieve.operators.relational import missing_tests
 from revsieve.operators.scan import CIRCULAR, pair_imports, scan
+from revsieve.plans.lineage import cut
 
 
 @dataclass
@@ -95,7 +96,9 @@ def context(prs: DataFrame, diffs: DataFrame, as_of: Column, issues: DataFrame |
             days: int = hist.LOOK_BACK_DAYS, issues_by_repo: bool = True) -> dict[str, DataFrame]:
     """Everything history says about the pull requests at hand."""
     numbered = prs.select("pr_id", "pr_number")
-    edges = hist.pr_file_edges(diffs).join(numbered, "pr_id")
+    # the narrow edge table serves several look-ups: write it once instead of
+    # deriving it from the diffs for each of them
+    edges = cut(hist.pr_file_edges(diffs).join(numbered, "pr_id"))
     touched = hist.pr_file_edges(diffs, keep_removed=True)
     overlap = hist.related_by_files(edges).withColumnRenamed("overlap_rank", "method_rank")
     similar = hist.merge_similar(
