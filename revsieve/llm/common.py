@@ -21,3 +21,15 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def held_out(doc_id: Column, parts: int, part: int = 2) -> Column:
     """Whether crc32 of the id as text leaves the remainder ``part``; false for a null id."""
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(parts)) == part, F.lit(False))
+
+
+def pieces(batches, rows: int = 256):
+    """Arrow batches cut into short ones, so that what a task holds at once stays small."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, rows):
+            yield batch.slice(start, rows)
+
+
+def schema_with(df: DataFrame, *added: str) -> str:
+    """DDL of a table's columns followed by ``added`` ones."""
+    return ", ".join([*(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in df.schema.fields), *added])

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from revsieve.llm import sharding
+from revsieve.llm import bpe, sharding
 
 QUERIES = {
     "op1_rendezvous_shards": sharding.op1_rendezvous_shards,
+    "op4_prefix_bpe": bpe.op4_prefix_bpe,
 }
 ORACLE = {
     "op1_rendezvous_shards": sharding.OP1_SQL,
