@@ -33,3 +33,19 @@ def pieces(batches, rows: int = 256):
 def schema_with(df: DataFrame, *added: str) -> str:
     """DDL of a table's columns followed by ``added`` ones."""
     return ", ".join([*(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in df.schema.fields), *added])
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names for helper columns that the table doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    found = []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        found.append(name)
+    return found
+
+
+def columns(df: DataFrame) -> list[Column]:
+    return [F.col(f"`{c.replace('`', '``')}`") for c in df.columns]

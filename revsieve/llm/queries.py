@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from revsieve.llm import bpe, sharding
+from revsieve.llm import bpe, line_rules, sharding
 
 QUERIES = {
     "op1_rendezvous_shards": sharding.op1_rendezvous_shards,
     "op4_prefix_bpe": bpe.op4_prefix_bpe,
+    "op10_line_frequency_rules": line_rules.op10_line_frequency_rules,
 }
 ORACLE = {
     "op1_rendezvous_shards": sharding.OP1_SQL,
