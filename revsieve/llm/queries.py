@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from revsieve.llm import bpe, line_rules, sharding
+from revsieve.llm import bpe, line_rules, sharding, substring
 
 QUERIES = {
     "op1_rendezvous_shards": sharding.op1_rendezvous_shards,
     "op4_prefix_bpe": bpe.op4_prefix_bpe,
+    "op8_relative_lempel_ziv": substring.op8_relative_lempel_ziv,
     "op10_line_frequency_rules": line_rules.op10_line_frequency_rules,
 }
 ORACLE = {
     "op1_rendezvous_shards": sharding.OP1_SQL,
+    "op8_relative_lempel_ziv": substring.OP8_SQL,
 }
