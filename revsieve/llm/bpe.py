@@ -64,6 +64,7 @@ class Vocabulary:
         self.token = {i: t for t, i in (ids | self.special).items()}
         self.parts: dict[int, tuple[int, int, int]] = {}
         self.rank: dict[tuple[int, int], int] = {}
+        self.edges: tuple[dict, dict] = ({}, {})
         for rank, merge in enumerate(model["merges"]):
             a, b = merge if isinstance(merge, list) else merge.split(" ")
             pair = (ids[a], ids[b])
@@ -87,13 +88,15 @@ class Vocabulary:
 
     def _edge(self, token: int, side: int) -> list[tuple[int, int, int]]:
         """A token's parts along one edge: each with the ranks at which it comes and goes."""
-        spine, gone = [], 1 << 60
-        while True:
+        known = self.edges[side].get(token)
+        if known is None:
             made, *halves = self.parts.get(token, (-1,))
-            spine.append((token, made, gone))
-            if not halves:
-                return spine
-            token, gone = halves[side], made
+            known = [(token, made, 1 << 60)]
+            if halves:
+                (part, since, _), *rest = self._edge(halves[side], side)
+                known += [(part, since, made), *rest]
+            self.edges[side][token] = known
+        return known
 
     def first_join(self, left: int, right: int, before: int = 1 << 60) -> int | None:
         """Rank of a merge under ``before`` that joins the two tokens' parts across their border, if there is one.
@@ -116,7 +119,8 @@ class Encoder:
     def __init__(self, vocabulary: Vocabulary):
         self.v = vocabulary
         self.letters = byte_letters()
-        self.fits: dict[tuple[int, int], bool] = {}
+        self.start = max(vocabulary.token) + 1  # stands before the first token
+        self.fits: dict[int, bool] = {}
         self.done: dict[bytes, tuple[int, ...]] = {}
         names = "|".join(map(regex.escape, sorted(self.v.special, key=len, reverse=True)))
         self.specials = regex.compile(f"({names})") if names else None
@@ -125,36 +129,33 @@ class Encoder:
     def word(self, word: str) -> list[int]:
         """Ids of one word, given in byte letters."""
         text = word + END
-        last: list[tuple[int, int] | None] = [None] * (len(text) + 1)
-        last[0] = (-1, 0)
-        fits, pending, at = self.fits, [], -1
-        for end, match in chain(self.v.automaton.iter(text), [(len(text), None)]):
-            if end != at:
-                pending.sort(key=lambda m: -m[1])
-                for token, size in pending:
-                    before = last[at + 1 - size]
-                    if before is None:
-                        continue
-                    pair = (before[0], token)
-                    ok = before[0] < 0 or fits.get(pair)
-                    if ok is None:
-                        if len(fits) > KEPT:
-                            fits.clear()
-                        ok = fits[pair] = self.v.first_join(*pair) is None
-                    if ok:
-                        last[at + 1] = (token, size)
-                        break
-                pending, at = [], end
-            pending.append(match)
+        token = [-1] * (len(text) + 1)
+        size = token[:]
+        token[0], fits, scale = self.start, self.fits, self.start + 1
+        for end, (t, n) in self.v.automaton.iter(text):  # at each end, longer tokens first
+            end += 1
+            before = token[end - n]
+            if before < 0 or token[end] >= 0:
+                continue
+            pair = before * scale + t
+            ok = fits.get(pair)
+            if ok is None:
+                ok = fits[pair] = before == self.start or self.v.first_join(before, t) is None
+            if ok:
+                token[end], size[end] = t, n
+        if len(fits) > KEPT:
+            fits.clear()
         ids, at = [], len(text)
         while at:
-            token, size = last[at]
-            ids.append(token)
-            at -= size
+            ids.append(token[at])
+            at -= size[at]
         return ids[::-1]
 
     def words(self, text: str) -> list[str]:
         """Words of a text without blanks, in byte letters."""
+        if text.isascii():  # such characters stand for themselves, but for control characters
+            if text.isprintable():
+                return WORD.findall(text.lower())
         if max(text) <= "ɏ":
             found = WORD.findall(unicodedata.normalize("NFC", text).lower())
             return ["".join([self.letters[b] for b in w.encode()]) for w in found]
