@@ -98,7 +98,7 @@ def sketched(rows: DataFrame, k: int, count: int, pick: int) -> DataFrame:
                 words = (text or "").encode().split()
                 keys.append(hashlib.blake2b(b" ".join(words), digest_size=16).digest())
                 sizes.append(len(words))
-                found.append(sketches(kmers(known.of(words)[0], k), seeds, pick) if words else np.empty(0, np.int64))
+                found.append(sketches(kmers(known.high_of(words), k), seeds, pick) if words else np.empty(0, np.int64))
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[:2], pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), pa.array(found, pa.list_(pa.int64()))],
                 ["doc", "part", "words_key", "n", "sketches"])
@@ -141,7 +141,7 @@ def within(a: list, b: list, limit: int) -> bool:
 def classes(texts: list[str], k: int, similar: float) -> np.ndarray:
     """For each of the texts, the place of the first member of its class."""
     known = WordHashes(200_000)
-    hashes = [known.of(t.encode().split())[0] for t in texts]
+    hashes = [known.high_of(t.encode().split()) for t in texts]
     sets = [np.unique(kmers(h, k)) for h in hashes]
     sizes = np.array([len(s) for s in sets])
     lists: dict[int, list] = {}

@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from revsieve.llm import bpe, line_rules, near_copies, sharding, substring
+from revsieve.llm import bpe, decontaminate, line_rules, near_copies, sharding, substring
 
 QUERIES = {
     "op1_rendezvous_shards": sharding.op1_rendezvous_shards,
     "op4_prefix_bpe": bpe.op4_prefix_bpe,
+    "op6_containment_search": decontaminate.op6_containment_search,
     "op7_order_min_hash": near_copies.op7_order_min_hash,
     "op8_relative_lempel_ziv": substring.op8_relative_lempel_ziv,
     "op10_line_frequency_rules": line_rules.op10_line_frequency_rules,
 }
 ORACLE = {
     "op1_rendezvous_shards": sharding.OP1_SQL,
+    "op6_containment_search": decontaminate.OP6_SQL,
     "op8_relative_lempel_ziv": substring.OP8_SQL,
 }

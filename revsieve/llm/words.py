@@ -19,11 +19,11 @@ class WordHashes:
 
     def __init__(self, kept: int = 500_000):
         self.kept = kept
-        self.known: dict[bytes, tuple[int, int]] = {}
         self.high: dict[bytes, int] = {}
         self.low: dict[bytes, int] = {}
 
-    def of(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    def high_of(self, words: list[bytes]) -> np.ndarray:
+        """The first half of each word's hash."""
         if len(self.high) > self.kept:
             self.high.clear()
             self.low.clear()
@@ -31,11 +31,11 @@ class WordHashes:
             digest = hashlib.blake2b(w, digest_size=16).digest()
             self.high[w] = int.from_bytes(digest[:8], "little")
             self.low[w] = int.from_bytes(digest[8:], "little")
-        n = len(words)
-        return (
-            np.fromiter(map(self.high.__getitem__, words), np.uint64, n),
-            np.fromiter(map(self.low.__getitem__, words), np.uint64, n),
-        )
+        return np.fromiter(map(self.high.__getitem__, words), np.uint64, len(words))
+
+    def of(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Both halves."""
+        return self.high_of(words), np.fromiter(map(self.low.__getitem__, words), np.uint64, len(words))
 
 
 def joined(hashes: np.ndarray, size: int, half: int = 0) -> np.ndarray:
