@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from revsieve.llm import bpe, decontaminate, line_rules, near_copies, sharding, substring, surrogates
+from revsieve.llm import bpe, decontaminate, line_rules, near_copies, ppm, sharding, substring, surrogates
 
 QUERIES = {
     "op1_rendezvous_shards": sharding.op1_rendezvous_shards,
     "op2_keyed_surrogates": surrogates.op2_keyed_surrogates,
+    "op3_partial_matching": ppm.op3_partial_matching,
     "op4_prefix_bpe": bpe.op4_prefix_bpe,
     "op6_containment_search": decontaminate.op6_containment_search,
     "op7_order_min_hash": near_copies.op7_order_min_hash,
