@@ -32,7 +32,7 @@ from revsieve.plans.lineage import new_dir
 ship(__name__)
 
 ORDER = 5
-NODES = 1 << 19
+NODES = 1 << 21
 COMMON = 50_000
 BLOCK_BYTES = 100_000_000
 HELD_BYTES = 4_000_000
