@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from revsieve.llm import bpe, decontaminate, line_rules, near_copies, ppm, sharding, substring, surrogates
+from revsieve.llm import bpe, decontaminate, language, line_rules, near_copies, ppm, sharding, substring, surrogates
 
 QUERIES = {
     "op1_rendezvous_shards": sharding.op1_rendezvous_shards,
@@ -12,6 +12,7 @@ QUERIES = {
     "op6_containment_search": decontaminate.op6_containment_search,
     "op7_order_min_hash": near_copies.op7_order_min_hash,
     "op8_relative_lempel_ziv": substring.op8_relative_lempel_ziv,
+    "op9_marginal_unigrams": language.op9_marginal_unigrams,
     "op10_line_frequency_rules": line_rules.op10_line_frequency_rules,
 }
 ORACLE = {
