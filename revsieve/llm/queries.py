@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from revsieve.llm import bpe, decontaminate, language, line_rules, near_copies, ppm, sharding, substring, surrogates
+from revsieve.llm import bpe, decontaminate, language, line_rules, near_copies, ppm, ranking_quality, sharding, substring, surrogates
 
 QUERIES = {
     "op1_rendezvous_shards": sharding.op1_rendezvous_shards,
     "op2_keyed_surrogates": surrogates.op2_keyed_surrogates,
     "op3_partial_matching": ppm.op3_partial_matching,
     "op4_prefix_bpe": bpe.op4_prefix_bpe,
+    "op5_bradley_terry": ranking_quality.op5_bradley_terry,
     "op6_containment_search": decontaminate.op6_containment_search,
     "op7_order_min_hash": near_copies.op7_order_min_hash,
     "op8_relative_lempel_ziv": substring.op8_relative_lempel_ziv,
