@@ -1,21 +1,22 @@
 """Substring deduplication by relative Lempel-Ziv parsing against all documents with a smaller id.
 
 Every document is parsed into factors: runs of words that some earlier document holds too, and single words. A factor
-counts from ``SIZE`` words on. The reference, all documents, is indexed in blocks by hash, so that a parse meets only
-those of its parts that the index says occur elsewhere.
-
-1. *Anchors.* Any ``SIZE`` words in a row have one anchor, the pair of words with the longest first word (then the
-   least hash) among its pairs. Equal windows have equal anchors. One pass over the texts stores each document's anchors;
-   those that only one document has are dropped by counting.
-2. *Pieces.* A second pass, over documents with shared anchors, gives for each anchor the stretch of words of its windows,
-   hashed to 128 bits, and the windows' hashes. The first document of each piece is its reference: the piece is a factor
-   in all later ones.
-3. *Factor boundaries.* Where an anchor has several pieces, a factor ends inside a piece. There, windows of each piece's
-   first document are looked up one by one among the windows of the anchor's other pieces, so no shared window is lost.
+counts from ``SIZE`` words on. The reference, all documents, is indexed in blocks by hash, and a parse meets the parts
+of the index that hold its own pieces.
+
+1. *Pieces.* Any ``SIZE`` words in a row have one anchor: the first of their word runs of length ``GRAM`` by the length, then
+   the hash, of its first word. The words of neighbouring windows with one anchor are a piece. Equal windows have equal anchors,
+   and a run of words shared by two documents consists of equal pieces, but for its ends.
+2. *Index blocks.* Pieces go to the block of their anchor. The first document of each piece is its reference, and the piece
+   is a factor in all later documents.
+3. *Factor boundaries.* Where an anchor has several pieces, a factor ends inside a piece. The windows of each such piece's first
+   document are looked up one by one, in a second index of windows, so no shared window is lost.
 4. Each document's factors are put together, and the words that they cover are removed.
 
-Shuffles carry anchors and pieces; all groups are pre-aggregated to a count or a least id, never listed. Texts are
-shuffled once (step 2). The factors of documents that lose words are broadcast only if their counted rows are few.
+A task compares its own documents before it sends anything: of equal pieces (windows), only that of the least id goes into
+the shuffle, so a passage in a third of all documents costs one entry a task, and no group is listed anywhere. Entries are
+packed by block, 128 bits of hash each. The number of blocks follows the size of the texts. Texts are shuffled only if the pieces
+of step 3 or the factors of step 4 take more than ``BROADCAST_BYTES``, which is counted before.
 
 Defined cases: null, empty and short texts have no windows; a null id comes before all others; documents of equal id are
 not references of each other; other columns are left alone.
@@ -23,11 +24,10 @@ not references of each other; other columns are left alone.
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+import zstandard
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from revsieve.llm.common import documents, pieces, ship
@@ -37,25 +37,16 @@ from revsieve.plans.lineage import new_dir
 ship(__name__)
 
 SIZE = 13
-GRAM = 2
-BROADCAST_ROWS = 200_000
+GRAM = 3
+BROADCAST_BYTES = 64_000_000
+BLOCK_BYTES = 100_000_000
+HELD = 300_000
 NO_ID = -(2**63)
-
-
-def anchors_of(words: list[bytes], hashes: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of each pair of words, and for each window the place of its anchor."""
-    grams = stirred(joined(hashes, GRAM))
-    lengths = np.minimum(np.fromiter(map(len, words), np.int64, len(words))[: len(grams)], 15).astype(np.uint64)
-    order = ((np.uint64(15) - lengths) << np.uint64(60)) | (grams >> np.uint64(4))
-    span = size - GRAM + 1  # pairs in a window
-    best = np.arange(len(grams))
-    width = 1
-    while width < span:
-        step = min(width, span - width)
-        left, right = best[:-step], best[step:]
-        best = np.where(order[right] < order[left], right, left)
-        width += step
-    return grams, best
+PLACE = np.uint64((1 << 28) - 1)
+#: One piece or window: two hashes, its document (id and checksum of the text), first window, number of windows, and the
+#: document that it refers to, which is its own if none is known.
+ENTRY = [("a", np.uint64), ("b", np.uint64), ("doc", np.int64), ("part", np.int64), ("start", np.int32), ("n", np.int32), ("ref", np.int64)]
+FOUND = "doc bigint, part bigint, start int, n int, reference bigint, several boolean"
 
 
 def written(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
@@ -65,96 +56,169 @@ def written(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
 
 
 def keyed(df: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """Id, a hash of the text to tell rows of equal id apart, and the text."""
+    """Id, a checksum of the text to tell rows of equal id apart, and the text."""
     t = F.col(f"`{text}`")
     return df.select(
-        F.coalesce(F.col(f"`{doc_id}`").cast("bigint"), F.lit(NO_ID)).alias("doc"), F.xxhash64(t).alias("part"), t.alias("text"),
+        F.coalesce(F.col(f"`{doc_id}`").cast("bigint"), F.lit(NO_ID)).alias("doc"), F.crc32(F.coalesce(t, F.lit("")).cast("binary")).alias("part"),
+        t.alias("text"),
     )
 
 
-def anchor_rows(rows: DataFrame, size: int) -> DataFrame:
-    def run(batches):
-        known = WordHashes()
-        for batch in pieces(batches):
-            found = []
-            for text in batch.column(2).to_pylist():
-                words = (text or "").encode().split()
-                if len(words) < size:
-                    found.append(np.empty(0, np.int64))
-                    continue
-                grams, best = anchors_of(words, known.of(words)[0], size)
-                found.append(np.unique(grams[best]).view(np.int64))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(found, pa.list_(pa.int64()))], ["doc", "part", "anchors"])
-
-    return rows.mapInArrow(run, "doc bigint, part bigint, anchors array<bigint>").where(F.size("anchors") > 0)
-
-
-def piece_rows(rows: DataFrame, size: int) -> DataFrame:
-    """For each shared anchor in a text (column ``anchors``): the piece of text of its windows."""
-    kinds = [("anchor", pa.int64()), ("high", pa.int64()), ("low", pa.int64()), ("doc", pa.int64()), ("part", pa.int64()),
-             ("start", pa.int32()), ("n", pa.int32()), ("windows", pa.binary())]
-
-    def of_text(known, text, shared):
-        words = text.encode().split()
-        high, low = known.of(words)
-        grams, best = anchors_of(words, high, size)
-        cuts = np.flatnonzero(np.diff(best)) + 1
-        starts = np.concatenate([[0], cuts])
-        ends = np.concatenate([cuts, [len(best)]])  # windows [start, end) have one anchor
-        anchor = grams[best[starts]].view(np.int64)
-        mine = np.isin(anchor, shared)
-        anchor, starts, ends = anchor[mine], starts[mine], ends[mine]
-        windows = np.stack([joined(high, size), joined(low, size, 1)], axis=1)
-        blobs = [windows[a:b].tobytes() for a, b in zip(starts.tolist(), ends.tolist())]
-        digests = [hashlib.blake2b(b, digest_size=16).digest() for b in blobs]
-        pair = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
-        return anchor, pair[:, 0], pair[:, 1], starts.astype(np.int32), (ends - starts).astype(np.int32), blobs
+# -- pieces of one document -----------------------------------------------------------
 
-    def run(batches):
-        known = WordHashes()
-        for batch in pieces(batches, 64):
-            docs, parts, texts = (batch.column(i).to_pylist() for i in range(3))
-            shared = [np.array(x, np.int64) for x in batch.column(3).to_pylist()]
-            found = [of_text(known, t, s) for t, s in zip(texts, shared)]
-            counts = [len(f[0]) for f in found]
-            columns = [np.concatenate([f[i] for f in found]) for i in range(5)]
-            arrays = [*columns[:3], np.repeat(np.array(docs, np.int64), counts), np.repeat(np.array(parts, np.int64), counts), *columns[3:]]
-            arrays.append([b for f in found for b in f[5]])
-            yield pa.RecordBatch.from_arrays([pa.array(a, k) for a, (_, k) in zip(arrays, kinds)], [n for n, _ in kinds])
 
-    return rows.mapInArrow(
-        run, "anchor bigint, high bigint, low bigint, doc bigint, part bigint, start int, n int, windows binary")
+def anchors(words: list[bytes], hashes: np.ndarray, size: int) -> np.ndarray:
+    """For each window, the place of its anchor."""
+    lengths = np.minimum(np.fromiter(map(len, words), np.uint64, len(words)), np.uint64(15))
+    places = np.arange(len(words), dtype=np.uint64)
+    # long words first, then by hash; the place makes the first one of equal words the least
+    least = (((np.uint64(15) - lengths) << np.uint64(60)) | ((hashes >> np.uint64(36)) << np.uint64(32)) & ~PLACE | places)[: len(words) - GRAM + 1]
+    span, width = size - GRAM + 1, 1
+    while width < span:
+        step = min(width, span - width)
+        least = np.minimum(least[:-step], least[step:])
+        width += step
+    return (least & PLACE).astype(np.int64)
+
+
+def pieces_of(words: list[bytes], known: WordHashes, size: int):
+    """Anchor hash, piece hash, first window and number of windows of a text's pieces."""
+    hashes = known.high_of(words)
+    at = anchors(words, hashes, size)
+    starts = np.concatenate([[0], np.flatnonzero(np.diff(at)) + 1])
+    ends = np.append(starts[1:], len(at))
+    anchor = stirred(joined(hashes, GRAM))[at[starts]]
+    windows = stirred(joined(hashes, size, 1))
+    inside = np.arange(len(windows)) - np.repeat(starts, ends - starts)
+    sums = np.add.reduceat(windows * (stirred(inside.astype(np.uint64)) | np.uint64(1)), starts)
+    return anchor, stirred(sums + (ends - starts).astype(np.uint64)), starts, ends - starts
+
+
+def windows_of(words: list[bytes], known: WordHashes, spans: list, size: int):
+    """Both hashes and the place of every window in the spans (first window, number of windows)."""
+    high, low = known.of(words)
+    at = np.unique(np.concatenate([np.arange(s["start"], s["start"] + s["n"]) for s in spans]))
+    return stirred(joined(high, size))[at], stirred(joined(low, size, 1))[at], at, np.ones(len(at), np.int32)
+
+
+# -- index blocks ---------------------------------------------------------------------
+
+
+def ranked(entries: dict[str, np.ndarray]) -> tuple[dict[str, np.ndarray], np.ndarray]:
+    """Entries in the order of hashes and documents, and for each the place of the first one of equal hashes."""
+    order = np.lexsort((entries["doc"], entries["b"], entries["a"]))
+    entries = {k: v[order] for k, v in entries.items()}
+    new = np.ones(len(order), bool)
+    new[1:] = (entries["a"][1:] != entries["a"][:-1]) | (entries["b"][1:] != entries["b"][:-1])
+    return entries, np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))
+
+
+def packed(entries: dict[str, np.ndarray], blocks: int):
+    """Rows (block, bytes) of a task's entries, after those that an earlier document of the task holds are marked."""
+    entries, first = ranked(entries)
+    entries["ref"] = entries["doc"][first]
+    block = (entries["a"] % np.uint64(blocks)).astype(np.int64)
+    order = np.argsort(block, kind="stable")
+    block, entries = block[order], {k: v[order] for k, v in entries.items()}
+    edges = np.flatnonzero(np.diff(block, prepend=-1, append=-1))
+    pack = zstandard.ZstdCompressor(level=1)
+    for low, high in zip(edges[:-1].tolist(), edges[1:].tolist()):
+        yield int(block[low]), pack.compress(b"".join(np.ascontiguousarray(entries[k][low:high], t).tobytes() for k, t in ENTRY))
+
+
+def unpacked(blobs: list[bytes]) -> dict[str, np.ndarray]:
+    unpack, width = zstandard.ZstdDecompressor(), sum(np.dtype(t).itemsize for _, t in ENTRY)
+    columns = {k: [] for k, _ in ENTRY}
+    for blob in blobs:
+        data, at = unpack.decompress(blob), 0
+        for k, t in ENTRY:
+            end = at + len(data) // width * np.dtype(t).itemsize
+            columns[k].append(np.frombuffer(data[at:end], t))
+            at = end
+    return {k: np.concatenate(v) for k, v in columns.items()}
+
+
+def looked_up(rows: DataFrame, entries_of, blocks: int) -> DataFrame:
+    """Every entry of the rows (doc, part, text, ...) that an earlier document holds, or that shares its first hash with others.
+
+    ``entries_of(row, known)`` gives the entries of one row.
+    """
+
+    def send(batches):
+        known, held, total = WordHashes(), [], 0
 
+        def flush():
+            entries = {k: np.concatenate([h[k] for h in held]) for k in held[0]}
+            found = list(packed(entries, blocks))
+            return pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int32()), pa.array([f[1] for f in found], pa.binary())], ["block", "data"])
+
+        for batch in pieces(batches):
+            for row in batch.to_pylist():
+                a, b, start, n = entries_of(row, known)
+                if len(a):
+                    held.append({"a": a, "b": b, "doc": np.full(len(a), row["doc"]), "part": np.full(len(a), row["part"]),
+                                 "start": start.astype(np.int32), "n": n.astype(np.int32)})
+                    total += len(a)
+            if total > HELD:
+                yield flush()
+                held, total = [], 0
+        if held:
+            yield flush()
+
+    def look_up(batches):
+        blobs = [b for batch in batches for b in batch.column(1).to_pylist()]
+        if not blobs:
+            return
+        every = unpacked(blobs)
+        local = every["ref"] != every["doc"]
+        heads, first = ranked({k: v[~local] for k, v in every.items()})
+        reference = heads["doc"][first]
+        kinds = first == np.arange(len(first))  # one for each pair of hashes
+        run = np.cumsum(np.diff(heads["a"], prepend=heads["a"][:1] + np.uint64(1)) != 0) - 1
+        several = np.bincount(run, weights=kinds)[run] > 1 if len(run) else kinds
+        later = heads["doc"] > reference
+        keep = later | several
+        done = {k: np.concatenate([v[local], heads[k][keep]]) for k, v in every.items() if k not in ("a", "b", "ref")}
+        refs = np.concatenate([every["ref"][local], reference[keep]])
+        open_ends = np.concatenate([np.zeros(local.sum(), bool), ~later[keep]])
+        for low in range(0, len(refs), 100_000):
+            part = slice(low, low + 100_000)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(done[k][part]) for k in ("doc", "part", "start", "n")] + [pa.array(refs[part]), pa.array(open_ends[part])],
+                ["doc", "part", "start", "n", "reference", "several"])
 
-def window(blob: str, at: Column) -> Column:
-    return F.substring(F.col(blob), at * 16 + 1, F.lit(16))
+    return rows.mapInArrow(send, "block int, data binary").repartition(blocks, "block").mapInArrow(look_up, FOUND)
 
 
-def factors(df: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = SIZE) -> DataFrame:
-    """One row a document that shares windows with an earlier one: (doc, part, factors), factors in words.
+def by_document(df: DataFrame, found: DataFrame, rows: DataFrame, name: str, how: str) -> DataFrame:
+    """Rows of texts with their entries as a sorted list; the lists are broadcast if they take few bytes."""
+    lists = written(df.sparkSession, found.groupBy("doc", "part").agg(
+        F.sort_array(F.collect_list(F.struct("start", "n", "reference"))).alias(name)), name)
+    size = lists.agg(F.sum(F.size(name) * 16 + 64)).first()[0] or 0
+    return rows.join(F.broadcast(lists) if size <= BROADCAST_BYTES else lists, ["doc", "part"], how)
+
+
+def with_factors(df: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = SIZE) -> DataFrame:
+    """Rows (doc, part, text, factors): what each document shares with earlier ones.
 
     A factor is (start of its first window, number of windows, reference document).
     """
-    spark = df.sparkSession
-    rows = keyed(df, doc_id, text)
-    stored = written(spark, anchor_rows(rows, size), "anchors")
-    each = stored.select("doc", "part", F.explode("anchors").alias("anchor"))
-    shared = each.groupBy("anchor").agg(F.count(F.lit(1)).alias("docs")).where("docs > 1").select("anchor")
-    of_doc = each.join(shared, "anchor").groupBy("doc", "part").agg(F.collect_set("anchor").alias("anchors"))
-    found = written(spark, piece_rows(rows.join(of_doc, ["doc", "part"]), size), "pieces")
-    piece = ["anchor", "high", "low"]
-    first = found.groupBy(*piece).agg(F.min("doc").alias("first"))
-    several = first.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1").select("anchor")
-    whole = found.drop("windows").join(first, piece).where(F.col("doc") > F.col("first")).select(
-        "doc", "part", "start", "n", F.col("first").alias("reference"))
-    heads = found.join(first, piece).where(F.col("doc") == F.col("first")).join(several, "anchor")
-    single = heads.select("doc", "part", "start", "windows", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("at")).select(
-        "doc", "part", (F.col("start") + F.col("at")).alias("start"), window("windows", F.col("at")).alias("window"))
-    least = single.groupBy("window").agg(F.min("doc").alias("reference"))
-    border = single.join(least, "window").where(F.col("doc") > F.col("reference")).select(
-        "doc", "part", "start", F.lit(1).alias("n"), "reference")
-    return whole.unionByName(border).groupBy("doc", "part").agg(
-        F.sort_array(F.collect_list(F.struct("start", "n", "reference"))).alias("factors"))
+    spark, rows = df.sparkSession, keyed(df, doc_id, text)
+    length = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    blocks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-length // BLOCK_BYTES))
+    none = (np.empty(0, np.uint64),) * 4
+
+    def whole(row, known):
+        words = (row["text"] or "").encode().split()
+        return pieces_of(words, known, size) if len(words) >= size else none
+
+    def single(row, known):
+        return windows_of(row["text"].encode().split(), known, row["ends"], size)
+
+    found = written(spark, looked_up(rows, whole, blocks), "pieces")
+    ends = by_document(df, found.where("several"), rows, "ends", "inner")
+    border = looked_up(ends, single, blocks).where("NOT several")
+    return by_document(df, found.where("NOT several").unionByName(border), rows, "factors", "left")
 
 
 def covered(found, n_words: int, size: int) -> np.ndarray:
@@ -168,9 +232,7 @@ def covered(found, n_words: int, size: int) -> np.ndarray:
 
 def without_repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = SIZE) -> DataFrame:
     """One row a document: id, number of words, words removed, what is kept (joined by one blank), factors."""
-    found = written(df.sparkSession, factors(df, doc_id, text, size), "factors")
-    small = found.count() <= BROADCAST_ROWS
-    rows = keyed(df, doc_id, text).join(F.broadcast(found) if small else found, ["doc", "part"], "left").select("doc", "text", "factors")
+    rows = with_factors(df, doc_id, text, size).select("doc", "text", "factors")
 
     def run(batches):
         for batch in pieces(batches):

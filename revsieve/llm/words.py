@@ -17,25 +17,26 @@ MIX = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 class WordHashes:
     """Hashes of words; remembers a bounded number of them."""
 
-    def __init__(self, kept: int = 500_000):
+    def __init__(self, kept: int = 250_000):
         self.kept = kept
-        self.high: dict[bytes, int] = {}
-        self.low: dict[bytes, int] = {}
+        self.halves: tuple[dict[bytes, int], dict[bytes, int]] = ({}, {})
+
+    def _half(self, words: list[bytes], half: int) -> np.ndarray:
+        known = self.halves[half]
+        if len(known) > self.kept:
+            known.clear()
+        for w in set(words).difference(known):
+            digest = hashlib.blake2b(w, digest_size=16).digest()
+            known[w] = int.from_bytes(digest[8 * half : 8 * half + 8], "little")
+        return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
 
     def high_of(self, words: list[bytes]) -> np.ndarray:
         """The first half of each word's hash."""
-        if len(self.high) > self.kept:
-            self.high.clear()
-            self.low.clear()
-        for w in set(words).difference(self.high):
-            digest = hashlib.blake2b(w, digest_size=16).digest()
-            self.high[w] = int.from_bytes(digest[:8], "little")
-            self.low[w] = int.from_bytes(digest[8:], "little")
-        return np.fromiter(map(self.high.__getitem__, words), np.uint64, len(words))
+        return self._half(words, 0)
 
     def of(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Both halves."""
-        return self.high_of(words), np.fromiter(map(self.low.__getitem__, words), np.uint64, len(words))
+        return self._half(words, 0), self._half(words, 1)
 
 
 def joined(hashes: np.ndarray, size: int, half: int = 0) -> np.ndarray:
