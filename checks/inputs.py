@@ -2,7 +2,8 @@
 
 Every statement reads whole tables and runs unchanged on Spark and, with STRING
 spelled VARCHAR, on DuckDB. The driver tables hold no code, so diff text is built
-from line item keys; each rule's trigger text appears at its own rate.
+from line item keys; each rule's trigger text appears at its own rate. Every line
+item is a file change, and every event is feedback on a file of an existing pull request.
 """
 
 from __future__ import annotations
@@ -82,7 +83,7 @@ _EVENT_PR = "(e.user_id * 97 + e.event_id % 20)"
 # Name to (tables it reads, SQL).
 INPUTS: dict[str, tuple[tuple[str, ...], str]] = {
     "file_diffs": (("lineitem",), f"""
-SELECT {_pr_id('pr_number')} AS pr_id, pr_number, l_linenumber AS file_ord, {_path('f')} AS file_path,
+SELECT {_pr_id('pr_number')} AS pr_id, pr_number, file_ord, {_path('f')} AS file_path,
   CASE f % 5 WHEN 0 THEN 'python' WHEN 1 THEN 'javascript' WHEN 2 THEN 'java' WHEN 3 THEN 'html' ELSE 'go' END AS language,
   CASE WHEN k % 8 = 0 THEN 'removed' WHEN l_returnflag = 'A' THEN 'added' ELSE 'modified' END AS status,
   additions, deletions, additions + deletions AS changes,
@@ -90,11 +91,11 @@ SELECT {_pr_id('pr_number')} AS pr_id, pr_number, l_linenumber AS file_ord, {_pa
     {_diff_sql},
     {_SPECIAL['import']},
     ' context') AS diff
-FROM (SELECT l_orderkey AS pr_number, l_linenumber, l_returnflag, (l_orderkey % 1000) * 8 + l_linenumber AS f,
+FROM (SELECT l_orderkey AS pr_number, l_returnflag, file_ord, (l_orderkey % 1000) * 8 + file_ord AS f,
    l_orderkey * 31 + l_partkey * 17 + l_linenumber AS k,
-   CAST(l_quantity AS INT) * CASE WHEN l_partkey % 10 = 0 THEN 15 ELSE 1 END AS additions, l_linenumber AS deletions,
-   row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey, l_suppkey, l_shipdate, l_extendedprice) AS rn
-   FROM lineitem) z WHERE rn = 1"""),
+   CAST(l_quantity AS INT) * CASE WHEN l_partkey % 10 = 0 THEN 15 ELSE 1 END AS additions, l_linenumber AS deletions
+   FROM (SELECT *, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_shipdate,
+     l_extendedprice, l_quantity, l_returnflag) AS INT) AS file_ord FROM lineitem) n) z"""),
     "prs": (("orders", "customer"), f"""
 SELECT {_pr_id('o_orderkey')} AS pr_id, o_orderkey AS pr_number,
   concat('org', CAST({_repo_no('o_orderkey')} % 5 AS STRING)) AS repo_owner,
@@ -128,7 +129,9 @@ SELECT event_id AS feedback_id, ts AS feedback_ts, concat('u', CAST(user_id AS S
   d.pr_id, d.pr_number, d.file_path, category, 1 AS line_number,
   concat(category, '_', d.file_path, '_1_', md5(CASE category WHEN 'security' THEN 'Potential sensitive data in logs' WHEN 'architecture' THEN 'Potential dependency injection violation' WHEN 'performance' THEN 'Potential N+1 query pattern' ELSE 'Test may lack assertions' END)) AS analysis_result_id
 FROM (SELECT *, CASE event_id % 4 WHEN 0 THEN 'security' WHEN 1 THEN 'architecture' WHEN 2 THEN 'performance' ELSE 'test' END AS category FROM events) e
-JOIN file_diffs d ON d.pr_number = {_EVENT_PR} AND d.file_ord = 1 + e.user_id % 3"""),
+LEFT JOIN (SELECT pr_number, count(*) AS files FROM file_diffs GROUP BY 1) c ON c.pr_number = {_EVENT_PR}
+JOIN (SELECT pr_number % 20 AS g, min(pr_number) AS pr_number FROM file_diffs GROUP BY 1) other ON other.g = {_EVENT_PR} % 20
+JOIN file_diffs d ON d.pr_number = coalesce(c.pr_number, other.pr_number) AND d.file_ord = CASE WHEN c.files IS NULL THEN 1 ELSE 1 + e.user_id % c.files END"""),
     "replies": (("conversations",), """
 SELECT conv_id, turn, concat(text, CASE conv_id % 6 WHEN 0 THEN ' Thanks' WHEN 1 THEN ' this is wrong' WHEN 2 THEN ' use a list instead' WHEN 3 THEN ' I disagree' WHEN 4 THEN ' not sure' ELSE '' END) AS reply_text
 FROM conversations WHERE role = 'user'"""),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from revsieve.functions.text import CLOSE, OPEN, all_groups
+from revsieve.functions.text import CLOSE, OPEN, all_groups, unmarked
 
 # Extension to language, short list.
 CORE_EXTENSIONS = {
@@ -47,6 +47,7 @@ FUNCTION_PATTERNS = {
 # that word are set aside, since the reported line is the one of the word.
 RUN_START = r"(?<![\w\s])(\s*+)"
 RUN_LANGUAGES = ("cpp", "c")
+UNICODE = "(?U)"  # words and blanks of all scripts
 # Import statements per language (pattern, number of groups).
 IMPORT_PATTERNS = {
     "python": (r"(?:from\s+(\S+)\s+import|import\s+(\S+))", 2),
@@ -78,16 +79,17 @@ def _by_language(language: Column, build: dict) -> Column | None:
 
 
 def extract_imports(diff: Column, language: Column) -> Column:
-    cases = {l: all_groups(diff, rx, n) for l, (rx, n) in IMPORT_PATTERNS.items()}
+    cases = {l: all_groups(diff, UNICODE + rx, n) for l, (rx, n) in IMPORT_PATTERNS.items()}
     return _by_language(language, cases).otherwise(F.array().cast("array<string>"))
 
 
 def _functions(diff: Column, lang: str) -> Column:
     """``array<struct<name,line>>``: bracket matches, then count newlines before each."""
     pattern, groups = FUNCTION_PATTERNS[lang]
+    diff, pattern = unmarked(diff), UNICODE + pattern
     lead = lang in RUN_LANGUAGES
     if lead:
-        pattern = f"{RUN_START}({pattern})"
+        pattern = f"{UNICODE}{RUN_START}({pattern})"
     marked = F.regexp_replace(diff, pattern, f"$1{OPEN}$2{CLOSE}" if lead else f"{OPEN}$0{CLOSE}")
     pieces = F.split(marked, OPEN, -1)
     breaks = F.transform(
@@ -119,7 +121,7 @@ def extract_functions(diff: Column, language: Column) -> Column:
 def file_dependencies(diff: Column, language: Column) -> Column:
     """Imported python modules as candidate file paths, relative imports left out."""
     rx, n = IMPORT_PATTERNS["python"]
-    modules = F.filter(all_groups(diff, rx, n), lambda m: ~m.startswith("."))
+    modules = F.filter(all_groups(diff, UNICODE + rx, n), lambda m: ~m.startswith("."))
     paths = F.transform(
         modules, lambda m: F.concat(F.replace(m, F.lit("."), F.lit("/")), F.lit(".py"))
     )

@@ -10,6 +10,13 @@ from pyspark.sql import functions as F
 
 # Unicode noncharacters: never assigned, so they can bracket a match inside a line.
 OPEN, CLOSE = "﷐", "﷑"
+
+
+def unmarked(col: Column) -> Column:
+    """The text with marker characters of its own replaced, so that none is taken for ours."""
+    return F.translate(col, OPEN + CLOSE, "\ufffd\ufffd")
+
+
 # A diff line starting with one of these is a header and has no line number.
 DIFF_HEADERS = ("---", "+++", "@@", "diff")
 
@@ -63,7 +70,7 @@ def matches_in_line(content: Column, pattern: str) -> Column:
     which gives offsets without any per-row Python. The snippet shows the match
     with 20 characters on either side.
     """
-    marked = F.regexp_replace(content, pattern, f"{OPEN}$0{CLOSE}")
+    marked = F.regexp_replace(unmarked(content), pattern, f"{OPEN}$0{CLOSE}")
     pieces = F.split(marked, OPEN, -1)
     plain = F.transform(pieces, lambda p: F.length(F.replace(p, F.lit(CLOSE), F.lit(""))))
 

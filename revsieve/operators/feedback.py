@@ -121,7 +121,8 @@ def newest_first(feedback: DataFrame, bucket: str = "hour") -> DataFrame:
 
 def patterns(feedback: DataFrame, as_of: Column, days: int = LOOK_BACK_DAYS) -> DataFrame:
     """(category, type) groups with enough recent feedback, as learned patterns."""
-    recent = feedback.filter(F.col("ts") > as_of - F.make_dt_interval(F.lit(days)))
+    recent = feedback.filter(
+        (F.col("ts") > as_of - F.make_dt_interval(F.lit(days))) & (F.col("ts") <= as_of))
     grouped = (
         recent.groupBy("category", "feedback_type")
         .agg(F.count("*").alias("feedback_count"))

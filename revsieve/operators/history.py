@@ -185,12 +185,13 @@ def related_by_files(edges: DataFrame, limit: int = RELATED_LIMIT,
 
 def recent_in_repo(prs: DataFrame, as_of: Column, days: int = LOOK_BACK_DAYS,
                    limit: int = RECENT_LIMIT) -> DataFrame:
-    """Newest pull requests of the same repository within the look-back, not itself.
+    """Newest pull requests of the same repository within the look-back up to ``as_of``, not itself.
 
     A repository's newest ``limit + 1`` rows serve all its pull requests, so
     no two pull requests are compared.
     """
-    recent = prs.filter(F.col("created_at") >= as_of - F.make_dt_interval(F.lit(days)))
+    recent = prs.filter(
+        (F.col("created_at") >= as_of - F.make_dt_interval(F.lit(days))) & (F.col("created_at") <= as_of))
     newest = [F.col("created_at").desc(), *_tie()]
     repo = ["repo_owner", "repo_name"]
     lists = (

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -26,22 +27,31 @@ class ReviewSettings:
     custom_rules: list[Rule] = field(default_factory=list)
     extra_analyzers: list = field(default_factory=list)  # DataFrame -> slim findings
 
-    def book(self) -> RuleBook:
+    def book(self, spark=None) -> RuleBook:
+        """The rules in force; with a session, custom rules that it can't run are left out."""
+        rules = check_patterns(spark, self.custom_rules) if spark else self.custom_rules
         book = RuleBook.builtin()
-        return book.with_line_rules(self.custom_rules) if self.custom_rules else book
+        return book.with_line_rules(rules) if rules else book
 
 
-def check_patterns(spark, rules: list[Rule]) -> list[Rule]:
-    """Keep rules whose pattern the regex engine accepts; a bad one fails nobody else."""
-    pattern = spark.sparkContext._jvm.java.util.regex.Pattern
-    kept = []
+def rejected_rules(spark, rules: list[Rule]) -> list[tuple[Rule, str]]:
+    """Rules whose pattern the regex engine does not accept, each with the reason."""
+    rejected = []
     for rule in rules:
         try:
-            pattern.compile(rule.pattern)
-            kept.append(rule)
-        except Exception:
-            continue
-    return kept
+            spark.range(1).select(F.rlike(F.lit(""), F.lit(rule.pattern))).collect()
+        except Exception as error:  # noqa: BLE001  (whatever the engine says is the reason)
+            rejected.append((rule, str(error).splitlines()[0]))
+    return rejected
+
+
+def check_patterns(spark, rules: list[Rule]) -> list[Rule]:
+    """Rules whose pattern the regex engine accepts; each other one is reported as a warning."""
+    rejected = rejected_rules(spark, rules)
+    for rule, reason in rejected:
+        warnings.warn(f"rule {rule.rule_id} is left out: {reason}", stacklevel=2)
+    bad = {id(rule) for rule, _ in rejected}
+    return [rule for rule in rules if id(rule) not in bad]
 
 
 def all_findings(diffs: DataFrame, book: RuleBook, numbers: list[int] | None = None,
@@ -82,7 +92,7 @@ def review(diffs: DataFrame, feedback_stats: DataFrame | None = None,
     favourable feedback, are not evaluated at all.
     """
     settings = settings or ReviewSettings()
-    book = settings.book()
+    book = settings.book(diffs.sparkSession)
     lift = MAX_FEEDBACK_LIFT + 1e-9 if feedback_stats is not None else 0.0
     numbers = book.numbers(settings.min_confidence - lift)
     found = all_findings(diffs, book, numbers, settings.strict_tests,
@@ -134,4 +144,4 @@ def full_review(prs: DataFrame, diffs: DataFrame, as_of: Column,
                 **history) -> DataFrame:
     settings = settings or ReviewSettings()
     ranked = review(diffs, fb.stats(feedback) if feedback is not None else None, settings)
-    return with_evidence(ranked, settings.book(), context(prs, diffs, as_of, **history))
+    return with_evidence(ranked, settings.book(diffs.sparkSession), context(prs, diffs, as_of, **history))

@@ -31,7 +31,8 @@ def route(events: DataFrame) -> DataFrame:
     )
     is_pr = F.col("event_type") == "pull_request"
     wanted = F.coalesce(action.isin(*REVIEWED_ACTIONS), F.lit(False))
-    broken = p.isNull()
+    # a payload that is not JSON gives a row of nulls, not a null
+    broken = F.try_parse_json("payload").isNull()
     status = (
         F.when(F.col("event_type").isNull(), "error")
         .when(broken, "error")

@@ -43,15 +43,31 @@ def newest_rows(spark: SparkSession, folder: str, schema, keys: list[str]) -> Da
 
 def review_stream(diffs: DataFrame, folder: str, checkpoint: str,
                   settings: ReviewSettings | None = None, available_now: bool = True):
-    """Review arriving file changes: rules and ranking per micro-batch.
+    """Review arriving file changes; a pull request's changes may be spread over arrivals.
 
-    The changes of one pull request version are expected in one arrival, as the
-    host delivers them.
+    Each micro-batch is stored, and the pull requests it touches are reviewed anew from
+    all their stored changes (the newest of each file). ``current_reviews`` reads the
+    last review of each.
     """
-    return batch_table(
-        diffs, folder, checkpoint, "append",
-        lambda batch: review(batch, settings=settings), available_now,
-    )
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        batch.write.mode("overwrite").parquet(f"{folder}/diffs/batch={batch_id}")
+        arrived = spark.read.schema(f"{_ddl(batch)}, batch long").parquet(f"{folder}/diffs")
+        touched = arrived.filter(F.col("batch") == batch_id).select("pr_id").distinct()
+        touched.write.mode("overwrite").parquet(f"{folder}/touched/batch={batch_id}")
+        known = arrived.filter(F.col("batch") <= batch_id).join(touched, "pr_id", "left_semi")
+        newest = top_per_key(known, ["pr_id", "file_ord", "file_path"], [F.col("batch").desc()], 1, "_rn")
+        review(newest.drop("_rn", "batch"), settings=settings).write.mode("overwrite").parquet(
+            f"{folder}/rows/batch={batch_id}")
+
+    writer = diffs.writeStream.outputMode("append").option("checkpointLocation", checkpoint).foreachBatch(write)
+    return (writer.trigger(availableNow=True) if available_now else writer).start()
+
+
+def current_reviews(spark: SparkSession, folder: str) -> DataFrame:
+    """The last review of each pull request that a review stream has seen."""
+    last = spark.read.parquet(f"{folder}/touched").groupBy("pr_id").agg(F.max("batch").alias("batch"))
+    return spark.read.parquet(f"{folder}/rows").join(last, ["pr_id", "batch"], "left_semi").drop("batch")
 
 
 def _ddl(df: DataFrame) -> str:
@@ -76,5 +92,5 @@ def collect_update(stream: DataFrame, name: str, keys: list[str]) -> DataFrame:
 def collect_reviews(diffs: DataFrame, name: str, settings: ReviewSettings | None = None) -> DataFrame:
     spark = diffs.sparkSession
     folder = new_dir(spark, name)
-    review_stream(diffs, f"{folder}/rows", f"{folder}/checkpoint", settings).awaitTermination()
-    return spark.read.parquet(f"{folder}/rows").drop("batch")
+    review_stream(diffs, folder, f"{folder}/checkpoint", settings).awaitTermination()
+    return current_reviews(spark, folder)

@@ -81,7 +81,7 @@ def test_routing_of_odd_events(spark):
     assert got[0] == ("error", "Missing required PR information")
     assert got[2] == ("error", "Missing event type") and got[3][0] == "pong"
     assert got[4] == ("skipped", "Action 'None' not processed")
-    assert got[1][0] in ("error", "skipped")
+    assert got[1] == ("error", "Invalid JSON")
 
 
 def test_streams_equal_tables(spark):
