@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from revsieve.functions import feedback_text as ft
 from revsieve.functions import scoring
-from revsieve.plans.joins import join_small
+from revsieve.plans.joins import fits, join_small
 
 # Learning thresholds.
 MIN_PATTERN_COUNT = 3
@@ -216,23 +216,47 @@ def adjust_findings(findings: DataFrame, stats_df: DataFrame, id_col: Column,
     ).drop("_id", "_fid")
 
 
+_SPECIAL = r"\\.^$|?*+()\[\]{}"
+#: A file pattern that stands for one directory and all below it, as ``learned_rows`` writes them.
+_OF_DIRECTORY = rf"^\^(?:(?:[^{_SPECIAL}]|\\[{_SPECIAL}])*/)?$"
+
+
+def _directories(path: Column) -> Column:
+    """The directories that hold a path, each with its last slash, and the empty one above them."""
+    parts = F.split(path, "/", -1)
+    deeper = F.transform(
+        F.sequence(F.lit(0), F.size(parts) - 1),
+        lambda n: F.when(n == 0, F.lit("")).otherwise(F.concat(F.array_join(F.slice(parts, 1, n), "/"), F.lit("/"))),
+    )
+    return F.array_distinct(deeper)
+
+
 def match_patterns(findings: DataFrame, learned: DataFrame) -> DataFrame:
-    """(finding, pattern) rows: equal category plus regular expressions and a range."""
+    """(finding, pattern) rows: equal category plus regular expressions and a range.
+
+    Patterns that name a directory, which all learned ones do, meet findings by equality of
+    category and directory; only other patterns are tried against all findings of a category.
+    """
     wanted = learned.filter("should_apply").withColumnsRenamed(
         {c: f"p_{c}" for c in learned.columns if c != "category"}
     )
-    joined = join_small(
-        findings, wanted, ["category"], salt_keys=["pr_id", "file_path", "line_start"]
-    )
     unset = lambda c: F.col(c).isNull() | (F.col(c) == "")
-    applies = (
-        (unset("p_file_pattern") | F.expr("file_path rlike p_file_pattern"))
-        & (unset("p_code_pattern") | unset("code_snippet")
-           | F.expr("code_snippet rlike p_code_pattern"))
+    rest = (
+        (unset("p_code_pattern") | unset("code_snippet")
+         | F.expr("code_snippet rlike p_code_pattern"))
         & (F.col("p_conf_min").isNull()
            | F.col("confidence").between(F.col("p_conf_min"), F.col("p_conf_max")))
     )
-    return joined.filter(applies)
+    of_directory = F.coalesce(F.col("p_file_pattern").rlike(_OF_DIRECTORY), F.lit(False))
+    directory = F.regexp_replace(F.expr("substring(p_file_pattern, 2)"), r"\\(.)", "$1")
+    below = wanted.filter(of_directory).withColumn("_directory", directory)
+    spread = findings.withColumn("_directory", F.explode(_directories(F.col("file_path"))))
+    below = F.broadcast(below) if fits(below) else below
+    by_directory = spread.join(below, ["category", "_directory"]).filter(rest).drop("_directory")
+    by_pattern = join_small(
+        findings, wanted.filter(~of_directory), ["category"], salt_keys=["pr_id", "file_path", "line_start"]
+    ).filter((unset("p_file_pattern") | F.expr("file_path rlike p_file_pattern")) & rest)
+    return by_directory.unionByName(by_pattern)
 
 
 def apply_patterns(findings: DataFrame, learned: DataFrame, keys: list[str]) -> DataFrame:

@@ -104,3 +104,17 @@ print("found", sim.vector_top_k(spark.createDataFrame(rows, "pr_id string, pr_nu
     env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
     done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=180)
     assert "found" in done.stdout, done.stderr[-2000:]
+
+
+def test_learned_patterns_by_directory_and_by_expression(spark):
+    paths = ["src/api/a.py", "src/api.x/b.py", "src/apiXx/b.py", "top.py", "src//c.py", "lib/api/a.py", "/root.py"]
+    patterns = ["^src/api/", r"^src/api\.x/", "^", "^src/", "^src//", r"api/.*\.py$", "", None, "^/", "^src/a", r"^src/a[pq]i/"]
+    findings = spark.createDataFrame(
+        [("p", 1, 1, i, 1, "bug", f, 0.8, "snippet") for i, f in enumerate(paths)],
+        "pr_id string, file_ord int, rule_no int, line_start int, match_ord int, category string, file_path string, confidence double, code_snippet string")
+    learned = spark.createDataFrame(
+        [(str(i), "bug", x, "snip" if i % 2 else None, 0.5 if i % 3 else None, 0.9 if i % 3 else None, True, 1.2) for i, x in enumerate(patterns)],
+        "pattern_id string, category string, file_pattern string, code_pattern string, conf_min double, conf_max double, should_apply boolean, confidence_multiplier double")
+    got = {(r.file_path, r.p_pattern_id) for r in fb.match_patterns(findings, learned).collect()}
+    assert got == {(f, str(i)) for f in paths for i, x in enumerate(patterns) if not x or re.search(x, f)}
+    assert fb.match_patterns(findings, learned).count() == len(got)
