@@ -275,10 +275,33 @@ def pr_embedding_text(t):
     return sim.pr_text(t("prs"), t("file_diffs")).select("pr_id", "full_text")
 
 
-@query("hashed_embedding")
+_PLACES_SQL = """texts AS (SELECT p.pr_id, substring(concat_ws(chr(10), concat('Title: ', title), 'Description: ' || substring(description, 1, 500),
+   'Files: ' || files, codes), 1, 512) AS text FROM prs p LEFT JOIN (
+  SELECT pr_id, string_agg(file_path, ', ' ORDER BY n) AS files, string_agg(CASE WHEN n <= 5 THEN 'Code: ' || substring(diff, 1, 200) END, chr(10) ORDER BY n) AS codes
+  FROM (SELECT *, row_number() OVER (PARTITION BY pr_id ORDER BY file_ord) AS n FROM file_diffs) d WHERE n <= 20 GROUP BY 1) f ON f.pr_id = p.pr_id),
+word AS (SELECT pr_id, unnest(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}_]+')) AS w FROM texts),
+place AS (SELECT pr_id, ('0x' || substr(md5(w), 1, 8))::BIGINT % 384 AS i, count(*) AS c FROM word WHERE w <> '' GROUP BY ALL)"""
+
+
+@query("hashed_embedding", """SELECT pr_id, 384 AS dimensions, string_agg(concat(i, ':', c), ',' ORDER BY i) AS counts, round(1.0::DOUBLE, 4) AS length FROM place GROUP BY 1""",
+       ("prs", "file_diffs"), _PLACES_SQL)
 def hashed_embedding(t):
+    """Vectors by what they count: multiples of the least entry, which stands for one word."""
     e = sim.embed(sim.pr_text(t("prs"), t("file_diffs")))
-    return e.select("pr_id", F.size("embedding").alias("dimensions"), vectors.norm(F.col("embedding")).alias("length"))
+    v = F.col("embedding")
+    one = F.array_min(F.filter(v, lambda x: x > 0))
+    counted = F.transform(v, lambda x, i: F.when(x > 0, F.concat_ws(":", i.cast("string"), F.round(x / one).cast("int").cast("string"))))
+    return e.select("pr_id", F.size(v).alias("dimensions"), F.array_join(F.filter(counted, lambda x: x.isNotNull()), ",").alias("counts"),
+                    F.round(vectors.norm(v), 4).alias("length"))
+
+
+@query("build_history", "SELECT pr_id, 384 AS dimensions, count(*) AS places, any_value(block) AS block FROM place JOIN (SELECT pr_id, concat(repo_owner, '/', repo_name) AS block FROM prs) USING (pr_id) GROUP BY 1",
+       ("prs", "file_diffs"), _PLACES_SQL)
+def build_history(t):
+    """The vectors that a review leaves for later ones."""
+    prs = t("prs").withColumn("labels", F.array("label"))
+    e = hist.build_history(prs, t("file_diffs"))["pr_embeddings"]
+    return e.select("pr_id", F.size("embedding").alias("dimensions"), F.size(F.filter("embedding", lambda x: x > 0)).alias("places"), "block")
 
 
 @query("vector_cosine", """SELECT a.vec_id, b.vec_id AS other_id, round(list_dot_product(a.e, b.e) / ((sqrt(list_dot_product(a.e, a.e)) + 1e-8)

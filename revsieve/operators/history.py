@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from revsieve.functions.languages import file_dependencies
 from revsieve.functions.text import issue_refs
 from revsieve.operators.ranking import top_per_key
+from revsieve.operators.similarity import pr_vectors
 
 # Limits of the history look-ups.
 RELATED_LIMIT = 10
@@ -55,6 +56,7 @@ def build_history(prs: DataFrame, diffs: DataFrame) -> dict[str, DataFrame]:
         "prs": prs,
         "pr_files": pr_file_edges(diffs, prs),
         "file_deps": file_dep_edges(diffs, prs),
+        "pr_embeddings": pr_vectors(prs, diffs),
     }
 
 

@@ -103,8 +103,14 @@ def review(diffs: DataFrame, feedback_stats: DataFrame | None = None,
 
 def context(prs: DataFrame, diffs: DataFrame, as_of: Column, issues: DataFrame | None = None,
             vectors: DataFrame | None = None, vector_threshold: float = sim.SIMILARITY_THRESHOLD,
-            days: int = hist.LOOK_BACK_DAYS, issues_by_repo: bool = True) -> dict[str, DataFrame]:
-    """Everything history says about the pull requests at hand."""
+            days: int = hist.LOOK_BACK_DAYS, issues_by_repo: bool = True,
+            text_vectors: bool = False) -> dict[str, DataFrame]:
+    """Everything history says about the pull requests at hand.
+
+    Without given ``vectors``, ``text_vectors`` makes them of the pull requests' texts.
+    """
+    if vectors is None and text_vectors:
+        vectors = sim.pr_vectors(prs, diffs)
     numbered = prs.select("pr_id", "pr_number")
     # the narrow edge table serves several look-ups: write it once instead of
     # deriving it from the diffs for each of them

@@ -118,3 +118,13 @@ def test_learned_patterns_by_directory_and_by_expression(spark):
     got = {(r.file_path, r.p_pattern_id) for r in fb.match_patterns(findings, learned).collect()}
     assert got == {(f, str(i)) for f in paths for i, x in enumerate(patterns) if not x or re.search(x, f)}
     assert fb.match_patterns(findings, learned).count() == len(got)
+
+
+def test_review_makes_vectors_of_texts(spark, diffs_of):
+    prs = spark.createDataFrame(
+        [(f"o/r#{i}", i, "o", "r", "open", f"Change the parser of module {i // 2}", None, dt.datetime(2024, 1, 1)) for i in range(4)],
+        "pr_id string, pr_number long, repo_owner string, repo_name string, state string, title string, description string, created_at timestamp")
+    diffs = diffs_of(*[(f"o/r#{i}", 1, f"src/m{i // 2}_{i}.py", "python", "modified", 1, "+x") for i in range(4)])
+    similar = rv.context(prs, diffs, F.lit(dt.datetime(2024, 1, 2)), text_vectors=True)["similar"].collect()
+    best = {r.pr_id: (r.other_id, r.method) for r in similar if r.similar_rank == 1}
+    assert best["o/r#0"] == ("o/r#1", "vector_search") and best["o/r#3"] == ("o/r#2", "vector_search")
