@@ -6,12 +6,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 BROADCAST_ROWS = 20_000
+BROADCAST_BYTES = 32_000_000
 SALTS = 64
 
 
-def fits(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
-    """Whether a side has at most ``max_rows`` rows; looks at no more than that."""
-    return df.limit(max_rows + 1).count() <= max_rows
+def fits(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> bool:
+    """Whether a side has few rows and bytes (as JSON); looks at no more than ``max_rows`` of it."""
+    written = F.octet_length(F.to_json(F.struct("*")))
+    rows, size = df.limit(max_rows + 1).select(written.alias("b")).agg(F.count(F.lit(1)), F.sum("b")).first()
+    return rows <= max_rows and (size or 0) <= max_bytes
 
 
 def join_small(

@@ -128,3 +128,11 @@ def test_review_makes_vectors_of_texts(spark, diffs_of):
     similar = rv.context(prs, diffs, F.lit(dt.datetime(2024, 1, 2)), text_vectors=True)["similar"].collect()
     best = {r.pr_id: (r.other_id, r.method) for r in similar if r.similar_rank == 1}
     assert best["o/r#0"] == ("o/r#1", "vector_search") and best["o/r#3"] == ("o/r#2", "vector_search")
+
+
+def test_broadcast_looks_at_rows_and_bytes(spark):
+    from revsieve.plans.joins import fits
+
+    wide = spark.range(10).select("id", F.repeat(F.lit("x"), 1000).alias("s"))
+    assert fits(wide) and not fits(wide, max_rows=9) and not fits(wide, max_bytes=5000)
+    assert fits(wide.limit(0), max_bytes=0)
