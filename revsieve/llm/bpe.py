@@ -29,7 +29,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from revsieve.llm.common import documents, pieces, schema_with, ship
+from revsieve.llm.common import documents, pieces, schema_with, share, ship
 
 ship(__name__)
 
@@ -196,11 +196,11 @@ class Encoder:
 
 def encode_decode(df: DataFrame, path: str, text: str = "text", ids: str = "ids", decoded: str = "decoded") -> DataFrame:
     """The table with the token ids of each text and the text they decode to. No shuffle."""
-    shared = df.sparkSession.sparkContext.broadcast(Vocabulary(path))
+    shared = share(df.sparkSession, Vocabulary(path))
     kept = df.drop(ids, decoded)
 
     def run(batches):
-        encoder = Encoder(shared.value)
+        encoder = Encoder(shared())
         for batch in pieces(batches):
             found = [encoder.encode(t) for t in batch.column(batch.schema.get_field_index(text)).to_pylist()]
             ends = np.cumsum([0, *map(len, found)], dtype=np.int32)

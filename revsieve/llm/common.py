@@ -2,22 +2,27 @@
 
 from __future__ import annotations
 
-import sys
+import pickle
 
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from revsieve.plans.shipping import ship  # noqa: F401  (for the operators)
 
-def ship(module: str) -> None:
-    """Send a module's functions to the workers by value, so that they need no copy of this package."""
-    cloudpickle.register_pickle_by_value(sys.modules[module])
+ship(__name__)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def share(spark: SparkSession, value):
+    """Broadcast an object of this package; the function that comes back gives it to a task. Its size must be bounded."""
+    sent = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+    return lambda: pickle.loads(sent.value)
+
+
 def held_out(doc_id: Column, parts: int, part: int = 2) -> Column:
     """Whether crc32 of the id as text leaves the remainder ``part``; false for a null id."""
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(parts)) == part, F.lit(False))

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from revsieve.llm.common import columns, documents, fresh, pieces, schema_with, ship
+from revsieve.llm.common import columns, documents, fresh, pieces, schema_with, share, ship
 from revsieve.llm.words import WordHashes, joined, stirred
 
 ship(__name__)
@@ -143,13 +143,13 @@ def with_leaks(
     entry = pa.list_(pa.struct([("item_id", pa.int64()), ("shingles", pa.int64()), ("found", pa.int64())]))
     for block in range(blocks):
         rows = items.where(F.pmod(F.xxhash64("id", "text"), F.lit(blocks)) == block).orderBy("id", "text").collect()
-        index = spark.sparkContext.broadcast(Items([(r[0], r[1]) for r in rows], k, hashes))
+        index = share(spark, Items([(r[0], r[1]) for r in rows], k, hashes))
 
         def run(batches, index=index):
-            known = WordHashes()
+            known, own = WordHashes(), index()
             for batch in pieces(batches):
                 texts = batch.column(batch.schema.get_field_index(text)).to_pylist()
-                found = pa.array(index.value.leaks(known, texts, contained), entry)
+                found = pa.array(own.leaks(known, texts, contained), entry)
                 yield pa.RecordBatch.from_arrays([*batch.columns, found], [*batch.schema.names, added])
 
         out = out.mapInArrow(run, schema_with(out, f"`{added}` {kind}"))
