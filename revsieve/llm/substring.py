@@ -15,8 +15,8 @@ of the index that hold its own pieces.
 
 A task compares its own documents before it sends anything: of equal pieces (windows), only that of the least id goes into
 the shuffle, so a passage in a third of all documents costs one entry a task, and no group is listed anywhere. Entries are
-packed by block, 128 bits of hash each. The number of blocks follows the size of the texts. Texts are shuffled only if the pieces
-of step 3 or the factors of step 4 take more than ``BROADCAST_BYTES``, which is counted before.
+packed by block, 128 bits of hash each. The number of blocks follows the size of the texts. Texts are shuffled by document for
+steps 3 and 4, at every size alike.
 
 Defined cases: null, empty and short texts have no windows; a null id comes before all others; documents of equal id are
 not references of each other; other columns are left alone.
@@ -38,7 +38,6 @@ ship(__name__)
 
 SIZE = 13
 GRAM = 3
-BROADCAST_BYTES = 64_000_000
 BLOCK_BYTES = 100_000_000
 HELD = 300_000
 NO_ID = -(2**63)
@@ -190,12 +189,10 @@ def looked_up(rows: DataFrame, entries_of, blocks: int) -> DataFrame:
     return rows.mapInArrow(send, "block int, data binary").repartition(blocks, "block").mapInArrow(look_up, FOUND)
 
 
-def by_document(df: DataFrame, found: DataFrame, rows: DataFrame, name: str, how: str) -> DataFrame:
-    """Rows of texts with their entries as a sorted list; the lists are broadcast if they take few bytes."""
-    lists = written(df.sparkSession, found.groupBy("doc", "part").agg(
-        F.sort_array(F.collect_list(F.struct("start", "n", "reference"))).alias(name)), name)
-    size = lists.agg(F.sum(F.size(name) * 16 + 64)).first()[0] or 0
-    return rows.join(F.broadcast(lists) if size <= BROADCAST_BYTES else lists, ["doc", "part"], how)
+def by_document(found: DataFrame, rows: DataFrame, name: str, how: str) -> DataFrame:
+    """Rows of texts with their entries as a sorted list, no longer than the text has windows."""
+    lists = found.groupBy("doc", "part").agg(F.sort_array(F.collect_list(F.struct("start", "n", "reference"))).alias(name))
+    return rows.join(lists, ["doc", "part"], how)
 
 
 def with_factors(df: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = SIZE) -> DataFrame:
@@ -216,9 +213,9 @@ def with_factors(df: DataFrame, doc_id: str = "doc_id", text: str = "text", size
         return windows_of(row["text"].encode().split(), known, row["ends"], size)
 
     found = written(spark, looked_up(rows, whole, blocks), "pieces")
-    ends = by_document(df, found.where("several"), rows, "ends", "inner")
+    ends = by_document(found.where("several"), rows, "ends", "inner")
     border = looked_up(ends, single, blocks).where("NOT several")
-    return by_document(df, found.where("NOT several").unionByName(border), rows, "factors", "left")
+    return by_document(found.where("NOT several").unionByName(border), rows, "factors", "left")
 
 
 def covered(found, n_words: int, size: int) -> np.ndarray:
