@@ -3,7 +3,7 @@
 A text is its words in lower case (A-Z), a blank after each, and an end mark. The trie holds, for contexts of 0 to ``ORDER``
 bytes, how often each byte followed in the training documents. The probability of a byte comes from the longest
 context that has it; each longer one costs its escape probability, estimated from the number of distinct bytes seen there, and
-excludes the bytes it has seen from the shorter ones. A byte that no context has is uniform over those left.
+excludes the bytes it has seen from the shorter ones: each byte seen gives up half a count. A byte that no context has is uniform over those left.
 
 The trie keeps a node and byte if at least one in ``NODES`` of all training bytes passed there, so an order has at most
 ``NODES`` entries at any size of corpus: that bounds what is sent to the executors. What passed below that is escape mass.
@@ -11,7 +11,7 @@ Counts themselves are gathered over all training documents and grow with them.
 
 Beside it, each document gets its words' add-one unigram score. Word counts are gathered by blocks of hashed words; the
 ``COMMON`` most frequent words are then known to each task, and only the others of a document go through a second
-shuffle to their block, packed, where they meet the counts. Both score and counts come back as partial sums for each document.
+shuffle to their block, packed, where they meet the counts; what they add up to goes back to the documents, packed as well.
 
 Defined cases: null and empty texts have the end mark as only token; a null id is a training document; repeated rows get equal
 scores, one row each; without training documents all words are unknown and all bytes uniform; other columns are not read.
@@ -25,8 +25,8 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from revsieve.llm.common import documents, held_out, pieces, ship
-from revsieve.llm.words import WordHashes
+from revsieve.llm.common import documents, held_out, pieces, share, ship
+from revsieve.llm.words import WordHashes, stirred
 from revsieve.plans.lineage import new_dir
 
 ship(__name__)
@@ -157,11 +157,11 @@ class Trie:
             passed = self._find(level["contexts"], level["passed"], context)[0]
             kinds = self._find(level["contexts"], level["kinds"], context)[0]
             below = self._find(level["contexts"], level["below"], context)[0]
-            whole = passed - left_out[open_] + kinds - kinds_out[open_]
-            escape = whole - (kept - left_out[open_])
+            whole = passed - left_out[open_]
+            escape = whole - (kept - left_out[open_]) + (kinds - kinds_out[open_]) / 2
             use = known & (whole > 0)
             with np.errstate(divide="ignore", invalid="ignore"):
-                out[open_] += np.where(use, np.log10(np.where(seen, n, np.maximum(escape, 1e-300)) / whole), 0.0)
+                out[open_] += np.where(use, np.log10(np.where(seen, n - 0.5, np.maximum(escape, 1e-300)) / whole), 0.0)
             left_out[open_] = np.where(known, below, left_out[open_])
             kinds_out[open_] = np.where(known, kinds, kinds_out[open_])
             open_ = open_[~seen]
@@ -207,6 +207,14 @@ def pairs(a: np.ndarray, b: np.ndarray, n: np.ndarray):
     return a[first], b[first], np.add.reduceat(n, first) if len(first) else n
 
 
+def added_up(doc: np.ndarray, part: np.ndarray, known: np.ndarray, base: np.ndarray):
+    """One entry for each document, with the sums of the last two."""
+    at = np.lexsort((part, doc))
+    doc, part, known, base = doc[at], part[at], known[at], base[at]
+    first = np.flatnonzero(np.append(True, (doc[1:] != doc[:-1]) | (part[1:] != part[:-1])))
+    return doc[first], part[first], np.add.reduceat(known, first), np.add.reduceat(base, first)
+
+
 def word_counts(rows: DataFrame, blocks: int) -> DataFrame:
     """(block, a, b, n): training words, hashed to (a, b), with their counts, in their blocks."""
     def send(batches):
@@ -267,7 +275,7 @@ def scored(
     training = rows.where("NOT held_out")
     length = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-length // BLOCK_BYTES))
-    trie = spark.sparkContext.broadcast(trie_of(written(spark, context_counts(training, order), "contexts"), order, nodes))
+    trie = share(spark, trie_of(written(spark, context_counts(training, order), "contexts"), order, nodes))
     counts = written(spark, word_counts(training, blocks), "words")
     texts = training.count()
     words, kinds = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
@@ -281,7 +289,7 @@ def scored(
     NAMES = ["block", "data", "doc", "part", "held_out", "n_tokens", "n_known", "base", "score"]
 
     def send(batches):
-        known, waiting = WordHashes(), []
+        known, waiting, model = WordHashes(), [], trie()
         keys, checks, numbers = frequent.value
         for batch in pieces(batches, 128):
             docs, sums, texts_, held = (batch.column(i).to_pylist() for i in range(4))
@@ -296,7 +304,7 @@ def scored(
             found = np.bincount(owner[here], minlength=len(lists)) + (end > 0)
             wanted, lengths = grams(lists, order)
             kind, inverse = np.unique(wanted, return_inverse=True)
-            score = np.bincount(np.repeat(np.arange(len(lists)), lengths), trie.value.log10(kind)[inverse], len(lists))
+            score = np.bincount(np.repeat(np.arange(len(lists)), lengths), model.log10(kind)[inverse], len(lists))
             yield pa.RecordBatch.from_arrays([
                 pa.array(np.full(len(lists), -1, np.int32)), pa.nulls(len(lists), pa.binary()), pa.array(docs, pa.int64()), pa.array(sums, pa.int64()),
                 pa.array(held), pa.array(size + 1, pa.int64()), pa.array(found, pa.int64()), pa.array(base), pa.array(score)], NAMES)
@@ -339,15 +347,27 @@ def scored(
             doc, part = every["doc"][~is_count], every["part"][~is_count]
             if not len(doc):
                 continue
-            at = np.lexsort((part, doc))
-            doc, part, value = doc[at], part[at], value[at]
-            first = np.flatnonzero(np.append(True, (doc[1:] != doc[:-1]) | (part[1:] != part[:-1])))
-            yield pa.RecordBatch.from_arrays([
-                pa.array(doc[first]), pa.array(part[first]), pa.array(np.add.reduceat((value > 0).astype(np.int64), first)),
-                pa.array(np.add.reduceat(np.log10(value + 1.0), first))], ["doc", "part", "n_known", "base"])
+            doc, part, known, base = added_up(doc, part, (value > 0).astype(np.int64), np.log10(value + 1.0))
+            home = (stirred(doc.view(np.uint64)) % np.uint64(blocks)).astype(np.int64)
+            order_ = np.argsort(home, kind="stable")
+            edges = np.flatnonzero(np.diff(home[order_], prepend=-1, append=-1))
+            rows_ = [(int(home[order_[low]]), b"".join(x[order_[low:high]].tobytes() for x in (doc, part, known, base)))
+                     for low, high in zip(edges[:-1].tolist(), edges[1:].tolist())]
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows_], pa.int32()), pa.array([r[1] for r in rows_], pa.binary())], ["home", "data"])
+
+    def add_up(batches):
+        blobs = [x for batch in batches for x in batch.column(1).to_pylist()]
+        if blobs:
+            columns = [[], [], [], []]
+            for data in blobs:
+                n = len(data) // 32
+                for i, kind in enumerate((np.int64, np.int64, np.int64, np.float64)):
+                    columns[i].append(np.frombuffer(data[8 * n * i : 8 * n * (i + 1)], kind))
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in added_up(*map(np.concatenate, columns))], ["doc", "part", "n_known", "base"])
 
     dealt = sent.where("block >= 0").select("block", "data").unionByName(counts.mapInArrow(pack_counts, "block int, data binary"))
-    rare = dealt.repartition(blocks, "block").mapInArrow(meet, "doc bigint, part bigint, n_known bigint, base double")
+    met = dealt.repartition(blocks, "block").mapInArrow(meet, "home int, data binary")
+    rare = met.repartition(blocks, "home").mapInArrow(add_up, "doc bigint, part bigint, n_known bigint, base double")
     whole = sent.where("block < 0").select("doc", "part", "held_out", F.lit(1).cast("bigint").alias("copies"), "n_tokens", "n_known", "base", "score")
     nothing = {"held_out": F.lit(None).cast("boolean"), "copies": F.lit(0).cast("bigint"), "n_tokens": F.lit(0).cast("bigint"), "score": F.lit(0.0)}
     summed = whole.unionByName(rare.withColumns(nothing)).groupBy("doc", "part").agg(

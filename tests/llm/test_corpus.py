@@ -125,11 +125,11 @@ def plain_trie(counts, order, context, symbol):
         passed = max(counts[k].get(c, sum(seen.values())), sum(seen.values())) if k else total
         left = {s: n for s, n in seen.items() if s not in excluded}
         gone = sum(n for s, n in seen.items() if s in excluded)
-        whole = passed - gone + len(left)
+        whole = passed - gone
         if whole > 0:
             if symbol in left:
-                return chance * left[symbol] / whole
-            chance *= (whole - sum(left.values())) / whole
+                return chance * (left[symbol] - 0.5) / whole
+            chance *= (whole - sum(left.values()) + len(left) / 2) / whole
         excluded |= set(seen)
     return chance / (256 - len(excluded))
 
