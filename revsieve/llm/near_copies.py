@@ -11,8 +11,11 @@ similarity of 0.8 a pair shares no sketch with a probability of 3e-8. Classes ar
 Equal word sequences are one node from the start. Sketches are joined as a star to the least id of each, never as
 pairs; the connected parts of these candidates are groups. A group of up to ``GROUP_WORDS`` words is resolved in one
 place, over an index of its k-mers, comparing members with those not yet in a class. A larger group is resolved in
-one pass for each sketch: the documents that share it are split into units below the limit, units of one sketch
-share its least document, and documents whose sketch lies in one class already are left out. No pairs are written out.
+one pass for each sketch: documents that share it are one unit, and documents whose sketch lies in one class already are
+left out. Where a sketch alone is above the limit, its documents first meet its least one, in parts; those that still lie in
+several classes are then joined exactly. Similar texts share one of their rarest k-mers (prefix filter: of n k-mers, the
+first n - SIMILAR n + 1 in one order of all k-mers), and the connected parts of that are compared whole, or, above the limit, every
+part of them with every other one, save where both lie in one class. No pairs are written out.
 
 Defined cases: a document without words (null, empty) is a class of its own; one of fewer than ``K`` words has one k-mer,
 all its words; a null id comes before all others; repeated rows are in one class; other columns pass through.
@@ -38,6 +41,8 @@ SKETCHES = 24
 PICK = 3
 SIMILAR = 0.8
 GROUP_WORDS = 4_000_000
+ORDER_SAMPLE = 2_000  # documents whose k-mers are counted for the order of the prefix filter; any order is exact
+ORDER_GRAMS = 200_000
 BROADCAST_ROWS = 300_000
 NO_ID = -(2**63)
 
@@ -244,7 +249,10 @@ def connected(spark: SparkSession, edges: DataFrame) -> DataFrame:
 
 
 def large_groups(spark, texts, big: DataFrame, count: int, k: int, similar: float, limit: int) -> DataFrame:
-    """(doc, label) for documents (doc, part, words_key, n, sketches) of groups above the limit, one sketch at a time."""
+    """(doc, label) for documents (doc, part, words_key, n, sketches) of groups above the limit, one sketch at a time.
+
+    A sketch above the limit only meets its least document here; ``joined_by_rarest`` does the rest.
+    """
     label = written(spark, big.select("doc", F.col("doc").alias("label")).distinct(), "labels")
     for at in range(count):
         here = big.withColumn("sketch", F.col("sketches")[at]).drop("sketches").join(label, "doc")
@@ -265,6 +273,96 @@ def large_groups(spark, texts, big: DataFrame, count: int, k: int, similar: floa
     return label
 
 
+def unmerged(big: DataFrame, label: DataFrame, limit: int) -> DataFrame:
+    """(doc, part, words_key, n, label) of the documents that share a sketch above the limit with one of another class."""
+    each = big.join(label, "doc").select("doc", "n", "label", F.posexplode("sketches").alias("at", "sketch"))
+    open_ = each.groupBy("at", "sketch").agg(
+        F.sum("n").alias("words"), F.min("label").alias("low"), F.max("label").alias("high"),
+    ).where((F.col("words") > limit) & (F.col("low") != F.col("high"))).select("at", "sketch")
+    docs = each.join(open_, ["at", "sketch"]).select("doc").distinct()
+    return big.drop("sketches").join(docs, "doc").join(label, "doc")
+
+
+def rarest(spark: SparkSession, rows: DataFrame, k: int, similar: float) -> DataFrame:
+    """(doc, gram): of each row (doc, text), so many of its rarest k-mers that two similar texts have one in common.
+
+    K-mers are ordered by their count in a sample of the documents, then by hash.
+    """
+    def every(batches):
+        known = WordHashes(200_000)
+        for batch in pieces(batches):
+            for text in batch.column(1).to_pylist():
+                found = np.unique(kmers(known.high_of(text.encode().split()), k))
+                yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64))], ["gram"])
+
+    sample = rows.select("doc").distinct().orderBy(F.xxhash64("doc", F.lit("order")), "doc").limit(ORDER_SAMPLE)
+    counts = rows.join(sample, "doc").select("doc", "text").mapInArrow(every, "gram bigint").groupBy("gram").agg(F.count(F.lit(1)).alias("c"))
+    top = counts.where("c > 1").orderBy(F.desc("c"), "gram").limit(ORDER_GRAMS).toPandas()
+    grams = top["gram"].to_numpy(np.int64).view(np.uint64)
+    by = np.argsort(grams)
+    sent = spark.sparkContext.broadcast((grams[by], top["c"].to_numpy(np.int64)[by]))
+
+    def run(batches):
+        known, (keys, values) = WordHashes(200_000), sent.value
+        for batch in pieces(batches):
+            docs, found = [], []
+            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                own = np.unique(kmers(known.high_of(text.encode().split()), k))
+                count = np.zeros(len(own), np.int64)
+                if len(keys):
+                    at = np.minimum(np.searchsorted(keys, own), len(keys) - 1)
+                    count = np.where(keys[at] == own, values[at], 0)
+                size = len(own) - int(np.ceil(similar * len(own) - 1e-9)) + 1
+                found.append(own[np.lexsort((own, count))[:size]])
+                docs.append(np.full(len(found[-1]), doc, np.int64))
+            if docs:
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.concatenate(docs)), pa.array(np.concatenate(found).view(np.int64))], ["doc", "gram"])
+
+    return rows.select("doc", "text").mapInArrow(run, "doc bigint, gram bigint")
+
+
+def paired_parts(docs: DataFrame, limit: int) -> DataFrame:
+    """(unit, doc, part, words_key): documents of groups (group, doc, part, words_key, n, label) in units of about the limit.
+
+    Any two documents of a group that lie in different classes are in some unit together. A class of more than half the limit
+    is cut by document, the others of a group are put together by class; each two such halves are a unit, but two of one class are none.
+    """
+    half = max(1, limit // 2)
+    sizes = docs.groupBy("group", "label").agg(F.sum("n").alias("words")).withColumn("large", F.col("words") > half)
+    rest = sizes.where("not large").groupBy("group").agg(F.greatest(F.lit(1), F.ceil(F.sum("words") / half)).cast("int").alias("shares"))
+    cut = sizes.join(rest, "group", "left").select(
+        "group", "label", F.when(F.col("large"), F.col("label")).alias("whole"),
+        F.when(F.col("large"), F.ceil(F.col("words") / half)).otherwise(F.col("shares")).cast("int").alias("shares"))
+    share = F.pmod(F.xxhash64(F.when(F.col("whole").isNull(), F.col("label")).otherwise(F.col("doc"))), F.col("shares")).cast("int")
+    dealt = docs.join(cut, ["group", "label"]).withColumn("half", F.xxhash64(F.coalesce(F.col("whole").cast("string"), F.lit("rest")), share))
+    halves = dealt.groupBy("group", "half").agg(F.first("whole").alias("whole"))
+    x, y = halves.select("group", F.col("half").alias("x"), F.col("whole").alias("wx")), halves.select("group", F.col("half").alias("y"), F.col("whole").alias("wy"))
+    both = x.join(y, "group").where("x <= y and not coalesce(wx = wy, false)")
+    both = both.select("group", F.xxhash64("group", "x", "y").alias("unit"), F.explode(F.array_distinct(F.array("x", "y"))).alias("half"))
+    return dealt.join(both, ["group", "half"]).select("unit", "doc", "part", "words_key")
+
+
+def joined_by_rarest(spark, texts, big: DataFrame, label: DataFrame, k: int, similar: float, limit: int) -> DataFrame:
+    """The labels after all similar documents that share a sketch above the limit have met."""
+    left = written(spark, unmerged(big, label, limit), "unmerged")
+    if left.isEmpty():
+        return label
+    prefixes = written(spark, rarest(spark, texts.join(left.select("doc", "part"), ["doc", "part"]), k, similar), "rarest")
+    shared = prefixes.groupBy("gram").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).where("least != most")
+    candidates = connected(spark, prefixes.join(shared.drop("most"), "gram").select(F.col("doc").alias("a"), F.col("least").alias("b")))
+    groups = candidates.unionByName(candidates.select(F.col("label").alias("doc"), "label").distinct()).distinct().withColumnRenamed("label", "group")
+    left = written(spark, left.join(groups, "doc"), "unmerged")
+    sizes = left.groupBy("group").agg(F.sum("n").alias("words"), F.min("label").alias("low"), F.max("label").alias("high")).where("low != high")
+    sizes = written(spark, sizes.select("group", (F.col("words") > limit).alias("over")), "groups")
+    whole = left.join(sizes.where("not over"), "group").select(F.col("group").alias("unit"), "doc", "part", "words_key")
+    units = whole.unionByName(paired_parts(left.join(sizes.where("over"), "group").drop("over"), limit))
+    found = resolved(units.join(texts, ["doc", "part"]), k, similar)
+    merged = connected(spark, found.select(F.col("doc").alias("a"), F.col("label").alias("b")).unionByName(
+        label.select(F.col("doc").alias("a"), F.col("label").alias("b"))))
+    return big.select("doc").distinct().join(merged, "doc", "left").select("doc", F.coalesce("label", "doc").alias("label"))
+
+
 def near_classes(
     df: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = K, count: int = SKETCHES, pick: int = PICK,
     similar: float = SIMILAR, limit: int = GROUP_WORDS,
@@ -289,7 +387,7 @@ def near_classes(
     labels = written(spark, labels, "labels")
     if not over.isEmpty():
         big = written(spark, members.join(over, "unit").select("doc", "part", "words_key", "n", "sketches"), "big")
-        labels = labels.unionByName(large_groups(spark, rows, big, count, k, similar, limit))
+        labels = labels.unionByName(joined_by_rarest(spark, rows, big, large_groups(spark, rows, big, count, k, similar, limit), k, similar, limit))
     of_words = copies.join(labels.where("doc != label"), "doc").select("words_key", "label")
     return (
         narrow.join(copies.withColumnRenamed("doc", "head"), "words_key", "left").join(of_words, "words_key", "left")

@@ -66,6 +66,21 @@ def test_near_classes_equal_brute_force(odd, limit):
     assert got == plain_classes(rows)
 
 
+def test_near_copies_in_a_family_meet_apart_from_its_head(spark):
+    """Pairs that share a template with all others, but are near copies only of each other; the head is near to none."""
+    rng = random.Random(11)
+    word = lambda: f"w{rng.randrange(10**6)}"
+    template = [word() for _ in range(120)]
+    rows, want = [(0, " ".join(template + [word() for _ in range(18)]))], {(0, 0)}
+    for i in range(1, 61):
+        own = [word() for _ in range(18)]
+        rows += [(i, " ".join(template + own)), (100 + i, " ".join(template + own[:-1] + [word()]))]
+        want |= {(i, i), (100 + i, i)}
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {(r.doc, r["class"]) for r in near_copies.near_classes(df, count=2, limit=2000).collect()}
+    assert got == want
+
+
 def test_one_document_of_each_class_stays(odd, empty):
     rows = [(r.doc_id, r.text) for r in odd.collect()]
     left = near_copies.one_of_each(odd)
