@@ -5,9 +5,10 @@ bytes, how often each byte followed in the training documents. The probability o
 context that has it; each longer one costs its escape probability, estimated from the number of distinct bytes seen there, and
 excludes the bytes it has seen from the shorter ones: each byte seen gives up half a count. A byte that no context has is uniform over those left.
 
-The trie keeps a node and byte if at least one in ``NODES`` of all training bytes passed there, so an order has at most
-``NODES`` entries at any size of corpus: that bounds what is sent to the executors. What passed below that is escape mass.
-Counts themselves are gathered over all training documents and grow with them.
+The trie has every context of the training documents. Contexts of fewer than ``NEAR`` bytes are sent to the executors; the longer
+ones lie in blocks by their last ``NEAR`` bytes, so that a block has all that the probability of its bytes takes. The blocks first give
+the probabilities of grams of order + 1 bytes that at least one in ``NODES`` of all training bytes ended, at most ``NODES``: these
+are known to each task. The other grams of a document go to their block, packed, and what they add up to comes back.
 
 Beside it, each document gets its words' add-one unigram score. Word counts are gathered by blocks of hashed words; the
 ``COMMON`` most frequent words are then known to each task, and only the others of a document go through a second
@@ -33,6 +34,7 @@ ship(__name__)
 
 ORDER = 5
 NODES = 1 << 21
+NEAR = 3
 COMMON = 50_000
 BLOCK_BYTES = 100_000_000
 HELD_BYTES = 4_000_000
@@ -107,7 +109,7 @@ def context_counts(rows: DataFrame, order: int) -> DataFrame:
 
 
 class Trie:
-    """The kept contexts, as sorted arrays for each order."""
+    """Contexts as sorted arrays for each order."""
 
     def __init__(self, order: int, rows: list[tuple[int, np.ndarray, np.ndarray]]):
         """``rows`` has (size, grams, counts) by size of gram."""
@@ -169,10 +171,102 @@ class Trie:
         return out
 
 
-def trie_of(counts: DataFrame, order: int, nodes: int) -> Trie:
-    total = counts.where("size = 1").agg(F.sum("n")).first()[0] or 0
-    kept = counts.where((F.col("size") <= order + 1) & (F.col("n") * nodes >= total)).toPandas()  # at most ``nodes`` rows a size
-    return Trie(order, [(int(s), g["gram"].to_numpy().view(np.uint64), g["n"].to_numpy()) for s, g in kept.groupby("size")])
+# -- contexts in blocks -----------------------------------------------------------------
+
+TABLE = [("gram", np.uint64), ("n", np.int64), ("size", np.int8)]
+WANTED = [("gram", np.uint64), ("n", np.int64), ("doc", np.int64), ("part", np.int64)]
+
+
+def blobs_of(entries: dict[str, np.ndarray], form: list, blocks: int):
+    """(block, packed entries), the block being that of the last ``NEAR`` bytes of each gram's context."""
+    context = (entries["gram"] >> np.uint64(8)) & np.uint64((1 << (8 * NEAR)) - 1)
+    block = (stirred(context) % np.uint64(blocks)).astype(np.int64)
+    order, pack = np.argsort(block, kind="stable"), zstandard.ZstdCompressor(level=1)
+    edges = np.flatnonzero(np.diff(block[order], prepend=-1, append=-1))
+    for low, high in zip(edges[:-1].tolist(), edges[1:].tolist()):
+        yield int(block[order[low]]), pack.compress(b"".join(entries[k][order[low:high]].astype(t).tobytes() for k, t in form))
+
+
+def entries_of(blob: bytes, form: list) -> dict[str, np.ndarray]:
+    data, out, start = zstandard.ZstdDecompressor().decompress(blob), {}, 0
+    n = len(data) // sum(np.dtype(t).itemsize for _, t in form)
+    for k, t in form:
+        out[k] = np.frombuffer(data, t, n, start)
+        start += n * np.dtype(t).itemsize
+    return out
+
+
+def context_tables(contexts: DataFrame, blocks: int) -> DataFrame:
+    """(block, data) from (size, gram, n): grams with contexts of at least ``NEAR`` bytes, packed by block."""
+    def run(batches):
+        held, size = [], 0
+
+        def flush():
+            entries = {k: np.concatenate([e[k] for e in held]) for k in held[0]}
+            held.clear()
+            found = list(blobs_of(entries, TABLE, blocks))
+            return pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int32()), pa.array([f[1] for f in found], pa.binary())], ["block", "data"])
+
+        for batch in batches:
+            kind, gram, n = (c.to_numpy() for c in batch.columns)
+            held.append({"gram": gram.view(np.uint64), "n": n, "size": kind})
+            size += len(gram)
+            if size > HELD_BYTES:
+                yield flush()
+                size = 0
+        if size:
+            yield flush()
+
+    return contexts.where(F.col("size") > NEAR).select("size", "gram", "n").mapInArrow(run, "block int, data binary")
+
+
+def block_trie(order: int, small: list, blobs: list[bytes]) -> Trie:
+    """The trie as far as one block needs it: all short contexts and the block's own."""
+    found = [entries_of(b, TABLE) for b in blobs]
+    every = {k: np.concatenate([e[k] for e in found]) if found else np.empty(0, t) for k, t in TABLE}
+    return Trie(order, small + [(k, every["gram"][every["size"] == k], every["n"][every["size"] == k]) for k in range(NEAR + 1, order + 2)])
+
+
+def frequent_scores(tables: DataFrame, short, order: int, least: int, blocks: int):
+    """Grams of order + 1 bytes that occur ``least`` times or more, sorted, and their log10 probabilities."""
+    def run(batches):
+        small = short()
+        for blobs in by_block(batches).values():
+            trie = block_trie(order, small, blobs)
+            top = trie.levels[order]["grams"][trie.levels[order]["n"] >= least]
+            yield pa.RecordBatch.from_arrays([pa.array(top.view(np.int64)), pa.array(trie.log10(top))], ["gram", "score"])
+
+    found = tables.repartition(blocks, "block").mapInArrow(run, "gram bigint, score double").toPandas()
+    grams_, scores = found["gram"].to_numpy(np.int64).view(np.uint64), found["score"].to_numpy(float)
+    at = np.argsort(grams_)
+    return grams_[at], scores[at]
+
+
+def rare_scores(tables: DataFrame, wanted: DataFrame, short, order: int, blocks: int) -> DataFrame:
+    """(home, data): packed sums of the log10 probabilities of the grams of ``wanted``, which has packed ones in ``data``."""
+    def run(batches):
+        small, block, blobs, trie, held = short(), None, [], None, []
+        for batch in batches:
+            for b, late, data in zip(*(c.to_pylist() for c in batch.columns)):
+                if held and (b != block or sum(len(x[0]) for x in held) > 1_000_000):
+                    yield homes(*added_up(*map(np.concatenate, zip(*held))), blocks)
+                    held = []
+                if b != block:
+                    block, blobs, trie = b, [], None
+                if not late:
+                    blobs.append(data)
+                    continue
+                if trie is None:
+                    trie, blobs = block_trie(order, small, blobs), []
+                e = entries_of(data, WANTED)
+                kind, inverse = np.unique(e["gram"], return_inverse=True)
+                held.append(added_up(e["doc"], e["part"], np.zeros(len(inverse), np.int64), trie.log10(kind)[inverse] * e["n"]))
+        if held:
+            yield homes(*added_up(*map(np.concatenate, zip(*held))), blocks)
+
+    both = tables.withColumn("late", F.lit(0)).unionByName(wanted.withColumn("late", F.lit(1)))
+    sorted_ = both.select("block", "late", "data").repartition(blocks, "block").sortWithinPartitions("block", "late")
+    return sorted_.mapInArrow(run, "home int, data binary")
 
 
 # -- words ----------------------------------------------------------------------------
@@ -215,6 +309,16 @@ def added_up(doc: np.ndarray, part: np.ndarray, known: np.ndarray, base: np.ndar
     return doc[first], part[first], np.add.reduceat(known, first), np.add.reduceat(base, first)
 
 
+def homes(doc: np.ndarray, part: np.ndarray, known: np.ndarray, base: np.ndarray, blocks: int) -> pa.RecordBatch:
+    """(home, data): sums of documents, packed by the block in which a document's sums meet."""
+    home = (stirred(doc.view(np.uint64)) % np.uint64(blocks)).astype(np.int64)
+    order = np.argsort(home, kind="stable")
+    edges = np.flatnonzero(np.diff(home[order], prepend=-1, append=-1))
+    rows = [(int(home[order[low]]), b"".join(x[order[low:high]].tobytes() for x in (doc, part, known, base)))
+            for low, high in zip(edges[:-1].tolist(), edges[1:].tolist())]
+    return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], ["home", "data"])
+
+
 def word_counts(rows: DataFrame, blocks: int) -> DataFrame:
     """(block, a, b, n): training words, hashed to (a, b), with their counts, in their blocks."""
     def send(batches):
@@ -275,7 +379,12 @@ def scored(
     training = rows.where("NOT held_out")
     length = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-length // BLOCK_BYTES))
-    trie = share(spark, trie_of(written(spark, context_counts(training, order), "contexts"), order, nodes))
+    contexts = written(spark, context_counts(training, order), "contexts")
+    of_size = contexts.where(F.col("size") <= NEAR).toPandas()  # at most 256 ** NEAR
+    short = share(spark, [(int(s), g["gram"].to_numpy().view(np.uint64), g["n"].to_numpy()) for s, g in of_size.groupby("size")])
+    bytes_in = int(of_size["n"][of_size["size"] == 1].sum())
+    tables = written(spark, context_tables(contexts, blocks), "tables")
+    scores = spark.sparkContext.broadcast(frequent_scores(tables, short, order, -(-bytes_in // nodes), blocks))
     counts = written(spark, word_counts(training, blocks), "words")
     texts = training.count()
     words, kinds = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
@@ -286,10 +395,11 @@ def scored(
     end = float(np.log10(texts + 1))
     unit = float(np.log10(total + distinct + 1))
 
-    NAMES = ["block", "data", "doc", "part", "held_out", "n_tokens", "n_known", "base", "score"]
+    NAMES = ["block", "data", "doc", "part", "held_out", "n_tokens", "n_known", "base", "score", "grams"]
 
     def send(batches):
-        known, waiting, model = WordHashes(), [], trie()
+        known, waiting, rare = WordHashes(), [], []
+        scored_grams, gram_scores = scores.value
         keys, checks, numbers = frequent.value
         for batch in pieces(batches, 128):
             docs, sums, texts_, held = (batch.column(i).to_pylist() for i in range(4))
@@ -304,28 +414,53 @@ def scored(
             found = np.bincount(owner[here], minlength=len(lists)) + (end > 0)
             wanted, lengths = grams(lists, order)
             kind, inverse = np.unique(wanted, return_inverse=True)
-            score = np.bincount(np.repeat(np.arange(len(lists)), lengths), model.log10(kind)[inverse], len(lists))
+            place = np.minimum(np.searchsorted(scored_grams, kind), max(len(scored_grams) - 1, 0))
+            seen = scored_grams[place] == kind if len(scored_grams) else np.zeros(len(kind), bool)
+            value = np.zeros(len(kind))
+            value[seen] = gram_scores[place[seen]]
+            reader = np.repeat(np.arange(len(lists)), lengths)
+            score = np.bincount(reader, value[inverse], len(lists))
+            missed = ~seen[inverse]
+            each, times = np.unique(reader[missed] * len(kind) + inverse[missed], return_counts=True)
+            reader, each = each // len(kind), each % len(kind)
+            rare.append({"gram": kind[each], "n": times, "doc": np.array(docs, np.int64)[reader], "part": np.array(sums, np.int64)[reader]})
             yield pa.RecordBatch.from_arrays([
                 pa.array(np.full(len(lists), -1, np.int32)), pa.nulls(len(lists), pa.binary()), pa.array(docs, pa.int64()), pa.array(sums, pa.int64()),
-                pa.array(held), pa.array(size + 1, pa.int64()), pa.array(found, pa.int64()), pa.array(base), pa.array(score)], NAMES)
+                pa.array(held), pa.array(size + 1, pa.int64()), pa.array(found, pa.int64()), pa.array(base), pa.array(score),
+                pa.nulls(len(lists), pa.binary())], NAMES)
             entry = {"a": a[~here], "b": b[~here], "n": np.zeros((~here).sum(), np.int64),
                      "doc": np.array(docs, np.int64)[owner[~here]], "part": np.array(sums, np.int64)[owner[~here]]}
             waiting.append(entry)
             if sum(len(e["a"]) for e in waiting) > 400_000:
                 yield flush(waiting)
+            if sum(len(e["gram"]) for e in rare) > 1_000_000:
+                yield flush_grams(rare)
         if waiting:
             yield flush(waiting)
+        if rare:
+            yield flush_grams(rare)
 
     def flush(waiting):
         entries = {k: np.concatenate([e[k] for e in waiting]) for k in waiting[0]}
         waiting.clear()
         found = list(packed(entries, blocks))
-        size = len(found)
+        return row_of([f[0] for f in found], [f[1] for f in found], None)
+
+    def flush_grams(rare):
+        entries = {k: np.concatenate([e[k] for e in rare]) for k in rare[0]}
+        rare.clear()
+        found = list(blobs_of(entries, WANTED, blocks))
+        return row_of([f[0] for f in found], None, [f[1] for f in found])
+
+    def row_of(block, data, grams_):
+        size = len(block)
         none = [pa.nulls(size, k) for k in (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64())]
-        return pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int32()), pa.array([f[1] for f in found], pa.binary()), *none], NAMES)
+        blobs = [pa.nulls(size, pa.binary()) if x is None else pa.array(x, pa.binary()) for x in (data, grams_)]
+        return pa.RecordBatch.from_arrays([pa.array(block, pa.int32()), blobs[0], *none, blobs[1]], NAMES)
 
     sent = written(spark, rows.mapInArrow(
-        send, "block int, data binary, doc bigint, part bigint, held_out boolean, n_tokens bigint, n_known bigint, base double, score double"), "sent")
+        send, "block int, data binary, doc bigint, part bigint, held_out boolean, n_tokens bigint, n_known bigint, base double, score double, grams binary"), "sent")
+
     def pack_counts(batches):
         for batch in batches:
             block = batch.column(0).to_numpy()
@@ -348,12 +483,7 @@ def scored(
             if not len(doc):
                 continue
             doc, part, known, base = added_up(doc, part, (value > 0).astype(np.int64), np.log10(value + 1.0))
-            home = (stirred(doc.view(np.uint64)) % np.uint64(blocks)).astype(np.int64)
-            order_ = np.argsort(home, kind="stable")
-            edges = np.flatnonzero(np.diff(home[order_], prepend=-1, append=-1))
-            rows_ = [(int(home[order_[low]]), b"".join(x[order_[low:high]].tobytes() for x in (doc, part, known, base)))
-                     for low, high in zip(edges[:-1].tolist(), edges[1:].tolist())]
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows_], pa.int32()), pa.array([r[1] for r in rows_], pa.binary())], ["home", "data"])
+            yield homes(doc, part, known, base, blocks)
 
     def add_up(batches):
         blobs = [x for batch in batches for x in batch.column(1).to_pylist()]
@@ -365,12 +495,15 @@ def scored(
                     columns[i].append(np.frombuffer(data[8 * n * i : 8 * n * (i + 1)], kind))
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in added_up(*map(np.concatenate, columns))], ["doc", "part", "n_known", "base"])
 
-    dealt = sent.where("block >= 0").select("block", "data").unionByName(counts.mapInArrow(pack_counts, "block int, data binary"))
+    dealt = sent.where("block >= 0 AND data IS NOT NULL").select("block", "data").unionByName(counts.mapInArrow(pack_counts, "block int, data binary"))
     met = dealt.repartition(blocks, "block").mapInArrow(meet, "home int, data binary")
-    rare = met.repartition(blocks, "home").mapInArrow(add_up, "doc bigint, part bigint, n_known bigint, base double")
+    rare = met.repartition(blocks, "home").mapInArrow(add_up, "doc bigint, part bigint, n_known bigint, base double").withColumn("score", F.lit(0.0))
+    wanted = sent.where("grams IS NOT NULL").select("block", F.col("grams").alias("data"))
+    more = rare_scores(tables, wanted, short, order, blocks).repartition(blocks, "home").mapInArrow(
+        add_up, "doc bigint, part bigint, n_known bigint, base double").withColumns({"score": F.col("base"), "base": F.lit(0.0)})
     whole = sent.where("block < 0").select("doc", "part", "held_out", F.lit(1).cast("bigint").alias("copies"), "n_tokens", "n_known", "base", "score")
-    nothing = {"held_out": F.lit(None).cast("boolean"), "copies": F.lit(0).cast("bigint"), "n_tokens": F.lit(0).cast("bigint"), "score": F.lit(0.0)}
-    summed = whole.unionByName(rare.withColumns(nothing)).groupBy("doc", "part").agg(
+    nothing = {"held_out": F.lit(None).cast("boolean"), "copies": F.lit(0).cast("bigint"), "n_tokens": F.lit(0).cast("bigint")}
+    summed = whole.unionByName(rare.unionByName(more).withColumns(nothing)).groupBy("doc", "part").agg(
         F.max("held_out").alias("held_out"), *(F.sum(c).alias(c) for c in ("copies", "n_tokens", "n_known", "base", "score")))
     each = summed.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
     return each.select(

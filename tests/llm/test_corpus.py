@@ -186,6 +186,19 @@ def test_scores_of_odd_rows(spark, odd, empty):
     assert ppm.scored(empty).count() == 0
 
 
+def test_scores_use_every_context(spark, odd):
+    """Also those below one in ``nodes`` of the training bytes."""
+    docs = odd.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"])
+    training = docs.where(~ppm.held_out(F.col("doc_id"), 7))
+    values = np.concatenate([ppm.grams([ppm.words_of(r.text)], 5)[0] for r in training.collect()])
+    levels = [(k, *np.unique(values & np.uint64((1 << (8 * k)) - 1), return_counts=True)) for k in range(1, 7)]
+    trie = ppm.Trie(5, levels)
+    want = {r.doc_id: float(trie.log10(ppm.grams([ppm.words_of(r.text)], 5)[0]).sum()) for r in docs.collect()}
+    for nodes in (ppm.NODES, 300):
+        got = {r.doc_id: r.score for r in ppm.scored(docs, nodes=nodes).collect()}
+        assert got.keys() == want.keys() and all(abs(got[d] - want[d]) < 1e-6 * abs(want[d]) for d in want)
+
+
 def test_model_beats_word_counts_on_held_out_bytes(spark):
     rows = ppm.op3_partial_matching(spark, "/root/testdata/sf0.01").where("held_out").agg(F.sum("score"), F.sum("base_score"), F.sum("n_tokens")).first()
     assert rows[0] > 1.05 * rows[1]
