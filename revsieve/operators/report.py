@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from revsieve.plans.lineage import new_dir
+
 MAX_COMMENTS = 50  # Fixed value: comments written per pull request.
 RESPONSE_RESULTS = 10  # Fixed value: findings listed in a review response.
 COMMENT_EVIDENCE = 3
@@ -90,28 +92,30 @@ def commit_rollup(commit_files: DataFrame) -> DataFrame:
     )
 
 
-def commit_file_lists(commit_files: DataFrame, part_size: int = LIST_PART, fan_out: int = 256) -> DataFrame:
+def commit_file_lists(commit_files: DataFrame, part_size: int = LIST_PART, fan_out: int = 1) -> DataFrame:
     """Changed files per commit as sorted arrays.
 
-    Files are first listed in ``fan_out`` hash shares per commit. Shares of a commit
-    with at most ``part_size`` files are joined into one row; a larger commit keeps
-    its shares as parts, so a hot commit stays spread out.
+    The files of a commit are numbered by name, and each part holds ``part_size`` consecutive ones, at every size. Numbers are
+    places within a range of names plus the counts of the ranges before, so no task takes a whole commit. With ``fan_out``,
+    a commit above ``part_size`` is cut evenly into about that many parts at least.
     """
-    share = F.pmod(F.xxhash64("filename"), F.lit(fan_out)).cast("int")
-    shares = (
-        commit_files.withColumn("_share", share)
-        .groupBy("pr_id", "sha", "_share")
-        .agg(F.collect_list("filename").alias("_files"))
-    )
-    totals = commit_files.groupBy("pr_id", "sha").agg(
-        (F.count("*") > part_size).alias("_large")
-    )
-    part = F.when(F.col("_large"), F.col("_share")).otherwise(0)
+    keys = ["pr_id", "sha"]
+    folder = new_dir(commit_files.sparkSession, "commit_files")
+    commit_files.select(*keys, "filename").repartitionByRange(*keys, "filename").withColumn("_range", F.spark_partition_id()).write.parquet(folder)
+    files = commit_files.sparkSession.read.parquet(folder)
+    counts = files.groupBy(*keys, "_range").agg(F.count("filename").alias("_n"))
+    commit = Window.partitionBy(*keys)
+    offsets = counts.select(
+        *keys, "_range", F.sum("_n").over(commit).alias("_total"),
+        (F.sum("_n").over(commit.orderBy("_range").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n")).alias("_before"))
+    place = F.row_number().over(Window.partitionBy(*keys, "_range").orderBy(F.asc_nulls_last("filename"))) - 1
+    size = F.when(F.col("_total") > part_size, F.least(F.lit(part_size), F.ceil(F.col("_total") / fan_out))).otherwise(part_size)
+    part = F.when(F.col("filename").isNull(), 0).otherwise(F.floor((F.col("_before") + F.col("_place")) / size)).cast("int")
     return (
-        shares.join(totals, ["pr_id", "sha"])
-        .withColumn("part", part)
-        .groupBy("pr_id", "sha", "part")
-        .agg(F.sort_array(F.flatten(F.collect_list("_files"))).alias("files_changed"))
+        files.withColumn("_place", place)
+        .join(offsets, [*keys, "_range"])
+        .groupBy(*keys, part.alias("part"))
+        .agg(F.sort_array(F.collect_list("filename")).alias("files_changed"))
     )
 
 

@@ -203,6 +203,14 @@ def test_large_commits_and_documents_span_parts_and_stay_whole(spark):
     assert sorted((r.pr_id, r.part, len(r.diffs)) for r in docs) == [("empty", 0, 0), ("p", 0, 10), ("p", 1, 10), ("p", 2, 5)]
 
 
+def test_files_of_a_large_commit_are_consecutive_parts(spark):
+    names = sorted(f"f{i}" for i in range(2500))
+    files = spark.range(2503).select(
+        F.lit("p").alias("pr_id"), F.when(F.col("id") < 2500, "large").otherwise("small").alias("sha"), F.concat(F.lit("f"), F.col("id")).alias("filename"))
+    got = {(r.sha, r.part): r.files_changed for r in report.commit_file_lists(files.repartition(5)).collect()}
+    assert got == {("large", 0): names[:1000], ("large", 1): names[1000:2000], ("large", 2): names[2000:], ("small", 0): ["f2500", "f2501", "f2502"]}
+
+
 def test_rank_invariants(spark):
     from checks import inputs
     from revsieve.plans import review as rv
