@@ -156,8 +156,8 @@ def common_file_counts(
     return top_per_key(both, ["pr_id"], order, limit, "overlap_rank")
 
 
-def _repo(pr_id: Column) -> Column:
-    return F.substring_index(pr_id, "#", 1)
+def same_repo(pr_id: Column, other_id: Column) -> Column:
+    return F.substring_index(pr_id, "#", 1) == F.substring_index(other_id, "#", 1)
 
 
 def related_by_files(edges: DataFrame, limit: int = RELATED_LIMIT,
@@ -170,10 +170,7 @@ def related_by_files(edges: DataFrame, limit: int = RELATED_LIMIT,
     sizes = edges.groupBy("pr_id").agg(F.count("*").alias("n_files"))
     top = common_file_counts(edges, limit, max_degree)
     return (
-        top.filter(
-            (_repo(F.col("pr_id")) == _repo(F.col("other_id")))
-            & (F.col("pr_id") != F.col("other_id"))
-        )
+        top.filter(same_repo(F.col("pr_id"), F.col("other_id")) & (F.col("pr_id") != F.col("other_id")))
         .join(sizes, "pr_id")
         .select(
             "pr_id", "other_id", "other_number", "common_files", "overlap_rank",

@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 
 from revsieve.operators import feedback as fb
 from revsieve.operators import history as hist
+from revsieve.operators import history_as_of as past
 from revsieve.operators import similarity as sim
+from revsieve.operators import vector_index as vi
 from revsieve.operators.catalog import MAX_FEEDBACK_LIFT, Rule, RuleBook
 from revsieve.operators.ranking import MAX_RESULTS, MIN_CONFIDENCE, rank_findings
 from revsieve.operators.relational import missing_tests
@@ -101,32 +103,34 @@ def review(diffs: DataFrame, feedback_stats: DataFrame | None = None,
                          settings.min_confidence, settings.max_results)
 
 
-def context(prs: DataFrame, diffs: DataFrame, as_of: Column, issues: DataFrame | None = None,
+def context(prs: DataFrame, diffs: DataFrame, as_of: Column | None, issues: DataFrame | None = None,
             vectors: DataFrame | None = None, vector_threshold: float = sim.SIMILARITY_THRESHOLD,
             days: int = hist.LOOK_BACK_DAYS, issues_by_repo: bool = True,
-            text_vectors: bool = False) -> dict[str, DataFrame]:
+            text_vectors: bool = False, vector_index: str | None = None) -> dict[str, DataFrame]:
     """Everything history says about the pull requests at hand.
 
-    Without given ``vectors``, ``text_vectors`` makes them of the pull requests' texts.
+    With ``as_of`` every pull request sees the history stored up to that time; without it, each sees what was created before
+    itself. Without given ``vectors``, ``text_vectors`` makes them of the pull requests' texts. ``vector_index`` names a stored index
+    to search instead of all vectors.
     """
     if vectors is None and text_vectors:
         vectors = sim.pr_vectors(prs, diffs)
-    numbered = prs.select("pr_id", "pr_number")
+    near = None
+    if vectors is not None:
+        near = (sim.vector_top_k(vectors, vector_threshold) if vector_index is None
+                else vi.search(prs.sparkSession, vector_index, vectors, vector_threshold))
+    numbered = prs.select("pr_id", "pr_number", *(["created_at"] if as_of is None else []))
     # the narrow edge table serves several look-ups: write it once instead of
     # deriving it from the diffs for each of them
     edges = cut(hist.pr_file_edges(diffs).join(numbered, "pr_id"))
     touched = hist.pr_file_edges(diffs, keep_removed=True)
-    overlap = hist.related_by_files(edges).withColumnRenamed("overlap_rank", "method_rank")
-    similar = hist.merge_similar(
-        prs, overlap,
-        sim.vector_top_k(vectors, vector_threshold) if vectors is not None else None,
-        hist.recent_in_repo(prs, as_of, days),
-    )
-    out = {
-        "similar": similar,
-        "closed": hist.closed_on_same_files(touched, edges, prs),
-        "hot_files": hist.hot_files(edges, prs),
-    }
+    if as_of is None:
+        overlap, recent, closed = past.related_as_of(edges), past.recent_as_of(prs, days), past.closed_as_of(touched, edges, prs)
+    else:
+        overlap, recent = hist.related_by_files(edges), hist.recent_in_repo(prs, as_of, days)
+        closed = hist.closed_on_same_files(touched, edges, prs)
+    similar = hist.merge_similar(prs, overlap.withColumnRenamed("overlap_rank", "method_rank"), near, recent)
+    out = {"similar": similar, "closed": closed, "hot_files": hist.hot_files(edges, prs)}
     if issues is not None:
         out["issues"] = hist.bug_issues(hist.related_issues(prs, issues, issues_by_repo))
     return out
@@ -145,7 +149,7 @@ def with_evidence(ranked: DataFrame, book: RuleBook, found: dict[str, DataFrame]
     )
 
 
-def full_review(prs: DataFrame, diffs: DataFrame, as_of: Column,
+def full_review(prs: DataFrame, diffs: DataFrame, as_of: Column | None,
                 feedback: DataFrame | None = None, settings: ReviewSettings | None = None,
                 **history) -> DataFrame:
     settings = settings or ReviewSettings()
