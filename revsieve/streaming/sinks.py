@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from revsieve.operators.ranking import top_per_key
 from revsieve.plans.lineage import new_dir
 from revsieve.plans.review import ReviewSettings, review
+from revsieve.streaming.expiring import rocks_state
 
 
 def append_table(stream: DataFrame, folder: str, checkpoint: str, available_now: bool = True):
@@ -82,6 +83,12 @@ def collect_append(stream: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(f"{folder}/rows")
 
 
+def collect_state(stream: DataFrame, name: str) -> DataFrame:
+    """Like ``collect_append``, for streams with state of their own."""
+    with rocks_state(stream.sparkSession):
+        return collect_append(stream, name)
+
+
 def collect_update(stream: DataFrame, name: str, keys: list[str]) -> DataFrame:
     spark = stream.sparkSession
     folder = new_dir(spark, name)
