@@ -9,14 +9,16 @@ from checks.registry import ORACLE, QUERIES, query  # noqa: F401  (re-exported)
 from revsieve.functions import languages, scoring, text, vectors
 from revsieve.functions.feedback_text import reply_type
 from revsieve.operators import cycles, feedback as fb, history as hist, ranking, report
+from revsieve.operators import history_as_of as past
 from revsieve.operators import similarity as sim
+from revsieve.operators import vector_index as vi
 from revsieve.operators.catalog import LINE_RULES, RuleBook, line_rule, merge_rule_tables
 from revsieve.operators.relational import missing_tests
 from revsieve.operators.scan import scan
 from revsieve.plans import review as rv
 from revsieve.plans.lineage import cut, new_dir
 from revsieve.sources import readers, team
-from revsieve.streaming import counters, events, sinks
+from revsieve.streaming import counters, events, expiring, sinks
 
 BOOK = RuleBook.builtin()
 VECTOR_THRESHOLD = 0.25  # the given vectors are nearly orthogonal; 0.6 would find none
@@ -497,6 +499,14 @@ def similar_prs_vector_approx(t):
     return sim.vector_top_k_approx(t("pr_vectors"), VECTOR_THRESHOLD)
 
 
+@query("similar_prs_index", "SELECT pr_id, other_id, other_number, similarity_score, method_rank FROM vec WHERE CAST(split_part(pr_id, '#', 2) AS BIGINT) % 100 = 0",
+       ("pr_vectors",), _VECTOR_SQL)
+def similar_prs_index(t):
+    """Every hundredth vector against a stored index of all. Blocks of one cell, as at the small scales, are searched whole."""
+    folder = vi.build_index(t("pr_vectors"), threshold=VECTOR_THRESHOLD)
+    return vi.search(t.spark, folder, t("pr_vectors").where("pr_number % 100 = 0"), VECTOR_THRESHOLD)
+
+
 @query("recent_prs", "SELECT pr_id, other_id, other_number, recent_rank FROM recent", ("prs",), _RECENT_SQL)
 def recent_prs(t):
     return hist.recent_in_repo(t("prs"), t.newest("orders", "o_orderdate"))
@@ -528,6 +538,60 @@ def bug_patterns_issues(t):
     return hist.bug_issues(hist.related_issues(t("prs"), issues_of(t), by_repo=False)).drop("source")
 
 
+# -- history as of each pull request
+
+_PAST_NEEDS = ("file_diffs", "prs")
+_PAST_EDGES_SQL = """e AS MATERIALIZED (SELECT DISTINCT d.pr_id, p.pr_number, p.created_at, d.file_path FROM file_diffs d JOIN prs p ON p.pr_id = d.pr_id WHERE d.status <> 'removed')"""
+_PAST_COMMON_SQL = _COMMON_SQL.replace("ON a.file_path = b.file_path", "ON a.file_path = b.file_path AND b.created_at < a.created_at")
+_PAST_RECENT_SQL = """recent AS MATERIALIZED (SELECT * FROM (SELECT q.pr_id, o.pr_id AS other_id, o.pr_number AS other_number,
+   row_number() OVER (PARTITION BY q.pr_id ORDER BY o.created_at DESC, o.pr_number DESC, o.pr_id) AS recent_rank
+  FROM prs q JOIN prs o ON o.repo_owner = q.repo_owner AND o.repo_name = q.repo_name AND o.created_at < q.created_at
+   AND o.created_at >= q.created_at - INTERVAL 30 DAY) r WHERE recent_rank <= 10)"""
+_PAST_CLOSED_SQL = """closed AS MATERIALIZED (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY pr_id ORDER BY other_number DESC, other_id) AS bug_rank FROM (
+   SELECT DISTINCT t.pr_id, p.pr_id AS other_id, p.pr_number AS other_number, p.title FROM (SELECT DISTINCT pr_id, file_path FROM file_diffs) t
+   JOIN prs q ON q.pr_id = t.pr_id JOIN e ON e.file_path = t.file_path
+   JOIN prs p ON p.pr_id = e.pr_id AND p.state = 'closed' AND p.created_at < q.created_at) d) r WHERE bug_rank <= 5)"""
+
+
+def _dated_edges(t):
+    return cut(hist.pr_file_edges(t("file_diffs")).join(t("prs").select("pr_id", "pr_number", "created_at"), "pr_id"))
+
+
+@query("recent_prs_as_of", "SELECT pr_id, other_id, other_number, recent_rank FROM recent", ("prs",), _PAST_RECENT_SQL)
+def recent_prs_as_of(t):
+    return past.recent_as_of(t("prs"))
+
+
+@query("bug_patterns_as_of", "SELECT pr_id, other_id, other_number, title, bug_rank FROM closed", _PAST_NEEDS, ",\n".join([_PAST_EDGES_SQL, _PAST_CLOSED_SQL]))
+def bug_patterns_as_of(t):
+    touched = hist.pr_file_edges(t("file_diffs"), keep_removed=True)
+    return past.closed_as_of(touched, _dated_edges(t), t("prs")).select("pr_id", "other_id", "other_number", "title", "bug_rank")
+
+
+@query("related_prs_as_of", "SELECT pr_id, other_id, other_number, common_files, overlap_rank, round(similarity_score, 6) AS similarity_score FROM overlap",
+       _PAST_NEEDS, ",\n".join([_PAST_EDGES_SQL, _PAST_COMMON_SQL, _OVERLAP_SQL]))
+def related_prs_as_of(t):
+    return past.related_as_of(_dated_edges(t))
+
+
+@query("common_files_as_of", "SELECT pr_id, other_id, other_number, common_files, overlap_rank FROM common",
+       _PAST_NEEDS, ",\n".join([_PAST_EDGES_SQL, _PAST_COMMON_SQL]))
+def common_files_as_of(t):
+    """Degree limit low enough that many files take the path for hot ones."""
+    return past.common_as_of(_dated_edges(t), max_degree=8)
+
+
+_PAST_CTES = ",\n".join([_PAST_EDGES_SQL, _PAST_COMMON_SQL, _OVERLAP_SQL, _VECTOR_SQL, _PAST_RECENT_SQL, _SIMILAR_SQL, _PAST_CLOSED_SQL, _ISSUES_SQL, _EVIDENCE_SQL])
+
+
+@query("evidence_as_of", "SELECT pr_id, evidence FROM ev", _HISTORY_NEEDS, _PAST_CTES)
+def evidence_as_of(t):
+    """The lines under a review's findings when every pull request sees only what was there before it."""
+    found = rv.context(t("prs"), t("file_diffs"), None, issues_of(t), t("pr_vectors"), VECTOR_THRESHOLD, issues_by_repo=False)
+    lines = hist.evidence(found["similar"], found["issues"], found["closed"])
+    return lines.select("pr_id", F.array_join("evidence", "\n").alias("evidence"))
+
+
 @query("hot_files", """SELECT repo_owner, repo_name, file_path, modification_count, hot_rank FROM (SELECT *, row_number() OVER (PARTITION BY repo_owner, repo_name
    ORDER BY modification_count DESC, file_path) AS hot_rank FROM (SELECT repo_owner, repo_name, file_path, count(*) AS modification_count FROM e JOIN prs USING (pr_id)
    GROUP BY 1, 2, 3 HAVING count(*) > 3) c) r WHERE hot_rank <= 10""", ("file_diffs", "prs"), _EDGES_SQL)
@@ -973,6 +1037,51 @@ def stream_feedback_sessions(t):
     return sinks.collect_append(counters.sessions(_feedback_stream(t), "36 hours", "1 hour"), "sessions")
 
 
+def _arrivals(t, df, column, n=3):
+    """Rows in ``n`` parts by time, oldest first."""
+    first, last = df.agg(F.min(F.unix_micros(column)), F.max(F.unix_micros(column))).first()
+    part = F.least(F.lit(n - 1), F.floor(n * (F.unix_micros(column) - first) / max(1, last - first)))
+    return [df.where(part == k) for k in range(n)]
+
+
+def _over_arrivals(t, name, run):
+    """The feedback in three arrivals; ``run`` takes the stream up again after each. Returns the folder it writes to."""
+    folder = new_dir(t.spark, name)
+    rows = counters.timed(feedback_of(t).select("analysis_result_id", "feedback_type", "ts"))
+    for part in _arrivals(t, rows, "ts"):
+        part.write.mode("append").parquet(f"{folder}/in")
+        run(t.spark.readStream.schema(rows.schema).parquet(f"{folder}/in"), folder).awaitTermination()
+    return folder
+
+
+@query("stream_kept_sessions", f"SELECT * FROM ({_session_sql('36 HOUR')}) s WHERE \"end\" <= (SELECT strftime(max(feedback_ts) - INTERVAL 1 HOUR, '%Y-%m-%d %H:%M:%S') FROM fb)",
+       ("feedback",), FEEDBACK_SQL)
+def stream_kept_sessions(t):
+    """Sessions kept as state with timers, over three arrivals and as many starts of the stream."""
+    ended = {}
+
+    def run(stream, folder):
+        out = expiring.kept_sessions(stream, "36 hours", "1 hour")
+        ended["schema"] = out.schema
+        return sinks.append_table(out, f"{folder}/rows", f"{folder}/checkpoint")
+
+    with expiring.rocks_state(t.spark):
+        folder = _over_arrivals(t, "kept-sessions", run)
+    return t.spark.read.schema(ended["schema"]).parquet(f"{folder}/rows")
+
+
+@query("stream_renewed_counts", """SELECT analysis_result_id, total_feedback AS total_count, positive_count, negative_count, neutral_count, correction_count FROM stats""",
+       ("feedback",), FEEDBACK_SQL + ",\n" + STATS_SQL)
+def stream_renewed_counts(t):
+    """Counters kept for 30 days after their last write by the clock; all are written within that time here."""
+    def run(stream, folder):
+        return sinks.batch_table(expiring.renewed_counts(stream), f"{folder}/rows", f"{folder}/checkpoint")
+
+    with expiring.rocks_state(t.spark, by_clock=True):
+        folder = _over_arrivals(t, "renewed-counts", run)
+    return sinks.newest_rows(t.spark, f"{folder}/rows", f"analysis_result_id string, {expiring.COUNT_SCHEMA}", ["analysis_result_id"])
+
+
 @query("stream_sliding_counts", f"SELECT * FROM ({_sliding_sql(7)}) s WHERE \"end\" <= (SELECT strftime(max(feedback_ts) - INTERVAL 1 HOUR, '%Y-%m-%d %H:%M:%S') FROM fb)",
        ("feedback",), FEEDBACK_SQL)
 def stream_sliding_counts(t):
