@@ -20,7 +20,7 @@ from fractions import Fraction
 from itertools import permutations
 from math import comb, factorial
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from revsieve.llm.common import documents
@@ -79,9 +79,8 @@ def with_copies(rows: DataFrame, bit: int, names: list[str]) -> DataFrame:
         F.sum("n").alias("n"), F.sum(F.when(F.col("id").isNull(), F.col("n")).otherwise(0)).alias("unnamed"),
         F.min("id").alias("least"), F.min_by("n", "id").alias("at_least"),
     )
-    # one row for each part and mark of a text
-    first = sums.groupBy("digest").agg(F.min("least").alias("first"))
-    both = sums.join(first, "digest")
+    # a text has no more rows here than parts and marks together
+    both = sums.withColumn("first", F.min("least").over(Window.partitionBy("digest")))
     original = F.col("unnamed") + F.when(F.col("least") == F.col("first"), F.col("at_least")).otherwise(0)
     kinds = F.array(F.struct(F.col("mask").alias("mask"), original.alias("n")),
                     F.struct(F.col("mask").bitwiseOR(F.lit(bit)).alias("mask"), (F.col("n") - original).alias("n")))
