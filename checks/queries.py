@@ -869,10 +869,14 @@ def _ranked(t):
     return BOOK.describe(rv.review(t("file_diffs")))
 
 
-@query("overview_stats", """SELECT (SELECT count(*) FROM prs) AS total_reviews,
+#: Mean to six places by whole numbers, halves upwards.
+_MEAN_SQL = "((2 * sum(CAST(round(confidence * 1e6) AS BIGINT))::BIGINT + count(*)) // (2 * count(*))) / 1e6::DOUBLE"
+
+
+@query("overview_stats", f"""SELECT (SELECT count(*) FROM prs) AS total_reviews,
   (SELECT count(*) FROM prs WHERE created_at::DATE = (SELECT max(created_at)::DATE FROM prs)) AS reviews_today,
   (SELECT count(*) FROM prs WHERE created_at::DATE > (SELECT max(created_at)::DATE FROM prs) - 7) AS reviews_this_week,
-  (SELECT round(avg(confidence), 6) FROM ranked) AS average_confidence, (SELECT count(*) FROM fb) AS total_feedback,
+  (SELECT {_MEAN_SQL} FROM ranked) AS average_confidence, (SELECT count(*) FROM fb) AS total_feedback,
   (SELECT round((count(*) FILTER (feedback_type = 'positive'))::DOUBLE / count(*), 6) FROM fb) AS positive_ratio""",
        _REPORT_NEEDS, FEEDBACK_SQL + ",\n" + _RANKED)
 def overview_stats(t):
@@ -914,7 +918,7 @@ def reviews_over_time(t):
     return report.reviews_over_time(t("prs"), t.newest("orders", "o_orderdate"))
 
 
-@query("confidence_trend", """SELECT strftime(created_at, '%Y-%m-%d') AS day, round(avg(confidence), 6) AS average_confidence, count(*) AS findings
+@query("confidence_trend", f"""SELECT strftime(created_at, '%Y-%m-%d') AS day, {_MEAN_SQL} AS average_confidence, count(*) AS findings
  FROM ranked JOIN prs USING (pr_id) WHERE created_at::DATE > (SELECT max(created_at)::DATE FROM prs) - 90 GROUP BY 1""", ("prs", "file_diffs"), _RANKED)
 def confidence_trend(t):
     return report.confidence_trend(rv.review(t("file_diffs")), t("prs"), t.newest("orders", "o_orderdate"), 90)

@@ -193,6 +193,18 @@ def review_response(prs: DataFrame, ranked: DataFrame, written: DataFrame | None
 
 # -- dashboards -----------------------------------------------------------------------
 
+MILLION = 1_000_000
+
+
+def _millionths(value: str) -> Column:
+    """Whole millionths, whose sum does not depend on the order of the rows."""
+    return F.round(F.col(value) * MILLION).cast("bigint")
+
+
+def _mean(total: Column, n: Column) -> Column:
+    """Mean of ``n`` values from their sum in millionths, to six places, halves upwards."""
+    return F.floor((total * 2 + n).cast("decimal(38,0)") / (n * 2)) / F.lit(float(MILLION))
+
 
 def overview(reviews: DataFrame, findings: DataFrame, feedback: DataFrame, as_of: Column) -> DataFrame:
     """One row of totals; each input is reduced to a single row before they meet."""
@@ -203,7 +215,8 @@ def overview(reviews: DataFrame, findings: DataFrame, feedback: DataFrame, as_of
         F.count_if(day == today).alias("reviews_today"),
         F.count_if((day > F.date_sub(today, 7)) & (day <= today)).alias("reviews_this_week"),
     )
-    f = findings.agg(F.coalesce(F.avg("confidence"), F.lit(0.0)).alias("average_confidence"))
+    f = findings.agg(F.sum(_millionths("confidence")).alias("s"), F.count("*").alias("n")).select(
+        F.when(F.col("n") > 0, _mean(F.col("s"), F.col("n"))).otherwise(0.0).alias("average_confidence"))
     b = feedback.agg(
         F.count("*").alias("total_feedback"),
         F.coalesce(
@@ -242,14 +255,15 @@ def reviews_over_time(reviews: DataFrame, as_of: Column, days: int = 30) -> Data
 def confidence_trend(findings: DataFrame, reviews: DataFrame, as_of: Column, days: int = 30) -> DataFrame:
     """Mean confidence per review day; findings are reduced per pull request first."""
     per_pr = findings.groupBy("pr_id").agg(
-        F.sum("confidence").alias("s"), F.count("*").alias("n")
+        F.sum(_millionths("confidence")).alias("s"), F.count("*").alias("n")
     )
     day = F.to_date("created_at")
     recent = reviews.filter((day > F.date_sub(F.to_date(as_of), days)) & (day <= F.to_date(as_of)))
     return (
         recent.select("pr_id", day.alias("day")).join(per_pr, "pr_id")
         .groupBy("day")
-        .agg((F.sum("s") / F.sum("n")).alias("average_confidence"), F.sum("n").alias("findings"))
+        .agg(F.sum("s").alias("s"), F.sum("n").alias("findings"))
+        .select("day", _mean(F.col("s"), F.col("findings")).alias("average_confidence"), "findings")
     )
 
 
