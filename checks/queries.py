@@ -17,7 +17,8 @@ from revsieve.operators.relational import missing_tests
 from revsieve.operators.scan import scan
 from revsieve.plans import review as rv
 from revsieve.plans.lineage import cut, new_dir
-from revsieve.sources import readers, team
+from revsieve.sources import readers, team, writers
+from revsieve.sources.stored import StoredTable
 from revsieve.streaming import counters, events, expiring, sinks
 
 BOOK = RuleBook.builtin()
@@ -1122,6 +1123,57 @@ def feedback_multiplier(t):
     return g.withColumn("multiplier", scoring.feedback_multiplier(F.col("feedback_type"), F.col("n")))
 
 
+# -- stored tables, loaded several times
+
+_STORE_BUCKETS = 16
+
+
+@query("stored_pr_versions", "SELECT pr_id, version_id, title, state FROM (SELECT *, row_number() OVER (PARTITION BY pr_id ORDER BY updated_at DESC, version_id DESC) AS rn FROM pr_versions) v WHERE rn = 1",
+       ("pr_versions",))
+def stored_pr_versions(t):
+    """Late versions first, then all of them, then the late ones once more under the same number."""
+    rows = t("pr_versions")
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields)
+    table = StoredTable(t.spark, new_dir(t.spark, "versions"), schema, ["pr_id"], ["updated_at", "version_id"], _STORE_BUCKETS)
+    late = rows.where("version_id % 2 = 1")
+    for load, part in ((1, late), (2, rows), (1, late)):
+        table.upsert(part, load)
+    return table.read().select("pr_id", "version_id", "title", "state")
+
+
+_STORED_SQL = """SELECT 'vector' AS kind, pr_id, '' AS other, round(CASE WHEN pr_number % 2 = 0 THEN e[1] ELSE e[1] / 4 END, 6) AS value FROM v
+ UNION ALL SELECT 'file', pr_id, file_path, 0 FROM e
+ UNION ALL SELECT 'import', file_path, dependency, 0 FROM (SELECT DISTINCT file_path, unnest(string_split(dependencies, '|')) AS dependency FROM deps) d WHERE dependency <> ''"""
+
+
+@query("stored_history", _STORED_SQL, ("prs", "file_diffs", "pr_vectors"), ",\n".join([
+    "v AS (SELECT pr_id, pr_number, CAST(embedding AS DOUBLE[]) AS e FROM pr_vectors)", _EDGES_SQL,
+    f"""deps AS (SELECT d.file_path, coalesce(array_to_string({_DEPS_SQL}, '|'), '') AS dependencies FROM file_diffs d
+ WHERE d.language = 'python' AND d.status <> 'removed' AND d.pr_id IN (SELECT pr_id FROM prs))"""]))
+def stored_history(t):
+    """Vectors that differ between loads, and edges of two loads that overlap, as they are read back."""
+    folder = new_dir(t.spark, "history")
+    table = lambda name, df: writers.history_table(t.spark, folder, name, ", ".join(
+        f"{f.name} {f.dataType.simpleString()}" for f in df.schema.fields), _STORE_BUCKETS)
+    given = t("pr_vectors").select("pr_id", "pr_number", "embedding")
+    vectors = table("pr_embeddings", given)
+    vectors.upsert(given.withColumn("embedding", F.transform("embedding", lambda x: x / F.lit(4.0).cast("float")).cast("array<float>")), 1)
+    vectors.upsert(given.where("pr_number % 2 = 0"), 2)
+    vectors.upsert(given.where("pr_number % 2 = 0"), 2)
+    known = t("prs").select("pr_id")
+    halves = [t("file_diffs").where(f"pr_number % 3 <> {k}") for k in (0, 1)]
+    edges = [hist.pr_file_edges(h, known) for h in halves]
+    deps = [hist.file_dep_edges(h, known) for h in halves]
+    files, imports = table("pr_files", edges[0]), table("file_deps", deps[0])
+    for load, (e, d) in enumerate(zip(edges, deps), 1):
+        files.upsert(e, load)
+        imports.upsert(d, load)
+    none = F.lit(0.0)
+    return vectors.read().select(F.lit("vector").alias("kind"), "pr_id", F.lit("").alias("other"), F.get("embedding", F.lit(0)).cast("double").alias("value")).unionByName(
+        files.read().select(F.lit("file").alias("kind"), "pr_id", F.col("file_path").alias("other"), none.alias("value"))).unionByName(
+        imports.read().select(F.lit("import").alias("kind"), F.col("src").alias("pr_id"), F.col("dst").alias("other"), none.alias("value")))
+
+
 @query("upsert_vectors", "SELECT pr_id, pr_number, len(embedding) AS dimensions FROM pr_vectors", ("pr_vectors",))
 def upsert_vectors(t):
     from revsieve.sources.writers import upsert_vectors as upsert

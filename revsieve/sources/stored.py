@@ -18,19 +18,23 @@ COMPACT_AFTER = 8  # loads in a bucket
 
 
 class StoredTable:
-    """Rows of ``schema`` under ``folder``; of equal ``key`` that with the greatest ``order``, and then of the last load, counts."""
+    """Rows of ``schema`` under ``folder``; of equal ``key`` that with the greatest ``order``, and then of the last load, counts.
 
-    def __init__(self, spark: SparkSession, folder: str, schema: str, key: list[str], order: list[str] = (), buckets: int = BUCKETS):
+    Buckets go by the whole key, or by the columns ``by`` of it, so that rows with equal ones can be read together.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str, schema: str, key: list[str], order: list[str] = (), buckets: int = BUCKETS,
+                 by: list[str] | None = None):
         self.spark, self.folder, self.schema = spark, folder.rstrip("/"), schema
-        self.key, self.order, self.buckets = list(key), list(order), buckets
+        self.key, self.order, self.buckets, self.by = list(key), list(order), buckets, list(by or key)
         self.columns = spark.createDataFrame([], schema).columns
 
     def with_bucket(self, df: DataFrame) -> DataFrame:
-        return df.withColumn("_bucket", F.pmod(F.xxhash64(*self.key), F.lit(self.buckets)).cast("int"))
+        return df.withColumn("_bucket", F.pmod(F.xxhash64(*self.by), F.lit(self.buckets)).cast("int"))
 
     def touched(self, df: DataFrame) -> list[int]:
         """Buckets of a table's keys: at most ``buckets`` numbers."""
-        return sorted(r[0] for r in self.with_bucket(df.select(*self.key)).select("_bucket").distinct().collect())
+        return sorted(r[0] for r in self.with_bucket(df.select(*self.by)).select("_bucket").distinct().collect())
 
     def append(self, rows: DataFrame, load: int) -> None:
         self._written(self.with_bucket(rows.select(*self.columns)).withColumn("_load", F.lit(load).cast("bigint")), f"{self.folder}/rows", "append")

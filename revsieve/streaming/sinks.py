@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from revsieve.operators.ranking import top_per_key
 from revsieve.plans.lineage import new_dir
 from revsieve.plans.review import ReviewSettings, review
+from revsieve.sources.stored import BUCKETS, COMPACT_AFTER, StoredTable
 from revsieve.streaming.expiring import rocks_state
 
 
@@ -42,24 +43,32 @@ def newest_rows(spark: SparkSession, folder: str, schema, keys: list[str]) -> Da
     return top_per_key(rows, keys, [F.col("batch").desc()], 1, "_rn").drop("_rn", "batch")
 
 
+def change_store(spark: SparkSession, folder: str, schema: str, buckets: int = BUCKETS) -> StoredTable:
+    """The file changes that a review stream has seen, in buckets by pull request."""
+    return StoredTable(spark, f"{folder}/diffs", schema, ["pr_id", "file_ord", "file_path"], [], buckets, ["pr_id"])
+
+
 def review_stream(diffs: DataFrame, folder: str, checkpoint: str,
-                  settings: ReviewSettings | None = None, available_now: bool = True):
+                  settings: ReviewSettings | None = None, available_now: bool = True,
+                  buckets: int = BUCKETS, compact_after: int = COMPACT_AFTER):
     """Review arriving file changes; a pull request's changes may be spread over arrivals.
 
-    Each micro-batch is stored, and the pull requests it touches are reviewed anew from
-    all their stored changes (the newest of each file). ``current_reviews`` reads the
-    last review of each.
+    Each micro-batch is added to the store, and the pull requests it touches are reviewed anew from all their stored
+    changes (the newest of each file). Only the buckets of these pull requests are read, and those that hold
+    changes of many arrivals are compacted. ``current_reviews`` reads the last review of each.
     """
+    schema = _ddl(diffs)
+
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        batch.write.mode("overwrite").parquet(f"{folder}/diffs/batch={batch_id}")
-        arrived = spark.read.schema(f"{_ddl(batch)}, batch long").parquet(f"{folder}/diffs")
-        touched = arrived.filter(F.col("batch") == batch_id).select("pr_id").distinct()
-        touched.write.mode("overwrite").parquet(f"{folder}/touched/batch={batch_id}")
-        known = arrived.filter(F.col("batch") <= batch_id).join(touched, "pr_id", "left_semi")
-        newest = top_per_key(known, ["pr_id", "file_ord", "file_path"], [F.col("batch").desc()], 1, "_rn")
-        review(newest.drop("_rn", "batch"), settings=settings).write.mode("overwrite").parquet(
-            f"{folder}/rows/batch={batch_id}")
+        store = change_store(spark, folder, schema, buckets)
+        store.append(batch, batch_id)
+        batch.select("pr_id").distinct().write.mode("overwrite").parquet(f"{folder}/touched/batch={batch_id}")
+        touched = spark.read.schema("pr_id string").parquet(f"{folder}/touched/batch={batch_id}")
+        places = store.touched(touched)
+        known = store.read(places).join(touched, "pr_id", "left_semi")
+        review(known, settings=settings).write.mode("overwrite").parquet(f"{folder}/rows/batch={batch_id}")
+        store.compact(store.crowded(places, compact_after), f"batch-{batch_id}")
 
     writer = diffs.writeStream.outputMode("append").option("checkpointLocation", checkpoint).foreachBatch(write)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
