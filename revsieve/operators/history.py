@@ -9,6 +9,7 @@ from revsieve.functions.languages import file_dependencies
 from revsieve.functions.text import issue_refs
 from revsieve.operators.ranking import top_per_key
 from revsieve.operators.similarity import pr_vectors
+from revsieve.plans.lineage import cut
 
 # Limits of the history look-ups.
 RELATED_LIMIT = 10
@@ -24,8 +25,10 @@ CLOSED_RELEVANCE = 0.6
 SIMILAR_EVIDENCE = 3
 BUG_EVIDENCE = 2
 
-# A file touched by more pull requests than this is handled by signature (see below).
+# A file touched by more pull requests than this is hot (see ``common_file_counts``).
 MAX_FILE_DEGREE = 200
+PASSED_FILES = 4  # hottest files of a pull request that it is not paired on
+NARROW = 16  # hot files of a pull request whose subsets are listed
 
 
 def latest_versions(versions: DataFrame, key: str = "pr_id", order: tuple = ("updated_at", "version_id")) -> DataFrame:
@@ -67,93 +70,82 @@ def _tie(prefix: str = "") -> list[Column]:
     return [F.col(f"{prefix}pr_number").desc(), F.col(f"{prefix}pr_id").asc()]
 
 
+def _subsets(items: Column, most: int) -> Column:
+    """All subsets of 1 to ``most`` elements, each in the order of ``items``."""
+    grow = lambda known, x: F.concat(known, F.transform(
+        F.filter(known, lambda s: F.size(s) < most), lambda s: F.concat(s, F.array(x))))
+    none = F.array(F.array().cast("array<bigint>"))
+    return F.filter(F.aggregate(items, none, grow), lambda s: F.size(s) > 0)
+
+
+def _hot_partners(hot: DataFrame, limit: int, passed: int, narrow: int) -> tuple[DataFrame, DataFrame]:
+    """What pull requests share through hot files: (pr, over, hot) and (over, partners).
+
+    ``hot`` has (pr, file, degree) with numbers for both. ``over`` are the up to ``passed`` hottest files of a pull request, which it is not
+    paired on, and ``hot`` all its hot ones. Whoever shares nothing else with it shares exactly some subset X of ``over``; all holders of X share at
+    least as much, so only the first few of them count. ``partners`` are the first ``limit + 1`` for each ``over`` by files shared with it,
+    then by number; ``shared`` counts these files.
+    """
+    by_heat = F.transform(F.sort_array(F.collect_list(F.struct(-F.col("degree"), "file"))), lambda x: x["file"])
+    own = cut(hot.groupBy("pr").agg(by_heat.alias("heat")).select(
+        "pr", F.sort_array(F.slice("heat", 1, passed)).alias("over"), F.sort_array("heat").alias("hot")))
+    asked = own.select("over").distinct()
+    few = own.where(F.size("hot") <= narrow)
+    holders = few.select(F.explode(_subsets(F.col("hot"), passed)).alias("files"), F.col("pr").alias("other"), F.col("hot").alias("other_hot"))
+    first = top_per_key(holders, ["files"], [F.col("other").desc()], limit + 1, "_n").drop("_n")
+    listed = asked.select("over", F.explode(_subsets(F.col("over"), passed)).alias("files")).join(first, "files").select(
+        "over", "other", F.size(F.array_intersect("over", "other_hot")).cast("bigint").alias("shared")).distinct()
+    # pull requests with very many hot files have too many subsets: these few meet the files passed over one by one
+    wide = own.where(F.size("hot") > narrow).select(F.col("pr").alias("other"), F.explode("hot").alias("file"))
+    counted = asked.select("over", F.explode("over").alias("file")).join(wide, "file").groupBy("over", "other").agg(F.count("*").alias("shared"))
+    best = top_per_key(listed.unionByName(counted), ["over"], [F.col("shared").desc(), F.col("other").desc()], limit + 1, "_n")
+    return own, best.groupBy("over").agg(F.collect_list(F.struct("other", "shared")).alias("partners"))
+
+
 def common_file_counts(
-    edges: DataFrame, limit: int = RELATED_LIMIT, max_degree: int = MAX_FILE_DEGREE
+    edges: DataFrame, limit: int = RELATED_LIMIT, max_degree: int = MAX_FILE_DEGREE, passed: int = PASSED_FILES, narrow: int = NARROW,
 ) -> DataFrame:
     """For every pull request, the ``limit`` pull requests sharing most files with it.
 
     ``edges`` has (pr_id, pr_number, file_path). Ties go to the higher number. The
     pull request itself is among its candidates.
 
-    Files touched by few pull requests are paired directly, at most ``max_degree``
-    rows per edge. The other, hot files (lock files, change logs) would pair nearly
-    everything with everything, so each pull request keeps the set of hot files it
-    touches, and equal sets are handled as one: a set keeps only its first ``limit``
-    members, because a member further down is always beaten by those. The result is
-    exact: a partner found through rare files carries its true count, and a partner
-    sharing hot files only must be among the first of its set.
+    Files touched by up to ``max_degree`` pull requests are paired directly. Of the others, hot ones (lock files, change logs), a pull
+    request passes over its ``passed`` hottest: it is not paired on them, but partners that it meets elsewhere count them, and of those
+    that it meets nowhere else it takes the first few of each group that shares the same ones. No file pairs all its pull requests, nor their
+    sets of files, and the result is exact.
     """
-    degree = edges.groupBy("file_path").agg(F.count("*").alias("_degree"))
-    hot_files = degree.filter(F.col("_degree") > max_degree).select("file_path")
-    rare = edges.join(hot_files, "file_path", "left_anti")
-    hot = edges.join(hot_files, "file_path", "left_semi")
-
-    # a set is named by two independent hashes of its files, so it is never built as a list
-    name = [F.bit_xor(F.xxhash64("file_path", F.lit(i))).cast("string") for i in (0, 1)]
-    sets = hot.groupBy("pr_id", "pr_number").agg(F.concat_ws(":", *name).alias("set_id"))
-    set_of = sets.select("pr_id", "set_id")
-    first_member = sets.groupBy("set_id").agg(F.min("pr_id").alias("pr_id"))
-    by_file = first_member.join(hot.select("pr_id", "file_path"), "pr_id").drop("pr_id")
-    set_overlap = (
-        by_file.join(by_file.withColumnRenamed("set_id", "other_set"), "file_path")
-        .groupBy("set_id", "other_set")
-        .agg(F.count("*").alias("hot_files"))
-    )
-
-    # partners through rare files, with the number of hot files shared on top; both hot
-    # sets ride along in the key, so only pairs that have two are looked up once more
-    named = rare.join(set_of, "pr_id", "left")
-    other = named.select(
-        "file_path", F.col("pr_id").alias("other_id"), F.col("pr_number").alias("other_number"),
-        F.col("set_id").alias("other_set"),
-    )
-    pairs = (
-        named.select("file_path", "pr_id", "set_id")
-        .join(other, "file_path")
-        .groupBy("pr_id", "other_id", "other_number", "set_id", "other_set")
-        .agg(F.count("*").alias("rare_files"))
-    )
-    both_hot = F.col("set_id").isNotNull() & F.col("other_set").isNotNull()
-    columns = ["pr_id", "other_id", "other_number", "common_files"]
-    order = [F.col("common_files").desc(), F.col("other_number").desc(), F.col("other_id").asc()]
-    through_rare = [
-        pairs.filter(~both_hot).withColumn("common_files", F.col("rare_files")),
-        pairs.filter(both_hot).join(set_overlap, ["set_id", "other_set"], "left").withColumn(
-            "common_files", F.col("rare_files") + F.coalesce("hot_files", F.lit(0))
-        ),
-    ]
-    with_hot = top_per_key(
-        through_rare[0].select(*columns).unionByName(through_rare[1].select(*columns)),
-        ["pr_id"], order, limit, "_rn",
-    ).drop("_rn")
-
-    # partners through hot files only: first members of every overlapping set
-    members = top_per_key(sets, ["set_id"], _tie(), limit, "_rn").select(
-        F.col("set_id").alias("other_set"),
-        F.col("pr_id").alias("other_id"), F.col("pr_number").alias("other_number"),
-    )
-    set_partners = top_per_key(
-        set_overlap.withColumnRenamed("hot_files", "common_files").join(members, "other_set"),
-        ["set_id"],
-        [F.col("common_files").desc(), F.col("other_number").desc(), F.col("other_id").asc()],
-        limit, "_rn",
-    ).drop("_rn", "other_set")
-    partners = set_partners.groupBy("set_id").agg(
-        F.collect_list(F.struct("other_id", "other_number", "common_files")).alias("partners")
-    )
-    through_sets = (
-        set_of.select("pr_id", "set_id")
-        .join(partners, "set_id")
-        .select("pr_id", F.inline("partners"))
-    )
-
-    # a pair on both lists counts in full; its set-only row can never be among the first
-    both = (
-        with_hot.unionByName(through_sets)
-        .groupBy("pr_id", "other_id", "other_number")
-        .agg(F.max("common_files").alias("common_files"))
-    )
-    return top_per_key(both, ["pr_id"], order, limit, "overlap_rank")
+    prs = edges.select("pr_id", "pr_number").distinct().orderBy("pr_number", F.col("pr_id").desc())
+    named = cut(prs.withColumn("pr", F.monotonically_increasing_id()))  # numbers in the order of ties
+    by_file = edges.join(named.select("pr_id", "pr"), "pr_id").select("pr", "file_path")
+    degree = by_file.groupBy("file_path").agg(F.count("*").alias("degree")).where(F.col("degree") > max_degree)
+    files = cut(degree.withColumn("file", F.monotonically_increasing_id()))
+    hot = by_file.join(files, "file_path").select("pr", "file", "degree")
+    some_hot = not files.isEmpty()
+    pairing = by_file.select("pr", "file_path", F.lit(None).cast("array<bigint>").alias("over"), F.lit(None).cast("array<bigint>").alias("hot"))
+    if some_hot:
+        own, partners = _hot_partners(hot, limit, passed, narrow)
+        numbered = by_file.join(files.select("file_path", "file"), "file_path", "left").join(own, "pr", "left")
+        over = F.coalesce(F.array_contains("over", F.col("file")), F.lit(False))
+        pairing = numbered.select("pr", "file_path", "over", "hot", over.alias("is_over"))
+    other = pairing.select("file_path", F.col("pr").alias("other"), F.col("hot").alias("other_hot"))
+    left = pairing.where("NOT is_over").drop("is_over", "hot") if some_hot else pairing.drop("hot")
+    met = left.join(other, "file_path")
+    if some_hot:
+        more = F.when(F.col("over").isNotNull() & F.col("other_hot").isNotNull(), F.size(F.array_intersect("over", "other_hot"))).otherwise(0)
+        met = met.select("pr", "other", more.alias("more")).groupBy("pr", "other", "more").agg(F.count("*").alias("n"))
+        counted = met.select("pr", "other", (F.col("n") + F.col("more")).alias("common_files"))
+    else:
+        counted = met.groupBy("pr", "other").agg(F.count("*").alias("common_files"))
+    order = [F.col("common_files").desc(), F.col("other").desc()]
+    top = top_per_key(counted, ["pr"], order, limit, "overlap_rank")
+    if some_hot:
+        through_hot = own.select("pr", "over").join(partners, "over").select("pr", F.inline("partners")).withColumnRenamed("shared", "common_files")
+        both = top.drop("overlap_rank").unionByName(through_hot).groupBy("pr", "other").agg(F.max("common_files").alias("common_files"))
+        top = top_per_key(both, ["pr"], order, limit, "overlap_rank")
+    others = named.select(F.col("pr").alias("other"), F.col("pr_id").alias("other_id"), F.col("pr_number").alias("other_number"))
+    return top.join(others, "other").join(named.select("pr", "pr_id"), "pr").select(
+        "pr_id", "other_id", "other_number", "common_files", "overlap_rank")
 
 
 def same_repo(pr_id: Column, other_id: Column) -> Column:

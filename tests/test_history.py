@@ -1,6 +1,8 @@
+import itertools
 import random
 from collections import Counter, defaultdict
 
+import pytest
 from pyspark.sql import functions as F
 
 from revsieve.operators import cycles, history as hist, ranking, report, similarity as sim
@@ -50,6 +52,37 @@ def test_common_counts_are_symmetric_without_a_limit(spark):
     assert all(got[b, a] == n for (a, b), n in got.items())
 
 
+@pytest.mark.parametrize("passed,narrow", [(1, 16), (2, 2), (3, 16), (4, 0)])
+def test_common_counts_with_few_files_passed_over(spark, passed, narrow):
+    edges = _edges(random.Random(passed), 40, 0.4)
+    files, number = defaultdict(set), {}
+    for pr, n, f in edges:
+        files[pr].add(f)
+        number[pr] = n
+    want = set()
+    for q in files:
+        shared = sorted(((-len(files[q] & files[o]), -number[o], o) for o in files if files[q] & files[o]))[:5]
+        want |= {(q, o, -n, k) for k, (n, _, o) in enumerate(shared, 1)}
+    df = spark.createDataFrame(edges, "pr_id string, pr_number bigint, file_path string")
+    for max_degree in (3, 12):
+        got = {(r.pr_id, r.other_id, r.common_files, r.overlap_rank)
+               for r in hist.common_file_counts(df, 5, max_degree, passed, narrow).collect()}
+        assert got == want, max_degree
+
+
+def test_a_file_of_all_with_as_many_sets(spark):
+    """30,000 pull requests on one file, each with its own three of 60 others that are hot too: no sets or users are paired."""
+    n, others = 30_000, 60
+    combos = list(itertools.islice(itertools.combinations(range(others), 3), n))
+    rows = [(f"o/r#{i}", i, f) for i, c in enumerate(combos) for f in ("lock", *(f"h{k}" for k in c))]
+    df = spark.createDataFrame(rows, "pr_id string, pr_number bigint, file_path string")
+    top = hist.common_file_counts(df, 4).where("pr_id in ('o/r#0', 'o/r#17', 'o/r#29999')").collect()
+    for q in (0, 17, 29_999):
+        shared = sorted(((1 + len(set(c) & set(combos[q])), i) for i, c in enumerate(combos)), reverse=True)[:4]
+        got = sorted((r for r in top if r.pr_id == f"o/r#{q}"), key=lambda r: r.overlap_rank)
+        assert [(r.common_files, r.other_number) for r in got] == shared
+
+
 def test_hot_file_does_not_pair_everything(spark):
     """A file in every pull request: work stays linear in the number of rows."""
     df = spark.range(3000).select(
