@@ -70,7 +70,7 @@ def _tie(prefix: str = "") -> list[Column]:
     return [F.col(f"{prefix}pr_number").desc(), F.col(f"{prefix}pr_id").asc()]
 
 
-def _subsets(items: Column, most: int) -> Column:
+def subsets(items: Column, most: int) -> Column:
     """All subsets of 1 to ``most`` elements, each in the order of ``items``."""
     grow = lambda known, x: F.concat(known, F.transform(
         F.filter(known, lambda s: F.size(s) < most), lambda s: F.concat(s, F.array(x))))
@@ -78,28 +78,69 @@ def _subsets(items: Column, most: int) -> Column:
     return F.filter(F.aggregate(items, none, grow), lambda s: F.size(s) > 0)
 
 
-def _hot_partners(hot: DataFrame, limit: int, passed: int, narrow: int) -> tuple[DataFrame, DataFrame]:
-    """What pull requests share through hot files: (pr, over, hot) and (over, partners).
-
-    ``hot`` has (pr, file, degree) with numbers for both. ``over`` are the up to ``passed`` hottest files of a pull request, which it is not
-    paired on, and ``hot`` all its hot ones. Whoever shares nothing else with it shares exactly some subset X of ``over``; all holders of X share at
-    least as much, so only the first few of them count. ``partners`` are the first ``limit + 1`` for each ``over`` by files shared with it,
-    then by number; ``shared`` counts these files.
-    """
+def own_hot_files(hot: DataFrame, passed: int) -> DataFrame:
+    """(pr, over, hot): all hot files of a pull request, and its ``passed`` hottest. ``hot`` has (pr, file, degree) with numbers for both."""
     by_heat = F.transform(F.sort_array(F.collect_list(F.struct(-F.col("degree"), "file"))), lambda x: x["file"])
-    own = cut(hot.groupBy("pr").agg(by_heat.alias("heat")).select(
+    return cut(hot.groupBy("pr").agg(by_heat.alias("heat")).select(
         "pr", F.sort_array(F.slice("heat", 1, passed)).alias("over"), F.sort_array("heat").alias("hot")))
+
+
+def holders_of(own: DataFrame, passed: int, narrow: int, *more: str) -> tuple[DataFrame, DataFrame]:
+    """(files, other, other_hot) for every set of up to ``passed`` hot files that a pull request holds, and (file, other) for the few
+    pull requests with more than ``narrow`` hot files, which have too many such sets."""
+    few = own.where(F.size("hot") <= narrow).select(
+        F.explode(subsets(F.col("hot"), passed)).alias("files"), F.col("pr").alias("other"), F.col("hot").alias("other_hot"), *more)
+    wide = own.where(F.size("hot") > narrow).select(F.explode("hot").alias("file"), F.col("pr").alias("other"), *more)
+    return few, wide
+
+
+def _hot_partners(own: DataFrame, limit: int, passed: int, narrow: int) -> DataFrame:
+    """(over, partners): for the files that a pull request passes over, the first ``limit + 1`` partners by how many of these they share.
+
+    Whoever shares nothing else with it shares exactly some set X of these files; all holders of X share at least as much, so only the
+    first few of them count.
+    """
+    few, wide = holders_of(own, passed, narrow)
     asked = own.select("over").distinct()
-    few = own.where(F.size("hot") <= narrow)
-    holders = few.select(F.explode(_subsets(F.col("hot"), passed)).alias("files"), F.col("pr").alias("other"), F.col("hot").alias("other_hot"))
-    first = top_per_key(holders, ["files"], [F.col("other").desc()], limit + 1, "_n").drop("_n")
-    listed = asked.select("over", F.explode(_subsets(F.col("over"), passed)).alias("files")).join(first, "files").select(
+    first = top_per_key(few, ["files"], [F.col("other").desc()], limit + 1, "_n").drop("_n")
+    listed = asked.select("over", F.explode(subsets(F.col("over"), passed)).alias("files")).join(first, "files").select(
         "over", "other", F.size(F.array_intersect("over", "other_hot")).cast("bigint").alias("shared")).distinct()
-    # pull requests with very many hot files have too many subsets: these few meet the files passed over one by one
-    wide = own.where(F.size("hot") > narrow).select(F.col("pr").alias("other"), F.explode("hot").alias("file"))
     counted = asked.select("over", F.explode("over").alias("file")).join(wide, "file").groupBy("over", "other").agg(F.count("*").alias("shared"))
     best = top_per_key(listed.unionByName(counted), ["over"], [F.col("shared").desc(), F.col("other").desc()], limit + 1, "_n")
-    return own, best.groupBy("over").agg(F.collect_list(F.struct("other", "shared")).alias("partners"))
+    return best.groupBy("over").agg(F.collect_list(F.struct("other", "shared")).alias("partners"))
+
+
+def numbered_edges(edges: DataFrame, *more: str) -> tuple[DataFrame, DataFrame]:
+    """(pr, pr_id, pr_number), numbered in the order of ties, and the edges as (pr, file_path)."""
+    prs = edges.select("pr_id", "pr_number", *more).distinct().orderBy("pr_number", F.col("pr_id").desc())
+    named = cut(prs.withColumn("pr", F.monotonically_increasing_id()))
+    return named, edges.select("pr_id", "file_path").join(named.select("pr_id", "pr"), "pr_id").select("pr", "file_path")
+
+
+def hot_edges(by_file: DataFrame, max_degree: int) -> tuple[DataFrame, DataFrame]:
+    """(file_path, degree, file) of hot files, numbered, and (pr, file, degree)."""
+    degree = by_file.groupBy("file_path").agg(F.count("*").alias("degree")).where(F.col("degree") > max_degree)
+    files = cut(degree.withColumn("file", F.monotonically_increasing_id()))
+    return files, by_file.join(files, "file_path").select("pr", "file", "degree")
+
+
+def pairing_sides(by_file: DataFrame, files: DataFrame, own: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """(file_path, pr, over) without the files passed over, and (file_path, other, other_hot) with all."""
+    none = F.lit(None).cast("array<bigint>")
+    if own is None:
+        left = by_file.withColumn("over", none)
+        return left, by_file.select("file_path", F.col("pr").alias("other"), none.alias("other_hot"))
+    numbered = by_file.join(files.select("file_path", "file"), "file_path", "left").join(own, "pr", "left")
+    passed = F.coalesce(F.array_contains("over", F.col("file")), F.lit(False))
+    return numbered.where(~passed).select("file_path", "pr", "over"), numbered.select(
+        "file_path", F.col("pr").alias("other"), F.col("hot").alias("other_hot"))
+
+
+def counted_pairs(met: DataFrame) -> DataFrame:
+    """(pr, other, common_files) of pairs that met on files, with the files on top that were passed over."""
+    more = F.when(F.col("over").isNotNull() & F.col("other_hot").isNotNull(), F.size(F.array_intersect("over", "other_hot"))).otherwise(0)
+    grouped = met.select("pr", "other", more.alias("more")).groupBy("pr", "other", "more").agg(F.count("*").alias("n"))
+    return grouped.select("pr", "other", (F.col("n") + F.col("more")).alias("common_files"))
 
 
 def common_file_counts(
@@ -115,34 +156,26 @@ def common_file_counts(
     that it meets nowhere else it takes the first few of each group that shares the same ones. No file pairs all its pull requests, nor their
     sets of files, and the result is exact.
     """
-    prs = edges.select("pr_id", "pr_number").distinct().orderBy("pr_number", F.col("pr_id").desc())
-    named = cut(prs.withColumn("pr", F.monotonically_increasing_id()))  # numbers in the order of ties
-    by_file = edges.join(named.select("pr_id", "pr"), "pr_id").select("pr", "file_path")
-    degree = by_file.groupBy("file_path").agg(F.count("*").alias("degree")).where(F.col("degree") > max_degree)
-    files = cut(degree.withColumn("file", F.monotonically_increasing_id()))
-    hot = by_file.join(files, "file_path").select("pr", "file", "degree")
-    some_hot = not files.isEmpty()
-    pairing = by_file.select("pr", "file_path", F.lit(None).cast("array<bigint>").alias("over"), F.lit(None).cast("array<bigint>").alias("hot"))
-    if some_hot:
-        own, partners = _hot_partners(hot, limit, passed, narrow)
-        numbered = by_file.join(files.select("file_path", "file"), "file_path", "left").join(own, "pr", "left")
-        over = F.coalesce(F.array_contains("over", F.col("file")), F.lit(False))
-        pairing = numbered.select("pr", "file_path", "over", "hot", over.alias("is_over"))
-    other = pairing.select("file_path", F.col("pr").alias("other"), F.col("hot").alias("other_hot"))
-    left = pairing.where("NOT is_over").drop("is_over", "hot") if some_hot else pairing.drop("hot")
-    met = left.join(other, "file_path")
-    if some_hot:
-        more = F.when(F.col("over").isNotNull() & F.col("other_hot").isNotNull(), F.size(F.array_intersect("over", "other_hot"))).otherwise(0)
-        met = met.select("pr", "other", more.alias("more")).groupBy("pr", "other", "more").agg(F.count("*").alias("n"))
-        counted = met.select("pr", "other", (F.col("n") + F.col("more")).alias("common_files"))
-    else:
-        counted = met.groupBy("pr", "other").agg(F.count("*").alias("common_files"))
+    named, by_file = numbered_edges(edges)
+    files, hot = hot_edges(by_file, max_degree)
+    own = None if files.isEmpty() else own_hot_files(hot, passed)
+    left, other = pairing_sides(by_file, files, own)
     order = [F.col("common_files").desc(), F.col("other").desc()]
-    top = top_per_key(counted, ["pr"], order, limit, "overlap_rank")
-    if some_hot:
-        through_hot = own.select("pr", "over").join(partners, "over").select("pr", F.inline("partners")).withColumnRenamed("shared", "common_files")
-        both = top.drop("overlap_rank").unionByName(through_hot).groupBy("pr", "other").agg(F.max("common_files").alias("common_files"))
-        top = top_per_key(both, ["pr"], order, limit, "overlap_rank")
+    top = top_per_key(counted_pairs(left.join(other, "file_path")), ["pr"], order, limit, "overlap_rank")
+    if own is not None:
+        through_hot = own.select("pr", "over").join(_hot_partners(own, limit, passed, narrow), "over").select(
+            "pr", F.inline("partners")).withColumnRenamed("shared", "common_files")
+        top = first_of_both(top.drop("overlap_rank"), through_hot, limit)
+    return with_names(top, named)
+
+
+def first_of_both(met: DataFrame, through_hot: DataFrame, limit: int) -> DataFrame:
+    """A pair on both lists counts as on the one with more files."""
+    both = met.unionByName(through_hot).groupBy("pr", "other").agg(F.max("common_files").alias("common_files"))
+    return top_per_key(both, ["pr"], [F.col("common_files").desc(), F.col("other").desc()], limit, "overlap_rank")
+
+
+def with_names(top: DataFrame, named: DataFrame) -> DataFrame:
     others = named.select(F.col("pr").alias("other"), F.col("pr_id").alias("other_id"), F.col("pr_number").alias("other_number"))
     return top.join(others, "other").join(named.select("pr", "pr_id"), "pr").select(
         "pr_id", "other_id", "other_number", "common_files", "overlap_rank")
