@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import functions as F
 
 from checks import rule_sql as R
@@ -12,10 +14,11 @@ from revsieve.operators import cycles, feedback as fb, history as hist, ranking,
 from revsieve.operators import history_as_of as past
 from revsieve.operators import similarity as sim
 from revsieve.operators import vector_index as vi
-from revsieve.operators.catalog import LINE_RULES, RuleBook, line_rule, merge_rule_tables
+from revsieve.operators.catalog import LINE_RULES, Rule, RuleBook, line_rule, merge_rule_tables
 from revsieve.operators.relational import missing_tests
 from revsieve.operators.scan import scan
 from revsieve.plans import review as rv
+from revsieve.plans.analyzers import Analyzer, of_columns
 from revsieve.plans.lineage import cut, new_dir
 from revsieve.sources import readers, team, writers
 from revsieve.sources.stored import StoredTable
@@ -650,12 +653,12 @@ def reply_feedback_whole_words(t):
 
 @query("auto_detected_feedback", """SELECT a.pr_id, a.analysis_result_id, b.analysis_result_id IS NULL AS was_fixed,
    CASE WHEN b.analysis_result_id IS NULL THEN 'positive' ELSE 'negative' END AS feedback_type, 'system' AS reviewer
- FROM (SELECT * FROM findings WHERE rule_id = 'n_plus_one') a LEFT JOIN (SELECT DISTINCT pr_id, analysis_result_id FROM findings f
-   WHERE rule_id = 'n_plus_one' AND EXISTS (SELECT 1 FROM file_diffs d WHERE d.pr_id = f.pr_id AND d.file_ord = f.file_ord AND d.status <> 'removed')) b
+ FROM (SELECT * FROM findings WHERE rule_id NOT IN ('circular_dependency', 'missing_tests')) a LEFT JOIN (SELECT DISTINCT pr_id, analysis_result_id FROM findings f
+   WHERE rule_id NOT IN ('circular_dependency', 'missing_tests') AND EXISTS (SELECT 1 FROM file_diffs d WHERE d.pr_id = f.pr_id AND d.file_ord = f.file_ord AND d.status <> 'removed')) b
   ON a.pr_id = b.pr_id AND a.analysis_result_id = b.analysis_result_id""", ("file_diffs",), R.findings_ctes())
 def auto_detected_feedback(t):
-    """The later version of a pull request no longer has its removed files."""
-    only = BOOK.only("n_plus_one")
+    """The later version of a pull request no longer has its removed files; every rule that looks at one file."""
+    only = [n for n in BOOK.numbers() if BOOK.rules[n - 1].rule_id not in ("circular_dependency", "missing_tests")]
     earlier = rv.all_findings(t("file_diffs"), BOOK, only)
     later = rv.all_findings(t("file_diffs").filter("status <> 'removed'"), BOOK, only)
     marked = fb.mark_fixed(*[d.withColumn("analysis_result_id", BOOK.finding_id()) for d in (earlier, later)])
@@ -807,6 +810,75 @@ def review_with_feedback(t):
     return top.select("pr_id", "rank", "file_path", "line_start", BOOK.lookup("rule_id").alias("rule_id"), "confidence", "score")
 
 
+_LEARNED_ADJUSTED = """patterned AS (SELECT a.* REPLACE (CASE WHEN m.k IS NULL THEN confidence ELSE greatest(0, least(1, confidence * m.k)) END AS confidence)
+  FROM adjusted a LEFT JOIN (SELECT pr_id, file_ord, file_path, rule_no, line_start, match_ord, product(multiplier) AS k
+   FROM findings f JOIN learned p ON f.category = p.category AND regexp_matches(f.file_path, p.file_pattern) GROUP BY ALL) m USING (pr_id, file_ord, file_path, rule_no, line_start, match_ord)),
+recorded AS (SELECT p.* REPLACE (CASE WHEN multiplier IS NULL THEN confidence ELSE greatest(0, least(1.0::DOUBLE, confidence * multiplier)) END AS confidence)
+  FROM patterned p LEFT JOIN adj USING (category))"""
+
+
+@query("review_learned", f"SELECT pr_id, rank, file_path, {_RANK_SQL} FROM ranked",
+       ("feedback",), ",\n".join([LEARNED_CTES, _LEARNED_SQL, _CATEGORY_SQL, _LEARNED_ADJUSTED, R.ranked_ctes("recorded")]))
+def review_learned(t):
+    """A review with all three kinds of learning: the finding's own feedback, learned patterns, the category's record."""
+    f = feedback_of(t)
+    settings = rv.ReviewSettings(learned_patterns=cut(learned_of(t)), category_adjustments=cut(fb.category_adjustments(f)))
+    return rv.review(t("file_diffs"), fb.stats(f), settings).select(
+        "pr_id", "rank", "file_path", "line_start", BOOK.lookup("rule_id").alias("rule_id"), "confidence", "score")
+
+
+def _own_analyzers():
+    """A relational one, one of conditions, one that can't be planned and one that fails when it runs."""
+    def rule(rule_id, category, priority, confidence, title, **more):
+        return Rule(rule_id, "", category, priority, confidence, title, title + " in {path}", "Look at it", **more)
+
+    wide = rule("wide_pull_request", "architecture", "high", 0.8, "Many files in one pull request", arg_key="files", check_ord=1)
+    migration = rule("sql_file", "business_logic", "medium", 0.9, "Migration changed", check_ord=1)
+    big = rule("big_sql_file", "business_logic", "low", 0.7, "Large migration", check_ord=2)
+    low = rule("never_reported", "style", "low", 0.1, "Below any threshold")
+
+    def find_wide(diffs):
+        return diffs.groupBy("pr_id").agg(F.count("*").alias("n"), F.min("file_path").alias("file_path")).where("n >= 6").select(
+            "pr_id", "file_path", F.lit("wide_pull_request").alias("rule_id"), F.col("n").cast("string").alias("arg"))
+
+    def find_bad(diffs):
+        return diffs.select("pr_id", "file_path", F.when(F.length("diff") > 0, F.raise_error(F.lit("no such service"))).alias("rule_id"))
+
+    return [
+        Analyzer("breadth", (wide,), find_wide),
+        of_columns("migrations", [(migration, lambda: F.col("file_path").startswith("db/sql/")),
+                                  (big, lambda: F.col("file_path").startswith("db/sql/") & (F.col("changes") > 100)), (low, lambda: F.lit(True))]),
+        Analyzer("unplanned", (rule("x", "bug", "low", 0.9, "X"),), lambda diffs: diffs.select("no_such_column")),
+        Analyzer("failing", (rule("y", "bug", "low", 0.9, "Y"),), find_bad),
+    ]
+
+
+_OWN_BOOK = rv.ReviewSettings(analyzers=_own_analyzers()).book()
+
+
+def _own_row(rule_id, file_ord, arg="NULL"):
+    no = _OWN_BOOK.by_id[rule_id]
+    return (f"SELECT pr_id, {file_ord} AS file_ord, file_path, 1 AS line_start, 0 AS match_ord, {arg} AS arg, NULL AS code_snippet, {no} AS rule_no, "
+            f"CAST({_OWN_BOOK.rules[no - 1].confidence} AS DOUBLE) AS confidence")
+
+
+_OWN_ROWS = f"""{_own_row('wide_pull_request', 0, 'CAST(n AS VARCHAR)')} FROM (SELECT pr_id, count(*) AS n, min(file_path) AS file_path FROM file_diffs GROUP BY 1) w WHERE n >= 6
+ UNION ALL {_own_row('sql_file', 'file_ord')} FROM file_diffs WHERE starts_with(file_path, 'db/sql/')
+ UNION ALL {_own_row('big_sql_file', 'file_ord')} FROM file_diffs WHERE starts_with(file_path, 'db/sql/') AND changes > 100"""
+
+
+@query("review_own_analyzers", f"SELECT pr_id, rank, file_path, {_RANK_SQL}, title, 'unplanned, failing' AS left_out FROM ranked",
+       ("file_diffs",), R.findings_ctes(0.6, _OWN_BOOK, _OWN_ROWS) + ",\n" + R.ranked_ctes())
+def review_own_analyzers(t):
+    settings = rv.ReviewSettings(analyzers=_own_analyzers())
+    book = settings.book()
+    with warnings.catch_warnings():
+        warnings.simplefilter("ignore")  # two of them are meant to fail
+        top = rv.review(t("file_diffs"), settings=settings, book=book)
+    return top.select("pr_id", "rank", "file_path", "line_start", book.lookup("rule_id").alias("rule_id"), "confidence", "score",
+                      book.lookup("title").alias("title"), F.lit(", ".join(n for n, _ in settings.failed)).alias("left_out"))
+
+
 @query("review_full", f"SELECT r.pr_id, rank, file_path, {_RANK_SQL}, coalesce(evidence, '') AS evidence FROM ranked r LEFT JOIN ev ON ev.pr_id = r.pr_id",
        (*_HISTORY_NEEDS, "feedback"), _HISTORY_CTES + ",\n" + LEARNED_CTES + ",\n" + R.ranked_ctes("adjusted"))
 def review_full(t):
@@ -1020,11 +1092,14 @@ def stream_comment_feedback(t):
     return sinks.collect_append(s, "comments")
 
 
-@query("stream_file_rules", f"SELECT pr_id, {FINDING_SQL} FROM ({R.described(' UNION ALL '.join(R.rule_rows(r)[1] for r in ('sensitive_data', 'hardcoded_secret', 'large_change')))}) d",
+_FILE_RULES = [r.rule_id for r in BOOK.rules if r.rule_id not in ("circular_dependency", "missing_tests")]
+
+
+@query("stream_file_rules", f"SELECT pr_id, {FINDING_SQL} FROM ({R.described(' UNION ALL '.join(R.rule_rows(r)[1] for r in _FILE_RULES))}) d",
        ("file_diffs",), R.shared(["fd", "numbered", "added"]))
 def stream_file_rules(t):
-    """Rules as a plain streaming projection."""
-    s = scan(_stored(t, t("file_diffs"), "diffs"), BOOK, BOOK.only("sensitive_data", "hardcoded_secret", "large_change"))
+    """Every rule that looks at one file, as a plain streaming projection."""
+    s = scan(_stored(t, t("file_diffs"), "diffs"), BOOK, BOOK.only(*_FILE_RULES))
     return BOOK.describe(sinks.collect_append(s, "findings")).select(*FINDING_COLUMNS)
 
 

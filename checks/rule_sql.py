@@ -155,7 +155,7 @@ def described(rows: str, book: RuleBook = BOOK) -> str:
     def text(r) -> str:
         return f"replace(replace({q(r.description)}, '{{path}}', file_path), '{{arg}}', coalesce(arg, ''))"
 
-    analyzers = list(ANALYZER_FLOORS)
+    analyzers = list(book.floors)
     return f"""SELECT *, {case(lambda r: q(r.rule_id))} AS rule_id, {case(lambda r: q(r.category))} AS category,
   {case(lambda r: q(r.priority))} AS priority, {case(lambda r: q(r.title))} AS title, {case(text)} AS description,
   {case(lambda r: q(r.suggestion))} AS suggestion,
@@ -167,10 +167,12 @@ def shared(names) -> str:
     return ",\n".join(f"{n} AS ({SHARED_CTES[n]})" for n in order)
 
 
-def findings_ctes(min_rule_confidence: float = 0.0, book: RuleBook = BOOK) -> str:
-    """CTEs ending in ``findings``: every rule's rows with constants and id."""
-    needed, selects = [], []
+def findings_ctes(min_rule_confidence: float = 0.0, book: RuleBook = BOOK, own: str = "") -> str:
+    """CTEs ending in ``findings``: every rule's rows with constants and id, and the rows of ``own``, a SELECT."""
+    needed, selects = [], [own] if own else []
     for i in book.numbers(min_rule_confidence):
+        if book.rules[i - 1].analyzer not in ANALYZER_FLOORS:
+            continue
         need, select = rule_rows(book.rules[i - 1].rule_id, book)
         needed += need
         selects.append(select)

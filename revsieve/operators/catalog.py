@@ -216,11 +216,15 @@ def line_rule(name, pattern, category, priority, confidence, message, suggestion
 
 
 class RuleBook:
-    """An ordered set of rules; a rule's number is its 1-based place in the book."""
+    """An ordered set of rules; a rule's number is its 1-based place in the book.
 
-    def __init__(self, rules: Iterable[Rule]):
+    ``floors`` has the analyzers in reporting order, each with the least confidence that it reports.
+    """
+
+    def __init__(self, rules: Iterable[Rule], floors: dict[str, float] | None = None):
         self.rules = list(rules)
         self.by_id = {r.rule_id: i for i, r in enumerate(self.rules, 1)}
+        self.floors = dict(ANALYZER_FLOORS if floors is None else floors)
 
     @classmethod
     def builtin(cls) -> "RuleBook":
@@ -232,9 +236,17 @@ class RuleBook:
         custom = {r.rule_id: r for r in custom}
         lines = [custom.pop(r.rule_id, r) for r in self.rules if r.pattern is not None]
         return RuleBook(
-            lines + list(custom.values()) + [r for r in self.rules if r.pattern is None]
+            lines + list(custom.values()) + [r for r in self.rules if r.pattern is None], self.floors
         )
 
+    def with_analyzer(self, name: str, rules: Iterable[Rule], floor: float = 0.0) -> "RuleBook":
+        """The rules of one more analyzer after all others."""
+        rules = [replace(r, analyzer=name) for r in rules]
+        known = set(self.by_id) & {r.rule_id for r in rules}
+        if name in self.floors or known:
+            raise ValueError(f"analyzer {name} repeats a name: {sorted(known) or name}")
+        return RuleBook(self.rules + rules, self.floors | {name: floor})
+
     def numbers(self, min_confidence: float = 0.0, floors: bool = True) -> list[int]:
         """Rules whose findings can reach the output.
 
@@ -244,7 +256,7 @@ class RuleBook:
         return [
             i for i, r in enumerate(self.rules, 1)
             if r.confidence >= min_confidence
-            and (not floors or r.confidence >= ANALYZER_FLOORS[r.analyzer])
+            and (not floors or r.confidence >= self.floors[r.analyzer])
         ]
 
     def only(self, *rule_ids: str) -> list[int]:
@@ -277,7 +289,7 @@ class RuleBook:
         Analyzer and check come first, then the file. Line rules are applied file
         by file, so among them the rule's own place only counts after the file.
         """
-        analyzers = list(ANALYZER_FLOORS)
+        analyzers = list(self.floors)
         return [
             self.lookup(lambda r: analyzers.index(r.analyzer) * 100 + r.check_ord).asc(),
             F.col("file_ord").asc(),

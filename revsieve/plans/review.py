@@ -13,10 +13,11 @@ from revsieve.operators import history as hist
 from revsieve.operators import history_as_of as past
 from revsieve.operators import similarity as sim
 from revsieve.operators import vector_index as vi
-from revsieve.operators.catalog import MAX_FEEDBACK_LIFT, Rule, RuleBook
+from revsieve.operators.catalog import ANALYZER_FLOORS, MAX_FEEDBACK_LIFT, Rule, RuleBook
 from revsieve.operators.ranking import MAX_RESULTS, MIN_CONFIDENCE, rank_findings
 from revsieve.operators.relational import missing_tests
 from revsieve.operators.scan import CIRCULAR, pair_imports, scan
+from revsieve.plans.analyzers import Analyzer, run_analyzers
 from revsieve.plans.lineage import cut
 
 
@@ -28,20 +29,35 @@ class ReviewSettings:
     normalize_imports: bool = False
     custom_rules: list[Rule] = field(default_factory=list)
     extra_analyzers: list = field(default_factory=list)  # DataFrame -> slim findings
+    analyzers: list[Analyzer] = field(default_factory=list)  # with rules of their own
+    learned_patterns: DataFrame | None = None  # multiply the confidence of what they cover
+    category_adjustments: DataFrame | None = None  # multiply the confidence of a category
+    failed: list[tuple[str, str]] = field(default_factory=list)  # (analyzer, reason) of the last review
 
     def book(self, spark=None) -> RuleBook:
         """The rules in force; with a session, custom rules that it can't run are left out."""
         rules = check_patterns(spark, self.custom_rules) if spark else self.custom_rules
         book = RuleBook.builtin()
-        return book.with_line_rules(rules) if rules else book
+        book = book.with_line_rules(rules) if rules else book
+        for a in self.analyzers:
+            book = book.with_analyzer(a.name, a.rules, a.floor)
+        return book
 
 
 def rejected_rules(spark, rules: list[Rule]) -> list[tuple[Rule, str]]:
     """Rules whose pattern the regex engine does not accept, each with the reason."""
-    rejected = []
+    def tried(some: list[Rule]) -> None:
+        spark.range(1).select(*(F.rlike(F.lit(""), F.lit(rule.pattern)) for rule in some)).collect()
+
+    try:
+        if rules:
+            tried(rules)
+        return []
+    except Exception:  # noqa: BLE001  (one of them at least; now one by one)
+        rejected = []
     for rule in rules:
         try:
-            spark.range(1).select(F.rlike(F.lit(""), F.lit(rule.pattern))).collect()
+            tried([rule])
         except Exception as error:  # noqa: BLE001  (whatever the engine says is the reason)
             rejected.append((rule, str(error).splitlines()[0]))
     return rejected
@@ -58,11 +74,11 @@ def check_patterns(spark, rules: list[Rule]) -> list[Rule]:
 
 def all_findings(diffs: DataFrame, book: RuleBook, numbers: list[int] | None = None,
                  strict_tests: bool = False, normalize_imports: bool = False,
-                 extra_analyzers: list | None = None) -> DataFrame:
-    """Slim findings of every analyzer: one scan of the texts, one of the paths."""
+                 extra_analyzers: list | None = None, own: list[DataFrame] = ()) -> DataFrame:
+    """Slim findings of every analyzer: one scan of the texts, one of the paths, and ``own`` ones ready made."""
     numbers = book.numbers() if numbers is None else numbers
     tests_no = book.by_id["missing_tests"]
-    in_scan = [n for n in numbers if n != tests_no]
+    in_scan = [n for n in numbers if n != tests_no and book.rules[n - 1].analyzer in ANALYZER_FLOORS]
     parts = []
     if in_scan:
         found = scan(diffs, book, in_scan, normalize_imports)
@@ -71,36 +87,49 @@ def all_findings(diffs: DataFrame, book: RuleBook, numbers: list[int] | None = N
         parts.append(found)
     if tests_no in numbers:
         parts.append(missing_tests(diffs, book, strict_tests))
-    parts += [analyze(diffs) for analyze in extra_analyzers or []]
+    parts += [*(analyze(diffs) for analyze in extra_analyzers or []), *own]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
 
 
-def learn(findings: DataFrame, book: RuleBook, feedback_stats: DataFrame | None) -> DataFrame:
-    if feedback_stats is None:
-        return findings
-    return fb.adjust_findings(findings, feedback_stats, book.finding_id()).drop(
-        "total_feedback", "positive_ratio"
-    )
+#: What tells a finding from all others.
+FINDING_KEY = ["pr_id", "file_ord", "file_path", "rule_no", "line_start", "match_ord"]
+
+
+def learn(findings: DataFrame, book: RuleBook, feedback_stats: DataFrame | None,
+          patterns: DataFrame | None = None, categories: DataFrame | None = None) -> DataFrame:
+    """Confidence after feedback on the finding itself, then after learned patterns, then after its category's record."""
+    out = findings
+    if feedback_stats is not None:
+        out = fb.adjust_findings(out, feedback_stats, book.finding_id()).drop("total_feedback", "positive_ratio")
+    if patterns is not None or categories is not None:
+        out = out.withColumn("category", book.lookup("category"))
+        out = out if patterns is None else fb.apply_patterns(out, patterns, FINDING_KEY)
+        out = out if categories is None else fb.apply_category_multipliers(out, categories)
+        out = out.drop("category")
+    return out
 
 
 def review(diffs: DataFrame, feedback_stats: DataFrame | None = None,
-           settings: ReviewSettings | None = None) -> DataFrame:
+           settings: ReviewSettings | None = None, book: RuleBook | None = None) -> DataFrame:
     """Ranked slim findings per pull request.
 
     Rules whose constant confidence cannot reach the threshold, even with the most
-    favourable feedback, are not evaluated at all.
+    favourable feedback, are not evaluated at all. Learned patterns and category
+    records multiply, so with them every rule above its analyzer's floor is.
     """
     settings = settings or ReviewSettings()
-    book = settings.book(diffs.sparkSession)
+    book = book or settings.book(diffs.sparkSession)
     lift = MAX_FEEDBACK_LIFT + 1e-9 if feedback_stats is not None else 0.0
-    numbers = book.numbers(settings.min_confidence - lift)
+    multiplied = settings.learned_patterns is not None or settings.category_adjustments is not None
+    numbers = book.numbers(0.0 if multiplied else settings.min_confidence - lift)
+    own, settings.failed = run_analyzers(diffs, settings.analyzers, book, numbers)
     found = all_findings(diffs, book, numbers, settings.strict_tests,
-                         settings.normalize_imports, settings.extra_analyzers)
-    return rank_findings(learn(found, book, feedback_stats), book,
-                         settings.min_confidence, settings.max_results)
+                         settings.normalize_imports, settings.extra_analyzers, own)
+    learned = learn(found, book, feedback_stats, settings.learned_patterns, settings.category_adjustments)
+    return rank_findings(learned, book, settings.min_confidence, settings.max_results)
 
 
 def context(prs: DataFrame, diffs: DataFrame, as_of: Column | None, issues: DataFrame | None = None,
@@ -153,5 +182,6 @@ def full_review(prs: DataFrame, diffs: DataFrame, as_of: Column | None,
                 feedback: DataFrame | None = None, settings: ReviewSettings | None = None,
                 **history) -> DataFrame:
     settings = settings or ReviewSettings()
-    ranked = review(diffs, fb.stats(feedback) if feedback is not None else None, settings)
-    return with_evidence(ranked, settings.book(diffs.sparkSession), context(prs, diffs, as_of, **history))
+    book = settings.book(diffs.sparkSession)
+    ranked = review(diffs, fb.stats(feedback) if feedback is not None else None, settings, book)
+    return with_evidence(ranked, book, context(prs, diffs, as_of, **history))
