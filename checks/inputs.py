@@ -115,7 +115,7 @@ FROM events e JOIN orders ON o_orderkey = {_EVENT_PR}"""),
     "commit_files": (("lineitem",), f"""
 SELECT {_pr_id('l_orderkey')} AS pr_id, l_orderkey AS pr_number, l_linenumber AS commit_ord,
   md5(concat(CAST(l_orderkey AS STRING), '-', CAST(l_linenumber AS STRING))) AS sha,
-  concat('commit ', CAST(l_linenumber AS STRING)) AS message, l_returnflag AS author,
+  concat('commit ', CAST(l_linenumber AS STRING)) AS message, l_returnflag AS author, CAST(l_shipdate AS DATE) AS ts,
   {_path('l_partkey % 8000')} AS filename, CAST(l_quantity AS INT) AS additions, l_linenumber AS deletions
 FROM lineitem"""),
     "issues": (("documents",), f"""

@@ -20,7 +20,7 @@ from revsieve.operators.scan import scan
 from revsieve.plans import review as rv
 from revsieve.plans.analyzers import Analyzer, of_columns
 from revsieve.plans.lineage import cut, new_dir
-from revsieve.sources import readers, team, writers
+from revsieve.sources import feeds, readers, team, writers
 from revsieve.sources.stored import StoredTable
 from revsieve.streaming import counters, events, expiring, sinks
 
@@ -356,12 +356,21 @@ def read_repositories(t):
 
 
 @query("commit_rollup", """SELECT pr_id, sha, CAST(min(commit_ord) AS BIGINT) AS commit_ord, min(message) AS message, min(author) AS author,
-  CAST(sum(additions) AS BIGINT) AS additions, CAST(sum(deletions) AS BIGINT) AS deletions, count(*) AS n_files FROM commit_files GROUP BY 1, 2""",
+  strftime(min(ts), '%Y-%m-%d') AS ts, CAST(sum(additions) AS BIGINT) AS additions, CAST(sum(deletions) AS BIGINT) AS deletions, count(*) AS n_files FROM commit_files GROUP BY 1, 2""",
        ("commit_files",))
 def commit_rollup(t):
     return report.commit_rollup(t("commit_files"))
 
 
+@query("commit_file_parts", """SELECT pr_id, sha, part, string_agg(filename, '|' ORDER BY filename) AS files_changed FROM (SELECT *,
+   CAST(floor((row_number() OVER (PARTITION BY pr_id, sha ORDER BY filename) - 1) / 2) AS BIGINT) AS part FROM all_files) f GROUP BY 1, 2, 3""",
+       ("commit_files",), "all_files AS (SELECT pr_id, concat('s', pr_number % 3) AS sha, concat(filename, ' ', commit_ord) AS filename FROM commit_files)")
+def commit_file_parts(t):
+    """Commits of several files, two to a part."""
+    files = t("commit_files").select("pr_id", F.concat(F.lit("s"), F.col("pr_number") % 3).alias("sha"), F.concat_ws(" ", "filename", "commit_ord").alias("filename"))
+    return report.commit_file_lists(files, 2).select("pr_id", "sha", "part", F.array_join("files_changed", "|").alias("files_changed"))
+
+
 @query("commit_file_lists", "SELECT pr_id, sha, CAST(0 AS BIGINT) AS part, string_agg(filename, '|' ORDER BY filename) AS files_changed FROM commit_files GROUP BY 1, 2",
        ("commit_files",))
 def commit_file_lists(t):
@@ -388,6 +397,51 @@ def pr_document_nested(t):
         F.array_join(F.col("related_issues.issue_id"), "|").alias("issues"))
 
 
+def _weight_sql(fields: str, n: int) -> str:
+    return f"greatest(CAST(ceil((16 * {n} + {fields}) / 2.0::DOUBLE) AS BIGINT), 1)"
+
+
+_PART_SQL = "CAST(floor((sum(w) OVER (PARTITION BY pr_id ORDER BY {order}) - w) / 1000) AS BIGINT) AS part"
+_LEN = "coalesce(strlen(CAST({0} AS VARCHAR)), 0)"
+_DIFF_BYTES = _weight_sql(" + ".join(_LEN.format(c) for c in ("file_path", "additions", "deletions", "changes", "status", "language", "diff")), 7)
+_COMMIT_BYTES = _weight_sql(" + ".join(_LEN.format(c) for c in ("sha", "message", "author", "ts", "additions", "deletions", "files")), 7)
+_ISSUE_BYTES = _weight_sql(" + ".join(_LEN.format(c) for c in ("issue_id", "title", "body", "label", "state")), 5)
+
+
+@query("pr_documents_whole", """SELECT p.pr_id, coalesce(k.part, 0) AS part, coalesce(diffs, '') AS diffs, coalesce(commits, '') AS commits, coalesce(issues_text, '') AS issues, 'reviewers' AS team
+ FROM prs p LEFT JOIN (SELECT pr_id, part FROM dp UNION SELECT pr_id, part FROM cp UNION SELECT pr_id, part FROM ip) k USING (pr_id)
+ LEFT JOIN dp USING (pr_id, part) LEFT JOIN cp USING (pr_id, part) LEFT JOIN ip USING (pr_id, part)""",
+       ("prs", "file_diffs", "commit_files", "issues"), f"""
+dp AS (SELECT pr_id, part, string_agg(concat_ws(':', file_ord, file_path, additions, deletions, changes, status, language, md5(diff)), '|' ORDER BY file_ord) AS diffs
+  FROM (SELECT *, {_PART_SQL.format(order='file_ord')} FROM (SELECT *, {_DIFF_BYTES} AS w FROM file_diffs) a) b GROUP BY 1, 2),
+cp AS (SELECT pr_id, part, string_agg(concat_ws(':', commit_ord, sha, message, author, CAST(ts AS VARCHAR), additions, deletions, files), '|' ORDER BY commit_ord) AS commits
+  FROM (SELECT *, {_PART_SQL.format(order='commit_ord')} FROM (SELECT *, {_COMMIT_BYTES} AS w FROM (
+   SELECT pr_id, sha, min(commit_ord) AS commit_ord, min(message) AS message, min(author) AS author, min(ts) AS ts, CAST(sum(additions) AS BIGINT) AS additions,
+    CAST(sum(deletions) AS BIGINT) AS deletions, string_agg(filename, '  ' ORDER BY filename) AS files FROM commit_files GROUP BY 1, 2) r) a) b GROUP BY 1, 2),
+ip AS (SELECT pr_id, part, string_agg(concat_ws(':', i, issue_id, title, md5(body), label, state), '|' ORDER BY i) AS issues_text
+  FROM (SELECT *, {_PART_SQL.format(order='i')} FROM (SELECT *, {_ISSUE_BYTES} AS w FROM (
+   SELECT pr_id, unnest(ids) AS issue_id, generate_subscripts(ids, 1) AS i FROM (SELECT pr_id, regexp_extract_all(description, '#(\\d+)', 1) AS ids FROM prs) r) x
+   JOIN issues USING (issue_id)) a) b GROUP BY 1, 2)""")
+def pr_documents_whole(t):
+    """All fields of the nested documents, in parts of about 2,000 bytes."""
+    docs = report.pr_documents(
+        t("prs"), t("file_diffs"), report.commits_with_files(t("commit_files")), hist.related_issues(t("prs"), issues_of(t), by_repo=False),
+        team=team.defaults(t.spark).withColumn("team_name", F.lit("reviewers")), part_bytes=2000)
+
+    def texts(name, *fields):
+        return F.array_join(F.transform(name, lambda x: F.concat_ws(":", *(f(x).cast("string") for f in fields))), "|").alias(name)
+
+    get = lambda k: lambda x: x[k]
+    return docs.select(
+        "pr_id", "part",
+        texts("diffs", *map(get, ("file_ord", "file_path", "additions", "deletions", "changes", "status", "language")), lambda x: F.md5(x["diff"])),
+        texts("commit_history", *map(get, ("commit_ord", "sha", "message", "author", "ts", "additions", "deletions")),
+              lambda x: F.array_join(x["files_changed"], "  ")).alias("commits"),
+        texts("related_issues", *map(get, ("issue_ord", "issue_id", "title")), lambda x: F.md5(x["body"]),
+              lambda x: F.array_join(x["labels"], ","), get("state")).alias("issues"),
+        F.col("team_context.team_name").alias("team"))
+
+
 @query("related_issues", """SELECT pr_id, CAST(i AS BIGINT) AS ref_ord, issue_id, title, state, label, length(body) AS body_chars FROM (
   SELECT pr_id, unnest(ids) AS issue_id, generate_subscripts(ids, 1) - 1 AS i FROM (
    SELECT pr_id, regexp_extract_all(description, '#(\\d+)', 1) AS ids FROM prs) a) r JOIN issues USING (issue_id)""", ("prs", "issues"))
@@ -427,6 +481,30 @@ def team_context_default(t):
         F.col("coding_conventions.max_line_length").alias("max_line_length"), F.size("known_patterns").alias("n_known"))
 
 
+@query("team_file", """SELECT c_mktsegment AS team_name, concat_ws('|', c_mktsegment, 'from ' || n) AS known_patterns, 100 AS max_line_length FROM (
+  SELECT c_mktsegment, count(*) AS n FROM customer GROUP BY 1) c""")
+def team_file(t):
+    """Team files, each with its own patterns and otherwise the defaults, written and loaded again."""
+    counted = t("customer").groupBy("c_mktsegment").agg(F.count("*").alias("n"))
+    folder, out = new_dir(t.spark, "teams"), None
+    for r in counted.orderBy("c_mktsegment").collect():  # a team is a file; the segments are few
+        own = team.defaults(t.spark).withColumn("known_patterns", F.array(F.lit(r["c_mktsegment"]), F.lit(f"from {r['n']}")))
+        team.save(own.drop("team_name"), f"{folder}/{r['c_mktsegment'].lower()}")
+        loaded = team.load(t.spark, f"{folder}/{r['c_mktsegment'].lower()}", r["c_mktsegment"])
+        out = loaded if out is None else out.unionByName(loaded)
+    return out.select("team_name", F.array_join("known_patterns", "|").alias("known_patterns"), F.col("coding_conventions.max_line_length").alias("max_line_length"))
+
+
+@query("vector_of_each", "SELECT pr_id, round(e[1], 6) AS first, len(e) AS dimensions FROM v WHERE pr_number IN (SELECT max(pr_number) FROM v UNION SELECT min(pr_number) FROM v)",
+       ("pr_vectors",), "v AS (SELECT pr_id, pr_number, CAST(embedding AS DOUBLE[]) AS e FROM pr_vectors)")
+def vector_of_each(t):
+    """The point look-up, for the first and the last vector."""
+    vectors = t("pr_vectors")
+    ends = vectors.agg(F.min_by("pr_id", "pr_number"), F.max_by("pr_id", "pr_number")).first()
+    found = sim.vector_of(vectors, ends[0]).unionByName(sim.vector_of(vectors, ends[1]))
+    return found.select("pr_id", F.get("embedding", F.lit(0)).cast("double").alias("first"), F.size("embedding").alias("dimensions"))
+
+
 @query("team_pattern_append", """SELECT DISTINCT c_mktsegment AS team_name, CASE WHEN c_mktsegment = 'BUILDING' THEN 'Always validate user input'
   ELSE concat_ws('|', c_mktsegment, 'Always validate user input') END AS known_patterns FROM customer""")
 def team_pattern_append(t):
@@ -476,6 +554,8 @@ ev AS MATERIALIZED (SELECT pr_id, string_agg(line, chr(10) ORDER BY part, ord) A
     FROM similar_prs WHERE similar_rank <= 3
    UNION ALL SELECT pr_id, part, n, line FROM bugs WHERE n <= 2) l GROUP BY 1)"""
 _HISTORY_NEEDS = ("prs", "file_diffs", "issues", "pr_vectors")
+#: The same with the similar pull requests of a table ``vec`` made before.
+_TEXT_CTES = [_EDGES_SQL, _COMMON_SQL, _OVERLAP_SQL, _RECENT_SQL, _SIMILAR_SQL, _CLOSED_SQL, _ISSUES_SQL, _EVIDENCE_SQL]
 _HISTORY_CTES = ",\n".join(
     [_EDGES_SQL, _COMMON_SQL, _OVERLAP_SQL, _VECTOR_SQL, _RECENT_SQL, _SIMILAR_SQL, _CLOSED_SQL, _ISSUES_SQL, _EVIDENCE_SQL])
 
@@ -889,6 +969,30 @@ def review_full(t):
                        F.array_join("evidence", "\n").alias("evidence"))
 
 
+_TEXT_VECTOR_SQL = """unit AS (SELECT pr_id, i, CAST(c / sqrt(sum(c * c) OVER (PARTITION BY pr_id)) AS FLOAT)::DOUBLE AS x FROM place),
+scaled AS (SELECT u.pr_id, pr_number, concat(repo_owner, '/', repo_name) AS block, i, x / (sqrt(sum(x * x) OVER (PARTITION BY u.pr_id)) + 1e-8) AS x FROM unit u JOIN prs USING (pr_id)),
+vec AS MATERIALIZED (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY pr_id ORDER BY similarity_score DESC, other_number DESC, other_id) AS method_rank FROM (
+   SELECT a.pr_id, b.pr_id AS other_id, b.pr_number AS other_number, round(greatest(-1, least(1, sum(a.x * b.x))), 6) AS similarity_score
+   FROM scaled a JOIN scaled b ON a.block = b.block AND a.i = b.i AND a.pr_id <> b.pr_id GROUP BY 1, 2, 3) s WHERE similarity_score >= 0.6) r WHERE method_rank <= 10)"""
+
+
+@query("similar_prs_text", "SELECT pr_id, other_id, other_number, similarity_score, method_rank FROM vec", ("prs", "file_diffs"),
+       ",\n".join([_PLACES_SQL, _TEXT_VECTOR_SQL]))
+def similar_prs_text(t):
+    """Text, embedding and search in one plan."""
+    return sim.vector_top_k(sim.pr_vectors(t("prs"), t("file_diffs")))
+
+
+@query("review_full_text", f"SELECT r.pr_id, rank, file_path, {_RANK_SQL}, coalesce(evidence, '') AS evidence FROM ranked r LEFT JOIN ev ON ev.pr_id = r.pr_id",
+       ("prs", "file_diffs", "issues", "feedback"), ",\n".join([_PLACES_SQL, _TEXT_VECTOR_SQL, *_TEXT_CTES, LEARNED_CTES, R.ranked_ctes("adjusted")]))
+def review_full_text(t):
+    """A full review whose similar pull requests come from their own texts."""
+    full = rv.full_review(t("prs"), t("file_diffs"), t.newest("orders", "o_orderdate"), feedback_of(t), issues=issues_of(t),
+                          text_vectors=True, issues_by_repo=False)
+    return full.select("pr_id", "rank", "file_path", "line_start", "rule_id", "confidence", "score",
+                       F.array_join("evidence", "\n").alias("evidence"))
+
+
 @query("missing_tests_strict", """SELECT pr_id, CAST(file_ord AS BIGINT) AS file_ord, file_path FROM candidates c WHERE NOT EXISTS (SELECT 1 FROM file_diffs t
   WHERE t.pr_id = c.pr_id AND t.status <> 'removed' AND (contains(t.file_path, c.base) OR replace(replace(t.file_path, 'test_', ''), '_test', '') = c.base))""",
        ("file_diffs",), R.shared(["candidates"]))
@@ -921,6 +1025,18 @@ def comment_body(t):
     return report.comments(full, report.commit_rollup(t("commit_files"))).select("pr_id", "commit_id", "rank", "body")
 
 
+@query("comments_read_back", """SELECT r.pr_id, count(*) AS comments_posted, string_agg(CAST(rank AS VARCHAR), ',' ORDER BY rank) AS ranks
+ FROM ranked r JOIN fc ON fc.pr_id = r.pr_id GROUP BY 1""", ("commit_files", "file_diffs"), _FIRST_COMMIT + ",\n" + R.findings_ctes(0.6) + ",\n" + R.ranked_ctes())
+def comments_read_back(t):
+    """Comments as they are written by repository, counted as they are read back."""
+    ranked = BOOK.describe(rv.review(t("file_diffs"))).withColumn("evidence", F.array().cast("array<string>"))
+    made, folder = report.comments(ranked, report.commit_rollup(t("commit_files"))), new_dir(t.spark, "comments")
+    writers.write_comments(made, folder)
+    back = t.spark.read.schema(made.schema).parquet(folder)
+    ranks = back.groupBy("pr_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list("rank")), lambda r: r.cast("string")), ",").alias("ranks"))
+    return report.comments_posted(back).join(ranks, "pr_id")
+
+
 @query("review_summary", """SELECT 'success' AS status, p.pr_id, p.pr_number, coalesce(n, 0) AS results_count,
    CASE WHEN c.pr_id IS NULL THEN 0 ELSE coalesce(n, 0) END AS comments_posted, coalesce(top, '') AS top
  FROM prs p LEFT JOIN (SELECT pr_id, count(*) AS n, string_agg(CASE WHEN rank <= 10 THEN title END, '|' ORDER BY rank) AS top FROM ranked GROUP BY 1) r ON r.pr_id = p.pr_id
@@ -1041,6 +1157,64 @@ def comment_event_feedback(t):
     return events.comment_feedback(t("webhook_events")).select(*_COMMENT_COLUMNS)
 
 
+def _feed_lines(t):
+    """Feedback as lines of JSON, some of them with one fault or another."""
+    n = F.col("feedback_id")
+    fields = {
+        "analysis_result_id": F.col("analysis_result_id"), "pr_id": F.col("pr_id"), "repo_owner": F.lit("o"), "repo_name": F.lit("r"),
+        "pr_number": F.when(n % 29 == 9, F.lit("abc")).otherwise(F.col("pr_number").cast("string")),
+        "feedback_type": F.when(n % 17 == 6, F.lit("great")).otherwise(F.lit("positive")),
+        "source": F.when(n % 19 == 7, F.lit("fax")).otherwise(F.lit("manual")), "reviewer": F.when(n % 13 != 5, F.col("reviewer")),
+        "category": F.col("category"), "file_path": F.col("file_path"), "line_number": F.when(n % 23 == 8, -1).otherwise(1),
+        "metadata": F.when(n % 31 == 10, F.lit("none")).otherwise(F.lit(None)),
+    }
+    whole = F.regexp_replace(F.to_json(F.struct(*(v.alias(k) for k, v in fields.items()))), r'"pr_number":"(\d+)"', r'"pr_number":$1')
+    line = F.when(n % 11 == 3, F.substring(whole, 1, 40)).when(n % 37 == 12, F.lit("  ")).when(n % 41 == 13, F.lit("[1, 2]")).otherwise(whole)
+    return t("feedback").select("feedback_id", line.alias("value"))
+
+
+_FEED_SQL = """SELECT feedback_id, reason IS NULL AS accepted, coalesce(reason, '') AS reason FROM (SELECT feedback_id,
+  CASE WHEN feedback_id % 11 = 3 THEN 'Invalid JSON' WHEN feedback_id % 37 = 12 THEN 'Empty line' WHEN feedback_id % 41 = 13 THEN 'Not an object'
+   WHEN feedback_id % 29 = 9 THEN 'Wrong type of pr_number' WHEN feedback_id % 13 = 5 THEN 'Missing reviewer' WHEN feedback_id % 17 = 6 THEN 'Unknown feedback_type ' || chr(39) || 'great' || chr(39)
+   WHEN feedback_id % 19 = 7 THEN 'Unknown source ' || chr(39) || 'fax' || chr(39) WHEN feedback_id % 23 = 8 THEN 'Negative line_number' WHEN feedback_id % 31 = 10 THEN 'Wrong type of an optional field' END AS reason
+  FROM feedback) f"""
+
+
+def _both_outputs(t, folder, checked):
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in checked.schema.fields)
+    good = feeds.accepted(t.spark, folder, schema).select("feedback_id", F.lit(True).alias("accepted"), F.lit("").alias("reason"))
+    return good.unionByName(feeds.rejected(t.spark, folder, schema).select("feedback_id", F.lit(False).alias("accepted"), "reason"))
+
+
+@query("feedback_feed", _FEED_SQL, ("feedback",))
+def feedback_feed(t):
+    """What a feed accepts and what it rejects and why, read back from where one pass has put them."""
+    checked, folder = feeds.checked_feedback(_feed_lines(t)), new_dir(t.spark, "feed")
+    feeds.split_table(checked, folder)
+    return _both_outputs(t, folder, checked)
+
+
+@query("stream_feedback_feed", _FEED_SQL, ("feedback",))
+def stream_feedback_feed(t):
+    checked, folder = feeds.checked_feedback(_stored(t, _feed_lines(t), "lines")), new_dir(t.spark, "feed")
+    feeds.split_stream(checked, f"{folder}/rows", f"{folder}/checkpoint").awaitTermination()
+    return _both_outputs(t, f"{folder}/rows", checked)
+
+
+@query("event_quarantine", """SELECT event_id, CASE WHEN event_id % 7 <> 5 AND event_id % 9 = 4 THEN 'Missing event type' WHEN event_id % 7 = 5 THEN 'Invalid JSON' ELSE 'Missing required PR information' END AS reason
+ FROM routed WHERE event_id % 7 = 5 OR event_id % 9 = 4 OR (event_type = 'pull_request' AND wanted AND NOT complete)""", ("webhook_events",), _ROUTE_CTES)
+def event_quarantine(t):
+    """Events that cannot be processed: cut off, without a type, or without what names a pull request."""
+    n = F.col("event_id")
+    rows = t("webhook_events").withColumns({
+        "payload": F.when(n % 7 == 5, F.expr("substring(payload, 1, length(payload) - 3)")).otherwise(F.col("payload")),
+        "event_type": F.when((n % 7 == 5) | (n % 9 != 4), F.col("event_type"))})
+    checked, folder = feeds.checked_events(rows), new_dir(t.spark, "events")
+    feeds.split_table(checked, folder)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in checked.schema.fields)
+    return feeds.rejected(t.spark, folder, schema).select("event_id", "reason")
+
+
 def _session_sql(gap: str) -> str:
     return f"""SELECT analysis_result_id, strftime(min(feedback_ts), '%Y-%m-%d %H:%M:%S') AS start, strftime(max(feedback_ts) + INTERVAL {gap}, '%Y-%m-%d %H:%M:%S') AS "end",
   count(*) AS total_count, count(*) FILTER (feedback_type = 'positive') AS positive_count, count(*) FILTER (feedback_type = 'negative') AS negative_count,

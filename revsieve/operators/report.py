@@ -4,14 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from revsieve.plans.lineage import new_dir
+from revsieve.plans.joins import join_small
+from revsieve.plans.lineage import cut, new_dir
 
 MAX_COMMENTS = 50  # Fixed value: comments written per pull request.
 RESPONSE_RESULTS = 10  # Fixed value: findings listed in a review response.
 COMMENT_EVIDENCE = 3
 COMMENT_SNIPPET = 200
 LIST_PART = 1000  # children per nested row
+PART_BYTES = 64_000_000  # and about so many bytes
 
 # Comment decoration.
 CATEGORY_EMOJI = {
@@ -34,41 +37,73 @@ COMMENT_FOOTER = (
 # -- nested documents -----------------------------------------------------------
 
 
-def listed(df: DataFrame, keys: list[str], ord_col: str, fields: list[str], name: str,
-           part_size: int = LIST_PART) -> DataFrame:
-    """Children of a key as ordered arrays of at most ``part_size`` ordinals each.
+def _weight(df: DataFrame, fields: list[str], part_size: int, part_bytes: int) -> Column:
+    """Share of a part that a row takes, in ``part_size`` units: by its bytes, one at least."""
+    size = F.lit(0)
+    for f in df.select(*fields).schema.fields:
+        value = F.array_join(F.col(f.name).cast("array<string>"), "  ") if isinstance(f.dataType, T.ArrayType) else F.col(f.name).cast("string")
+        size = size + F.coalesce(F.octet_length(value), F.lit(0)) + 16
+    return F.greatest(F.ceil(size * part_size / part_bytes), F.lit(1)).cast("bigint")
 
-    A key with more children continues in further parts, so no row and no task
-    holds an unbounded list, and nothing is left out.
+
+def _parts(weights: DataFrame, keys: list[str], order: list[str], part_size: int) -> DataFrame:
+    """Part of each row (keys, order, w) of the keys that need several: by the weights before it.
+
+    They are sums within a range of rows plus the sums of the ranges before, so no task takes a whole key.
+    """
+    large = weights.groupBy(*keys).agg(F.sum("w").alias("_all")).where(F.col("_all") > part_size).select(*keys)
+    folder = new_dir(weights.sparkSession, "parts")
+    weights.join(large, keys, "left_semi").repartitionByRange(*keys, *order).withColumn("_range", F.spark_partition_id()).write.parquet(folder)
+    rows = weights.sparkSession.read.parquet(folder)
+    by_key = Window.partitionBy(*keys)
+    offsets = rows.groupBy(*keys, "_range").agg(F.sum("w").alias("_sum")).select(
+        *keys, "_range", (F.sum("_sum").over(by_key.orderBy("_range").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_sum")).alias("_before"))
+    inside = F.sum("w").over(Window.partitionBy(*keys, "_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)) - F.col("w")
+    return rows.withColumn("_inside", inside).join(offsets, [*keys, "_range"]).select(
+        *keys, *order, F.floor((F.col("_before") + F.col("_inside")) / part_size).cast("int").alias("part"))
+
+
+def listed(df: DataFrame, keys: list[str], order: list[str], fields: list[str], name: str,
+           part_size: int = LIST_PART, part_bytes: int = PART_BYTES) -> DataFrame:
+    """Children of a key as ordered arrays, each of up to ``part_size`` rows and about ``part_bytes`` bytes.
+
+    A key with more continues in further parts, so no row and no task holds an unbounded list, and nothing is left out.
+    Only the numbers of the rows and their sizes are sorted for it. A part may exceed the bytes by its last row.
     """
-    part = F.floor((F.col(ord_col) - 1) / part_size).cast("int")
-    part = F.greatest(part, F.lit(0))
+    weights = df.withColumn("w", _weight(df, fields, part_size, part_bytes)).groupBy(*keys, *order).agg(F.sum("w").alias("w"))
+    parts = cut(_parts(weights, keys, order, part_size))
+    placed = join_small(df, parts, [*keys, *order], "left", salt_keys=[*keys, *order])
     return (
-        df.withColumn("part", part)
+        placed.withColumn("part", F.coalesce("part", F.lit(0)))
         .groupBy(*keys, "part")
-        .agg(F.sort_array(F.collect_list(F.struct(ord_col, *fields))).alias(name))
+        .agg(F.sort_array(F.collect_list(F.struct(*order, *fields))).alias(name))
     )
 
 
 def pr_documents(prs: DataFrame, diffs: DataFrame, commits: DataFrame | None = None,
-                 issues: DataFrame | None = None, recent: DataFrame | None = None,
-                 part_size: int = LIST_PART) -> DataFrame:
-    """Pull requests with their files, commits, issues and recent neighbours nested.
+                 issues: DataFrame | None = None, recent: DataFrame | None = None, team: DataFrame | None = None,
+                 part_size: int = LIST_PART, part_bytes: int = PART_BYTES) -> DataFrame:
+    """Pull requests with their files, commits, issues and recent neighbours nested, and the team's context (one row).
 
-    Usually one row (part 0) per pull request; a very large one spans several parts.
+    Usually one row (part 0) per pull request; a very large one spans several parts. Commits may come with their files
+    (``commits_with_files``), issues with all that is known of them.
     """
-    children = [listed(diffs, ["pr_id"], "file_ord",
-                       ["file_path", "additions", "deletions", "changes", "status", "language", "diff"],
-                       "diffs", part_size)]
+    def known(df: DataFrame, *fields: str) -> list[str]:
+        return [f for f in fields if f in df.columns]
+
+    size = {"part_size": part_size, "part_bytes": part_bytes}
+    children = [listed(diffs, ["pr_id"], ["file_ord"],
+                       ["file_path", "additions", "deletions", "changes", "status", "language", "diff"], "diffs", **size)]
     if commits is not None:
-        children.append(listed(commits, ["pr_id"], "commit_ord",
-                               ["sha", "message", "author", "additions", "deletions"],
-                               "commit_history", part_size))
+        children.append(listed(commits, ["pr_id"], ["commit_ord", *known(commits, "files_part")],
+                               ["sha", "message", "author", *known(commits, "ts"), "additions", "deletions", *known(commits, "files_changed")],
+                               "commit_history", **size))
     if issues is not None:
-        children.append(listed(issues.withColumn("issue_ord", F.col("ref_ord") + 1), ["pr_id"],
-                               "issue_ord", ["issue_id", "title", "state"], "related_issues", part_size))
+        children.append(listed(issues.withColumn("issue_ord", F.col("ref_ord") + 1), ["pr_id"], ["issue_ord"],
+                               ["issue_id", "title", *known(issues, "body", "labels"), "state", *known(issues, "created_at", "closed_at")],
+                               "related_issues", **size))
     if recent is not None:
-        children.append(listed(recent, ["pr_id"], "recent_rank", ["other_id"], "related_prs", part_size))
+        children.append(listed(recent, ["pr_id"], ["recent_rank"], ["other_id"], "related_prs", **size))
     joined = children[0]
     for child in children[1:]:
         joined = joined.join(child, ["pr_id", "part"], "full_outer")
@@ -77,21 +112,33 @@ def pr_documents(prs: DataFrame, diffs: DataFrame, commits: DataFrame | None = N
         name = child.columns[-1]
         empty = F.array().cast(child.schema[name].dataType)
         out = out.withColumn(name, F.coalesce(F.col(name), empty))
-    return out.withColumn("part", F.coalesce("part", F.lit(0)))
+    out = out.withColumn("part", F.coalesce("part", F.lit(0)))
+    if team is not None:
+        context = team.limit(1).select(F.struct(*team.columns).alias("team_context"), F.lit(1).alias("_one"))
+        out = out.withColumn("_one", F.lit(1)).join(F.broadcast(context), "_one", "left").drop("_one")
+    return out
 
 
 def commit_rollup(commit_files: DataFrame) -> DataFrame:
-    """Totals per commit."""
+    """Totals per commit; with its time where the files carry one."""
+    when = [F.min("ts").alias("ts")] if "ts" in commit_files.columns else []
     return commit_files.groupBy("pr_id", "sha").agg(
         F.min("commit_ord").alias("commit_ord"),
         F.min("message").alias("message"),
         F.min("author").alias("author"),
+        *when,
         F.sum("additions").alias("additions"),
         F.sum("deletions").alias("deletions"),
         F.count("*").alias("n_files"),
     )
 
 
+def commits_with_files(commit_files: DataFrame, part_size: int = LIST_PART) -> DataFrame:
+    """Commits with their changed files; one with more than ``part_size`` files has several rows."""
+    files = commit_file_lists(commit_files, part_size).withColumnRenamed("part", "files_part")
+    return commit_rollup(commit_files).join(files, ["pr_id", "sha"])
+
+
 def commit_file_lists(commit_files: DataFrame, part_size: int = LIST_PART, fan_out: int = 1) -> DataFrame:
     """Changed files per commit as sorted arrays.
 
@@ -168,6 +215,7 @@ def comments(ranked: DataFrame, commits: DataFrame, max_comments: int = MAX_COMM
 
 
 def comments_posted(written: DataFrame) -> DataFrame:
+    """Comments per pull request, of comments made or read back."""
     return written.groupBy("pr_id").agg(F.count("*").alias("comments_posted"))
 
 

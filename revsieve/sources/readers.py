@@ -61,5 +61,8 @@ def repositories(raw: DataFrame) -> DataFrame:
     })
 
 
-def parse_payload(raw: Column) -> Column:
-    return F.from_json(raw, schemas.WEBHOOK_PAYLOAD)
+def parse_payload(raw: Column, broken: str | None = None) -> Column:
+    """A payload's fields; with ``broken`` there is a field of that name, which holds a text that did not parse cleanly."""
+    if broken is None:
+        return F.from_json(raw, schemas.WEBHOOK_PAYLOAD)
+    return F.from_json(raw, f"{schemas.WEBHOOK_PAYLOAD}, {broken} string", {"columnNameOfCorruptRecord": broken})

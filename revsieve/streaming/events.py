@@ -31,8 +31,8 @@ def route(events: DataFrame) -> DataFrame:
     )
     is_pr = F.col("event_type") == "pull_request"
     wanted = F.coalesce(action.isin(*REVIEWED_ACTIONS), F.lit(False))
-    # a payload that is not JSON gives a row of nulls, not a null
-    broken = F.try_parse_json("payload").isNull()
+    # only a payload that did not parse cleanly is parsed again, since a value of the wrong type is not broken JSON
+    broken = F.when(p.isNull() | p["_broken"].isNotNull(), F.try_parse_json("payload").isNull()).otherwise(False)
     status = (
         F.when(F.col("event_type").isNull(), "error")
         .when(broken, "error")
@@ -49,7 +49,7 @@ def route(events: DataFrame) -> DataFrame:
             F.lit("Action '"), F.coalesce(action, F.lit("None")), F.lit("' not processed")))
         .when(is_pr & ~complete, "Missing required PR information")
     )
-    named = events.withColumn("_p", parse_payload(F.col("payload"))).withColumns({
+    named = events.withColumn("_p", parse_payload(F.col("payload"), "_broken")).withColumns({
         "action": action,
         "repo_owner": _owner(p),
         "repo_name": name,

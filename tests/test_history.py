@@ -256,3 +256,17 @@ def test_rank_invariants(spark):
     keys = [(r.pr_id, r.file_path, r.line_start, book.rules[r.rule_no - 1].category, book.rules[r.rule_no - 1].title[:50]) for r in rows]
     assert len(keys) == len(set(keys)) and all(0 <= r.confidence <= 1 for r in rows)
     assert ranking.MAX_RESULTS == 50
+
+
+def test_documents_are_cut_by_bytes(spark):
+    """A pull request of 300 files, one of them above a part's size, beside small ones."""
+    sizes = [10] * 100 + [5000] + [200] * 199
+    rows = [("big", i, f"f{i}", "x" * n) for i, n in enumerate(sizes, 1)] + [(f"p{i}", 1, "f", "y") for i in range(20)] + [("none", 1, None, None)]
+    df = spark.createDataFrame(rows, "pr_id string, file_ord int, file_path string, diff string").repartition(6)
+    got = report.listed(df, ["pr_id"], ["file_ord"], ["file_path", "diff"], "files", 100, 4000).collect()
+    assert sum(len(r.files) for r in got) == len(rows)
+    big = sorted((r for r in got if r.pr_id == "big"), key=lambda r: r.part)
+    assert [f.file_ord for r in big for f in r.files] == list(range(1, 301))
+    for r in big:
+        assert len(r.files) <= 100 and sum(32 + len(f.file_path) + len(f.diff) for f in r.files[:-1]) <= 4000
+    assert len(big) > 10 and all(r.part == 0 for r in got if r.pr_id != "big")
