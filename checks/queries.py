@@ -979,8 +979,8 @@ vec AS MATERIALIZED (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY pr
 @query("similar_prs_text", "SELECT pr_id, other_id, other_number, similarity_score, method_rank FROM vec", ("prs", "file_diffs"),
        ",\n".join([_PLACES_SQL, _TEXT_VECTOR_SQL]))
 def similar_prs_text(t):
-    """Text, embedding and search in one plan."""
-    return sim.vector_top_k(sim.pr_vectors(t("prs"), t("file_diffs")))
+    """Text, embedding and search."""
+    return sim.vector_top_k(cut(sim.pr_vectors(t("prs"), t("file_diffs"))))
 
 
 @query("review_full_text", f"SELECT r.pr_id, rank, file_path, {_RANK_SQL}, coalesce(evidence, '') AS evidence FROM ranked r LEFT JOIN ev ON ev.pr_id = r.pr_id",

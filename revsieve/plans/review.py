@@ -143,7 +143,7 @@ def context(prs: DataFrame, diffs: DataFrame, as_of: Column | None, issues: Data
     to search instead of all vectors.
     """
     if vectors is None and text_vectors:
-        vectors = sim.pr_vectors(prs, diffs)
+        vectors = cut(sim.pr_vectors(prs, diffs))  # made once for the several passes of the search
     near = None
     if vectors is not None:
         near = (sim.vector_top_k(vectors, vector_threshold) if vector_index is None
