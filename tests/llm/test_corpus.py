@@ -219,5 +219,5 @@ def test_pipeline_stage_by_stage(spark):
 
 
 def test_queries_are_registered_by_number():
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14))
     assert set(ORACLE) <= set(QUERIES)
