@@ -3,18 +3,19 @@
 A document's k-mers are its runs of ``K`` words, each labelled with how many equal ones came before it. For each of
 ``SKETCHES`` hash functions, the ``PICK`` labelled k-mers with the least hashes are sampled and kept in the order in
 which they stand in the text: a sketch agrees only if the samples and their order do, which is what edits leave alone
-and rearrangement does not. Two documents that share a sketch are candidates. They are linked if their sets of k-mers
-have a Jaccard similarity of at least ``SIMILAR``, and an alignment of their words, banded to the diagonals that so
-few edits can reach, has an edit similarity (1 - edits / words of the longer one) of at least ``SIMILAR``. At a
-similarity of 0.8 a pair shares no sketch with a probability of 3e-8. Classes are the connected parts of the links.
+and rearrangement does not. Two documents that share a sketch are candidates, if their sets of k-mers also have the Jaccard
+similarity that scattered edits leave at ``SIMILAR`` (0.196 at 0.8). The alignment decides: they are linked if their words, aligned in
+the band of diagonals that so few edits can reach, have an edit similarity (1 - edits / words of the longer one) of at
+least ``SIMILAR``. Edits one by one at random break up to five k-mers each, so a pair at an edit similarity of 0.9 shares
+a sketch with a probability of 0.996, one at 0.85 with 0.81; edits in a row break fewer. Classes are the connected parts of the links.
 
 Equal word sequences are one node from the start. Sketches are joined as a star to the least id of each, never as
 pairs; the connected parts of these candidates are groups. A group of up to ``GROUP_WORDS`` words is resolved in one
 place, over an index of its k-mers, comparing members with those not yet in a class. A larger group is resolved in
 one pass for each sketch: documents that share it are one unit, and documents whose sketch lies in one class already are
 left out. Where a sketch alone is above the limit, its documents first meet its least one, in parts; those that still lie in
-several classes are then joined exactly. Similar texts share one of their rarest k-mers (prefix filter: of n k-mers, the
-first n - SIMILAR n + 1 in one order of all k-mers), and the connected parts of that are compared whole, or, above the limit, every
+several classes are then joined exactly. Candidates share one of their rarest k-mers (prefix filter: of n k-mers, the
+first n - 0.196 n + 1 in one order of all k-mers), and the connected parts of that are compared whole, or, above the limit, every
 part of them with every other one, save where both lie in one class. No pairs are written out.
 
 Defined cases: a document without words (null, empty) is a class of its own; one of fewer than ``K`` words has one k-mer,
@@ -37,7 +38,7 @@ from revsieve.plans.lineage import new_dir
 ship(__name__)
 
 K = 5
-SKETCHES = 24
+SKETCHES = 72
 PICK = 3
 SIMILAR = 0.8
 GROUP_WORDS = 4_000_000
@@ -117,33 +118,57 @@ def sketched(rows: DataFrame, k: int, count: int, pick: int) -> DataFrame:
 def within(a: list, b: list, limit: int) -> bool:
     """Whether at most ``limit`` edits (insert, delete, replace) turn one list into the other.
 
-    For each number of edits, the furthest reach on each diagonal of the band is kept.
+    Columns of the table of edits are bit vectors of the band, which holds ``limit`` diagonals on each side and slides along;
+    the count on the diagonal of the goal never falls, so it ends the search once it is above the limit.
     """
-    n, m = len(a), len(b)
-    if abs(n - m) > limit:
+    if len(a) < len(b):
+        a, b = b, a
+    if len(a) - len(b) > limit:
         return False
-    goal = m - n
-    reach = {}
-    for edits in range(limit + 1):
-        new = {}
-        for d in range(max(-edits, -n), min(edits, m) + 1):
-            if edits == 0:
-                i = 0
-            else:
-                i = max(reach.get(d - 1, -2), reach.get(d, -2) + 1, reach.get(d + 1, -2) + 1)
-                if i < 0:
-                    continue
-            i = min(i, n, m - d)
-            while i < n and i + d < m and a[i] == b[i + d]:
-                i += 1
-            new[d] = i
-        if new.get(goal, -1) >= n:
-            return True
-        reach = new
-    return False
-
-
-def classes(texts: list[str], k: int, similar: float) -> np.ndarray:
+    low, high = 0, 0
+    while low < len(b) and a[low] == b[low]:
+        low += 1
+    while high < len(b) - low and a[-1 - high] == b[-1 - high]:
+        high += 1
+    a, b = a[low : len(a) - high], b[low : len(b) - high]
+    if not b:
+        return len(a) <= limit
+    common = set(b)
+    places: dict = {}
+    for i, w in enumerate(a):
+        if w in common:
+            places.setdefault(w, []).append(i)
+    rows = {}
+    for w, at in places.items():
+        bits = bytearray(at[-1] // 8 + 1)
+        for i in at:
+            bits[i >> 3] |= 1 << (i & 7)
+        rows[w] = int.from_bytes(bits, "little")
+    band = (1 << (2 * limit + 1)) - 1
+    goal = limit + len(a) - len(b)
+    up, down, edits = band >> limit << limit, 0, len(a) - len(b)
+    for j, w in enumerate(b):
+        same = rows.get(w, 0)
+        same = (same << (limit - j) if j < limit else same >> (j - limit)) & band
+        straight = ((((same & up) + up) ^ up) | same | down) & band
+        edits += not straight >> goal & 1
+        if edits > limit:
+            return False
+        right = down | band & ~(straight | up)
+        left = straight & up
+        straight >>= 1
+        up = left | band & ~(straight | right)
+        down = straight & right
+    return True
+
+
+def scattered(similar: float, k: int) -> float:
+    """The Jaccard similarity of k-mers that is left on average when edits, each for itself, spare a share ``similar`` of the words."""
+    left = similar**k
+    return left / (2 - left)
+
+
+def classes(texts: list[str], k: int, similar: float, shared: float) -> np.ndarray:
     """For each of the texts, the place of the first member of its class."""
     known = WordHashes(200_000)
     hashes = [known.high_of(t.encode().split()) for t in texts]
@@ -161,7 +186,7 @@ def classes(texts: list[str], k: int, similar: float) -> np.ndarray:
 
     def words(i):
         if i not in lists:
-            lists[i] = hashes[i].tolist()
+            lists[i] = texts[i].encode().split()
         return lists[i]
 
     grams, owners = index(left)
@@ -178,7 +203,7 @@ def classes(texts: list[str], k: int, similar: float) -> np.ndarray:
             at = np.repeat(low - np.concatenate([[0], np.cumsum(held)[:-1]]), held) + np.arange(held.sum())
             found = owners[at]
             common = np.bincount(found[label[found] < 0], minlength=len(texts))
-            near = np.flatnonzero(common >= similar * (sizes[x] + sizes - common))
+            near = np.flatnonzero(common >= shared * (sizes[x] + sizes - common))
             for y in near[(label[near] < 0) & (common[near] > 0)].tolist():
                 longer = max(len(hashes[x]), len(hashes[y]))
                 if within(words(x), words(y), int((1 - similar) * longer + 1e-9)):
@@ -194,7 +219,7 @@ def classes(texts: list[str], k: int, similar: float) -> np.ndarray:
     return label
 
 
-def resolved(rows: DataFrame, k: int, similar: float) -> DataFrame:
+def resolved(rows: DataFrame, k: int, similar: float, shared: float) -> DataFrame:
     """(doc, label) from rows (unit, doc, words_key, text): the least id of a document's class in its unit."""
     spread = rows.repartition("unit").sortWithinPartitions("unit", "doc")
 
@@ -203,7 +228,7 @@ def resolved(rows: DataFrame, k: int, similar: float) -> DataFrame:
         for i, key in enumerate(keys):
             first.setdefault(key, i)
         places = list(first.values())
-        own = classes([texts[i] for i in places], k, similar)
+        own = classes([texts[i] for i in places], k, similar, shared)
         heads = {key: docs[places[own[j]]] for j, key in enumerate(first)}
         return docs, [heads[key] for key in keys]
 
@@ -248,7 +273,7 @@ def connected(spark: SparkSession, edges: DataFrame) -> DataFrame:
         before = state
 
 
-def large_groups(spark, texts, big: DataFrame, count: int, k: int, similar: float, limit: int) -> DataFrame:
+def large_groups(spark, texts, big: DataFrame, count: int, k: int, similar: float, shared: float, limit: int) -> DataFrame:
     """(doc, label) for documents (doc, part, words_key, n, sketches) of groups above the limit, one sketch at a time.
 
     A sketch above the limit only meets its least document here; ``joined_by_rarest`` does the rest.
@@ -256,16 +281,16 @@ def large_groups(spark, texts, big: DataFrame, count: int, k: int, similar: floa
     label = written(spark, big.select("doc", F.col("doc").alias("label")).distinct(), "labels")
     for at in range(count):
         here = big.withColumn("sketch", F.col("sketches")[at]).drop("sketches").join(label, "doc")
-        shared = here.groupBy("sketch").agg(
+        open_ = here.groupBy("sketch").agg(
             F.min("doc").alias("head"), F.sum("n").alias("words"), F.min("label").alias("low"), F.max("label").alias("high"),
         ).where("low != high").select("sketch", "head", F.greatest(F.lit(1), F.ceil(F.col("words") / limit)).cast("int").alias("parts"))
-        here = here.join(shared, "sketch")
+        here = here.join(open_, "sketch")
         own = F.array(F.pmod(F.xxhash64("doc", F.lit(at)), F.col("parts")).cast("int"))
         slot = F.when(F.col("doc") == F.col("head"), F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(own)
         units = here.withColumn("slot", F.explode(slot)).withColumn("unit", F.xxhash64("sketch", "slot"))
         if units.isEmpty():
             continue
-        found = resolved(units.join(texts, ["doc", "part"]), k, similar)
+        found = resolved(units.join(texts, ["doc", "part"]), k, similar, shared)
         merged = connected(spark, found.select(F.col("doc").alias("a"), F.col("label").alias("b")).unionByName(
             label.select(F.col("doc").alias("a"), F.col("label").alias("b"))))
         label = written(spark, big.select("doc").distinct().join(merged, "doc", "left").select(
@@ -283,8 +308,8 @@ def unmerged(big: DataFrame, label: DataFrame, limit: int) -> DataFrame:
     return big.drop("sketches").join(docs, "doc").join(label, "doc")
 
 
-def rarest(spark: SparkSession, rows: DataFrame, k: int, similar: float) -> DataFrame:
-    """(doc, gram): of each row (doc, text), so many of its rarest k-mers that two similar texts have one in common.
+def rarest(spark: SparkSession, rows: DataFrame, k: int, shared: float) -> DataFrame:
+    """(doc, gram): of each row (doc, text), so many of its rarest k-mers that two texts with a Jaccard similarity of ``shared`` have one in common.
 
     K-mers are ordered by their count in a sample of the documents, then by hash.
     """
@@ -312,7 +337,7 @@ def rarest(spark: SparkSession, rows: DataFrame, k: int, similar: float) -> Data
                 if len(keys):
                     at = np.minimum(np.searchsorted(keys, own), len(keys) - 1)
                     count = np.where(keys[at] == own, values[at], 0)
-                size = len(own) - int(np.ceil(similar * len(own) - 1e-9)) + 1
+                size = len(own) - int(np.ceil(shared * len(own) - 1e-9)) + 1
                 found.append(own[np.lexsort((own, count))[:size]])
                 docs.append(np.full(len(found[-1]), doc, np.int64))
             if docs:
@@ -343,21 +368,21 @@ def paired_parts(docs: DataFrame, limit: int) -> DataFrame:
     return dealt.join(both, ["group", "half"]).select("unit", "doc", "part", "words_key")
 
 
-def joined_by_rarest(spark, texts, big: DataFrame, label: DataFrame, k: int, similar: float, limit: int) -> DataFrame:
+def joined_by_rarest(spark, texts, big: DataFrame, label: DataFrame, k: int, similar: float, shared: float, limit: int) -> DataFrame:
     """The labels after all similar documents that share a sketch above the limit have met."""
     left = written(spark, unmerged(big, label, limit), "unmerged")
     if left.isEmpty():
         return label
-    prefixes = written(spark, rarest(spark, texts.join(left.select("doc", "part"), ["doc", "part"]), k, similar), "rarest")
-    shared = prefixes.groupBy("gram").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).where("least != most")
-    candidates = connected(spark, prefixes.join(shared.drop("most"), "gram").select(F.col("doc").alias("a"), F.col("least").alias("b")))
+    prefixes = written(spark, rarest(spark, texts.join(left.select("doc", "part"), ["doc", "part"]), k, shared), "rarest")
+    held = prefixes.groupBy("gram").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).where("least != most")
+    candidates = connected(spark, prefixes.join(held.drop("most"), "gram").select(F.col("doc").alias("a"), F.col("least").alias("b")))
     groups = candidates.unionByName(candidates.select(F.col("label").alias("doc"), "label").distinct()).distinct().withColumnRenamed("label", "group")
     left = written(spark, left.join(groups, "doc"), "unmerged")
     sizes = left.groupBy("group").agg(F.sum("n").alias("words"), F.min("label").alias("low"), F.max("label").alias("high")).where("low != high")
     sizes = written(spark, sizes.select("group", (F.col("words") > limit).alias("over")), "groups")
     whole = left.join(sizes.where("not over"), "group").select(F.col("group").alias("unit"), "doc", "part", "words_key")
     units = whole.unionByName(paired_parts(left.join(sizes.where("over"), "group").drop("over"), limit))
-    found = resolved(units.join(texts, ["doc", "part"]), k, similar)
+    found = resolved(units.join(texts, ["doc", "part"]), k, similar, shared)
     merged = connected(spark, found.select(F.col("doc").alias("a"), F.col("label").alias("b")).unionByName(
         label.select(F.col("doc").alias("a"), F.col("label").alias("b"))))
     return big.select("doc").distinct().join(merged, "doc", "left").select("doc", F.coalesce("label", "doc").alias("label"))
@@ -365,17 +390,21 @@ def joined_by_rarest(spark, texts, big: DataFrame, label: DataFrame, k: int, sim
 
 def near_classes(
     df: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = K, count: int = SKETCHES, pick: int = PICK,
-    similar: float = SIMILAR, limit: int = GROUP_WORDS,
+    similar: float = SIMILAR, limit: int = GROUP_WORDS, shared: float | None = None,
 ) -> DataFrame:
-    """One row a row of the table: (doc, part, class), class being the least id in it; null ids are ``NO_ID``."""
+    """One row a row of the table: (doc, part, class), class being the least id in it; null ids are ``NO_ID``.
+
+    ``shared`` is the least Jaccard similarity of candidates, by default what ``scattered`` edits leave.
+    """
+    shared = scattered(similar, k) if shared is None else shared
     spark, t = df.sparkSession, F.col(f"`{text}`")
     rows = df.select(F.coalesce(F.col(f"`{doc_id}`").cast("bigint"), F.lit(NO_ID)).alias("doc"), F.xxhash64(t).alias("part"), t.alias("text"))
     narrow = written(spark, sketched(rows, k, count, pick), "sketches")
     copies = narrow.where("n > 0").groupBy("words_key").agg(F.min("doc").alias("doc"))
     heads = narrow.join(copies, ["words_key", "doc"]).dropDuplicates(["words_key"])
     each = heads.select("doc", F.posexplode("sketches").alias("at", "sketch"))
-    shared = each.groupBy("at", "sketch").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).where("least != most")
-    stars = each.join(shared.drop("most"), ["at", "sketch"]).select(F.col("doc").alias("a"), F.col("least").alias("b"))
+    held = each.groupBy("at", "sketch").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).where("least != most")
+    stars = each.join(held.drop("most"), ["at", "sketch"]).select(F.col("doc").alias("a"), F.col("least").alias("b"))
     candidates = connected(spark, stars)
     groups = candidates.unionByName(candidates.select(F.col("label").alias("doc"), "label").distinct()).withColumnRenamed("label", "unit")
     members = written(spark, heads.join(groups, "doc"), "members")
@@ -383,11 +412,12 @@ def near_classes(
     over = sizes.where(F.col("words") > limit).select("unit")
     small = members.join(over, "unit", "left_anti").select("unit", "doc", "part", "words_key")
     small = F.broadcast(small) if members.count() <= BROADCAST_ROWS else small
-    labels = resolved(rows.join(small, ["doc", "part"]), k, similar)
+    labels = resolved(rows.join(small, ["doc", "part"]), k, similar, shared)
     labels = written(spark, labels, "labels")
     if not over.isEmpty():
         big = written(spark, members.join(over, "unit").select("doc", "part", "words_key", "n", "sketches"), "big")
-        labels = labels.unionByName(joined_by_rarest(spark, rows, big, large_groups(spark, rows, big, count, k, similar, limit), k, similar, limit))
+        found = large_groups(spark, rows, big, count, k, similar, shared, limit)
+        labels = labels.unionByName(joined_by_rarest(spark, rows, big, found, k, similar, shared, limit))
     of_words = copies.join(labels.where("doc != label"), "doc").select("words_key", "label")
     return (
         narrow.join(copies.withColumnRenamed("doc", "head"), "words_key", "left").join(of_words, "words_key", "left")

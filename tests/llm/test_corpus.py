@@ -37,7 +37,6 @@ def test_banded_alignment_equals_edit_distance():
 
 def plain_classes(rows):
     words = [(t or "").encode().split() for _, t in rows]
-    sets = [set(zip(*(w[i:] for i in range(5)))) if len(w) >= 5 else {tuple(w)} if w else set() for w in words]
     label = list(range(len(rows)))
 
     def root(i):
@@ -49,9 +48,7 @@ def plain_classes(rows):
         for j in range(i):
             if not words[i] or not words[j] or root(i) == root(j):
                 continue
-            common = len(sets[i] & sets[j])
-            if words[i] == words[j] or (common >= 0.8 * len(sets[i] | sets[j]) and near_copies.within(
-                    words[i], words[j], int(0.2 * max(len(words[i]), len(words[j])) + 1e-9))):
+            if words[i] == words[j] or near_copies.within(words[i], words[j], int(0.2 * max(len(words[i]), len(words[j])) + 1e-9)):
                 label[root(i)] = root(j)
     groups = defaultdict(list)
     for i, (doc, _) in enumerate(rows):
@@ -59,6 +56,53 @@ def plain_classes(rows):
     return Counter((d, min(g)) for g in groups.values() for d in g)
 
 
+def similar_pairs(texts):
+    """Pairs of texts with an edit similarity of 0.8 or more, by an index of words: edits are at least the words of the longer text not in the other."""
+    words, held = [t.encode().split() for t in texts], defaultdict(list)
+    places = []
+    for w in words:
+        seen, own = Counter(), []
+        for x in w:
+            own.append((x, seen[x]))
+            seen[x] += 1
+        places.append(own)
+    sizes, found = np.array(list(map(len, words))), []
+    for i, own in enumerate(places):
+        at = [np.array(held[x]) for x in own if held[x]]
+        common = np.bincount(np.concatenate(at), minlength=len(words)) if at else np.zeros(len(words), int)
+        longer = np.maximum(sizes, sizes[i])
+        for j in np.flatnonzero((common > 0) & (longer - common <= 0.2 * longer + 1e-9)).tolist():
+            if words[i] != words[j] and near_copies.within(words[i], words[j], int(0.2 * longer[j] + 1e-9)):
+                found.append((i, j))
+        for x in own:
+            held[x].append(i)
+    return found
+
+
+def test_recall_against_edit_similarity(spark):
+    """Pairs of the given documents, and pairs of 300 words with scattered edits, by the share of words replaced."""
+    rows = spark.read.parquet(f"{SMALL}/documents.parquet").where("text IS NOT NULL").select("doc_id", "text").orderBy("doc_id").collect()
+    pairs = similar_pairs([r.text for r in rows])
+    label = {r.doc: r["class"] for r in near_copies.near_classes(spark.createDataFrame(rows)).collect()}
+    hit = sum(label[rows[i].doc_id] == label[rows[j].doc_id] for i, j in pairs)
+    print(f"pairs of given documents at an edit similarity of 0.8: {len(pairs)}, linked {hit}")
+    assert pairs and hit >= 0.9 * len(pairs)
+    rng = random.Random(5)
+    made, shares = [], (1, 2, 3, 4, 6, 8, 10, 12, 14, 16, 18)
+    for share in shares:
+        for i in range(40):
+            a = [f"w{rng.randrange(10**6)}" for _ in range(300)]
+            b = list(a)
+            for at in rng.sample(range(300), 3 * share):
+                b[at] = f"w{rng.randrange(10**6)}"
+            made += [(share * 1000 + 2 * i, " ".join(a)), (share * 1000 + 2 * i + 1, " ".join(b))]
+    label = {r.doc: r["class"] for r in near_copies.near_classes(spark.createDataFrame(made, "doc_id long, text string")).collect()}
+    linked = {share: sum(label[share * 1000 + 2 * i + 1] == share * 1000 + 2 * i for i in range(40)) for share in shares}
+    print(f"linked of 40 pairs, by per cent of words replaced: {linked}")
+    assert all(linked[s] == 40 for s in shares if s <= 8) and linked[10] >= 38 and sum(linked.values()) >= 0.9 * 40 * len(shares)
+    assert all(d // 1000 == c // 1000 for d, c in label.items())
+
+
 @pytest.mark.parametrize("limit", [near_copies.GROUP_WORDS, 500])
 def test_near_classes_equal_brute_force(odd, limit):
     rows = [(r.doc_id, r.text) for r in odd.collect()]
@@ -70,10 +114,10 @@ def test_near_copies_in_a_family_meet_apart_from_its_head(spark):
     """Pairs that share a template with all others, but are near copies only of each other; the head is near to none."""
     rng = random.Random(11)
     word = lambda: f"w{rng.randrange(10**6)}"
-    template = [word() for _ in range(120)]
-    rows, want = [(0, " ".join(template + [word() for _ in range(18)]))], {(0, 0)}
+    template = [word() for _ in range(90)]
+    rows, want = [(0, " ".join(template + [word() for _ in range(48)]))], {(0, 0)}
     for i in range(1, 61):
-        own = [word() for _ in range(18)]
+        own = [word() for _ in range(48)]
         rows += [(i, " ".join(template + own)), (100 + i, " ".join(template + own[:-1] + [word()]))]
         want |= {(i, i), (100 + i, i)}
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
