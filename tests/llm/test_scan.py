@@ -130,9 +130,9 @@ def plain_rules(rows, least, share, left):
     texts, first = defaultdict(set), {}
     hosts = defaultdict(set)
     for doc, text, host in rows:
-        hosts[host].add(text or "")
+        hosts[host].add((doc, text or ""))
         for k in keys(text):
-            texts[host, k].add(text)
+            texts[host, k].add((doc, text))
             first[host, k] = min(first.get((host, k), (float("inf"), "")), (float("-inf") if doc is None else doc, text))
     out = []
     for doc, text, host in rows:
