@@ -1,7 +1,9 @@
 """Benchmark items inside documents: size-partitioned min-hash containment search, verified exactly.
 
-Texts are words in lower case, ended by ASCII characters other than letters and digits; shingles are runs of ``K`` words. Items are partitioned by size,
-powers of two of their number of shingles. For each partition a document is cut into windows of two blocks, a block being
+Texts are words in lower case, ended by ASCII characters other than letters and digits; characters of scripts that are written
+without blanks are words of their own. Shingles are runs of ``K`` words; an item of fewer words is one shingle, all its words,
+and is found where a document holds that run. Items are partitioned by size,
+powers of two of their number of shingles (one that repeats shingles counts with and without the repeats). For each partition a document is cut into windows of two blocks, a block being
 as long as the partition's longest item, so that any item lies whole in some window: inside a window, a containment of
 ``CONTAINED`` is a Jaccard similarity of at least 0.19, however long the document. Window and item are candidates if any
 of ``HASHES`` min-hash values agree; a pair at that bound is missed with a probability of 1e-6. Block minima of a larger
@@ -11,7 +13,7 @@ the item's distinct shingles that the whole document holds, as words, not as has
 Items are the query set: they are taken in blocks of at most ``BLOCK_BYTES`` of text, each broadcast by itself; documents
 stay where they are, without a shuffle.
 
-Defined cases: null or short documents (under ``K`` words) hold no item; items with a null text or under ``K`` words are
+Defined cases: null texts hold no item; items with a null text, or under ``K`` words with under ``LEAST_CHARS`` characters in them, are
 too short to tell and are found nowhere; items of equal id are separate rows of the answer; repeated documents get equal
 answers; other columns pass through.
 """
@@ -20,6 +22,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+import re
 from collections import defaultdict
 
 import numpy as np
@@ -37,11 +40,18 @@ HASHES = 64
 CONTAINED = 0.8
 BLOCK_BYTES = 8_000_000
 STRIP = 4096
+LEAST_CHARS = 12  # of an item of fewer than K words
+#: Scripts without blanks: Thai and Lao, Burmese, Khmer, East Asian letters and signs with their punctuation.
+UNSPACED = ((0x0E00, 0x0EFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x2E80, 0x9FFF), (0xF900, 0xFAFF), (0xFF00, 0xFFEF), (0x20000, 0x3FFFF))
+EACH = re.compile("([" + "".join(f"{chr(a)}-{chr(b)}" for a, b in UNSPACED) + "])")
 BLANKS = bytes(b if b > 127 or chr(b).isalnum() else 32 for b in range(256))
 
 
 def words_of(text: str | None) -> list[bytes]:
-    return (text or "").lower().encode().translate(BLANKS).split()
+    text = (text or "").lower()
+    if not text.isascii():
+        text = EACH.sub(r" \1 ", text)
+    return text.encode().translate(BLANKS).split()
 
 
 def runs(words: list[bytes], k: int) -> set[tuple[bytes, ...]]:
@@ -51,8 +61,9 @@ def runs(words: list[bytes], k: int) -> set[tuple[bytes, ...]]:
 class Items:
     """Index of one block of items."""
 
-    def __init__(self, rows: list[tuple[int, str]], k: int, hashes: int):
+    def __init__(self, rows: list[tuple[int, str]], k: int, hashes: int, least_chars: int):
         self.k = k
+        self.short: dict[int, dict[tuple[bytes, ...], list[int]]] = {}
         self.factors = np.array(
             [int.from_bytes(hashlib.blake2b(b"%d" % i, digest_size=8).digest(), "little") | 1 for i in range(hashes)], np.uint64)
         known = WordHashes()
@@ -61,12 +72,20 @@ class Items:
         for item_id, text in rows:
             words = words_of(text)
             if len(words) < k:
+                if words and len(b"".join(words).decode()) >= least_chars:
+                    self.short.setdefault(len(words), {}).setdefault(tuple(words), []).append(len(self.ids))
+                    self.ids.append(item_id)
+                    self.shingles.append({tuple(words)})
                 continue
             shingles = runs(words, k)
             grams = stirred(np.unique(joined(known.high_of(words), k)))
-            by_size[len(shingles).bit_length()].append((len(self.ids), self.minima(grams[:, None])[:, 0]))
+            own = self.minima(grams[:, None])[:, 0]
+            for size in {len(shingles).bit_length(), (len(words) - k + 1).bit_length()}:  # two where shingles repeat
+                by_size[size].append((len(self.ids), own))
             self.ids.append(item_id)
             self.shingles.append(shingles)
+        self.short_hashes = {
+            n: np.unique(np.concatenate([joined(known.high_of(list(run)), n) for run in held])) for n, held in self.short.items()}
         self.tables = {}
         for size, members in by_size.items():
             values = np.concatenate([self.salted(m[:, None])[:, 0] for _, m in members])
@@ -112,11 +131,23 @@ class Items:
             minima, owner = np.minimum(minima[:, ::2], minima[:, 1::2]), owner[::2]
         return found
 
+    def held_whole(self, hashes: np.ndarray, words: list[bytes]) -> list[int]:
+        """The short items that stand in a text."""
+        found: set[int] = set()
+        for n, wanted in self.short_hashes.items():
+            own = joined(hashes, n)
+            at = np.minimum(np.searchsorted(wanted, own), len(wanted) - 1)
+            for i in np.flatnonzero(wanted[at] == own).tolist():
+                found.update(self.short[n].get(tuple(words[i : i + n]), ()))
+        return sorted(found)
+
     def leaks(self, known: WordHashes, texts: list[str | None], contained: float) -> list[list[dict]]:
         """For each text, the items that it holds."""
         words = [words_of(t) for t in texts]
-        found = self.candidates([stirred(joined(known.high_of(w), self.k)) for w in words])
-        answers: list[list[dict]] = [[] for _ in texts]
+        hashes = [known.high_of(w) for w in words]
+        found = self.candidates([stirred(joined(h, self.k)) for h in hashes])
+        answers: list[list[dict]] = [
+            [{"item_id": self.ids[i], "shingles": 1, "found": 1} for i in self.held_whole(h, w)] for h, w in zip(hashes, words)]
         held: dict[int, set] = {}
         for doc, i in sorted(found):
             if doc not in held:
@@ -129,7 +160,7 @@ class Items:
 
 def with_leaks(
     df: DataFrame, items: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", leaks: str = "leaks",
-    k: int = K, hashes: int = HASHES, contained: float = CONTAINED, block_bytes: int = BLOCK_BYTES,
+    k: int = K, hashes: int = HASHES, contained: float = CONTAINED, block_bytes: int = BLOCK_BYTES, least_chars: int = LEAST_CHARS,
 ) -> DataFrame:
     """The table with a list of (item_id, shingles of the item, shingles found) for the items each document holds."""
     spark = df.sparkSession
@@ -143,7 +174,7 @@ def with_leaks(
     entry = pa.list_(pa.struct([("item_id", pa.int64()), ("shingles", pa.int64()), ("found", pa.int64())]))
     for block in range(blocks):
         rows = items.where(F.pmod(F.xxhash64("id", "text"), F.lit(blocks)) == block).orderBy("id", "text").collect()
-        index = share(spark, Items([(r[0], r[1]) for r in rows], k, hashes))
+        index = share(spark, Items([(r[0], r[1]) for r in rows], k, hashes, least_chars))
 
         def run(batches, index=index):
             known, own = WordHashes(), index()
@@ -173,12 +204,23 @@ def op6_containment_search(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "l.item_id", F.col("l.shingles").alias("n_shingles"), F.col("l.found").alias("n_found"))
 
 
-def _shingles(table: str, key: str) -> str:
-    return f"""SELECT DISTINCT {key}, array_to_string(w[i:i + {K - 1}], ' ') AS s FROM (SELECT {key}, w, unnest(range(1, greatest(len(w) - {K - 1}, 0) + 1)) AS i
-    FROM (SELECT {key}, regexp_extract_all(lower(text), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM {table}))"""
+_EACH = "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in UNSPACED)
+_WORD = f"[{_EACH}]|[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F{_EACH}]+"
+
+
+def _words(table: str, key: str) -> str:
+    return f"SELECT {key}, regexp_extract_all(lower(text), '{_WORD}') AS w FROM {table}"
+
+
+def _shingles(words: str, key: str) -> str:
+    return f"SELECT DISTINCT {key}, array_to_string(w[i:i + n - 1], ' ') AS s FROM (SELECT {key}, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM {words})"
 
 
-OP6_SQL = f"""WITH i AS ({_shingles('benchmark', 'item_id')}), d AS ({_shingles('documents', 'doc_id')}),
+OP6_SQL = f"""WITH iw AS (SELECT item_id, w, least(len(w), {K}) AS n FROM ({_words('benchmark', 'item_id')})
+    WHERE len(w) >= {K} OR len(w) > 0 AND length(array_to_string(w, '')) >= {LEAST_CHARS}),
+sizes AS (SELECT DISTINCT n FROM iw),
+dw AS (SELECT doc_id, w, n FROM ({_words('documents', 'doc_id')}), sizes WHERE len(w) >= n),
+i AS ({_shingles('iw', 'item_id')}), d AS ({_shingles('dw', 'doc_id')}),
 n AS (SELECT item_id, count(*) AS n_shingles FROM i GROUP BY 1),
 f AS (SELECT doc_id, item_id, count(*) AS n_found FROM i JOIN d USING (s) GROUP BY 1, 2)
 SELECT doc_id, item_id, n_shingles, n_found FROM f JOIN n USING (item_id) WHERE n_found >= {CONTAINED} * n_shingles"""

@@ -18,6 +18,7 @@ answers; other columns pass through.
 from __future__ import annotations
 
 import math
+from collections import deque
 
 import ahocorasick
 import numpy as np
@@ -32,6 +33,9 @@ ship(__name__)
 SAMPLE = 400
 ROUNDS = 3
 KEPT = 300_000
+LONG = 200  # bytes of a word that is not remembered
+SHORT = 40  # letters whose sums stay far from the least double
+STEP = 12  # letters between two rescalings
 RARE = 1e-7  # probability of a character that is no piece
 EDGE = "▁"  # marks the start of a word in the vocabulary
 BLANKS = bytes(b if b > 127 or chr(b).isalpha() else 32 for b in range(256))
@@ -62,6 +66,7 @@ class Segmenter:
         self.automaton.make_automaton()
         self.languages = chances.shape[1]
         self.letters = {n for n in names if len(n) == 1}
+        self.longest = max(map(len, names), default=1)
 
     def total(self, word: str) -> list[float]:
         """Sums of the segmentations of a whole word."""
@@ -95,26 +100,67 @@ class Segmenter:
             sums.append(total)
         return sums, arcs
 
+    def arcs_by_end(self, word: str, low: int, high: int) -> list[list[tuple[int, str | None, list[float]]]]:
+        """For each end in (low, high], the pieces that end there: (letters, piece, probabilities)."""
+        start, rare = max(0, low - self.longest), [RARE] * self.languages
+        ends: list[list] = [[] for _ in range(high - low)]
+        for end, (size, name, row) in self.automaton.iter(word[start:high]):
+            if start + end >= low:
+                ends[start + end - low].append((size, name, row))
+        for found in ends:
+            if not any(size == 1 for size, _, _ in found):
+                found.append((1, None, rare))
+        return ends
+
     def log_sum(self, word: str) -> list[float]:
-        """log of the sum over segmentations for each language; long words are taken in parts of 60 letters."""
-        text, out = EDGE + word, [0.0] * self.languages
-        for low in range(0, len(text), 60):
-            out = [o + math.log(max(x, 1e-300)) for o, x in zip(out, self.total(text[low : low + 60]))]
-        return out
+        """log of the sum over all segmentations for each language; in long words the sums are rescaled on the way."""
+        text = EDGE + word
+        if len(text) <= SHORT:
+            return [math.log(x) for x in self.total(text)]
+        logs, recent = [0.0] * self.languages, deque([[1.0] * self.languages], self.longest)
+        for low in range(0, len(text), STEP):
+            for found in self.arcs_by_end(text, low, min(low + STEP, len(text))):
+                total = [0.0] * self.languages
+                for size, _, row in found:
+                    total = [t + s * p for t, s, p in zip(total, recent[-size], row)]
+                recent.append(total)
+            scale = [max(sums) for sums in zip(*recent)]
+            logs = [x + math.log(s) for x, s in zip(logs, scale)]
+            recent = deque(([x / s for x, s in zip(sums, scale)] for sums in recent), self.longest)
+        return [x + math.log(s) for x, s in zip(logs, recent[-1])]
 
     def expected(self, word: str, language: int) -> list[tuple[str, float]]:
         """Expected number of uses of each piece in a word of one language."""
         text = EDGE + word
-        found = []
-        for low in range(0, len(text), 60):
-            sums, arcs = self.forward(text[low : low + 60])
-            back = [0.0] * len(sums)
-            back[-1] = 1.0
-            for at, end, _, row in reversed(arcs):
-                back[at] += row[language] * back[end]
-            whole = max(sums[-1][language], 1e-300)
-            found += [(name, sums[at][language] * row[language] * back[end] / whole) for at, end, name, row in arcs if name]
-        return found
+        if len(text) > SHORT:
+            return self.expected_in_long(text, language)
+        sums, arcs = self.forward(text)
+        back = [0.0] * len(sums)
+        back[-1] = 1.0
+        for at, end, _, row in reversed(arcs):
+            back[at] += row[language] * back[end]
+        whole = sums[-1][language]
+        return [(name, sums[at][language] * row[language] * back[end] / whole) for at, end, name, row in arcs if name]
+
+    def expected_in_long(self, text: str, language: int) -> list[tuple[str, float]]:
+        """The same by logarithms, with the pieces of one stretch of the word at a time in memory."""
+        n, stretch = len(text), 4096
+        sums, back, uses = np.zeros(n + 1), np.full(n + 1, -np.inf), {}
+        for low in range(0, n, stretch):
+            for end, found in enumerate(self.arcs_by_end(text, low, min(low + stretch, n)), low + 1):
+                logs = [sums[end - size] + math.log(row[language]) for size, _, row in found]
+                top = max(logs)
+                sums[end] = top + math.log(sum(math.exp(x - top) for x in logs))
+        back[n] = 0.0
+        for low in range((n - 1) // stretch * stretch, -1, -stretch):
+            ends = self.arcs_by_end(text, low, min(low + stretch, n))
+            for end in range(low + len(ends), low, -1):
+                for size, name, row in ends[end - low - 1]:
+                    path = math.log(row[language]) + back[end]
+                    back[end - size] = np.logaddexp(back[end - size], path)
+                    if name:
+                        uses[name] = uses.get(name, 0.0) + math.exp(sums[end - size] + path - sums[n])
+        return list(uses.items())
 
 
 def sampled_words(df: DataFrame, text: str, label: str, order: Column, sample: int) -> DataFrame:
@@ -189,9 +235,10 @@ def identified(
                 words = words_of(value)
                 if len(known) > KEPT:
                     known.clear()
+                own = {}
                 for w in set(words).difference(known):
-                    known[w] = segmenter.log_sum(w.decode("utf-8", "replace"))
-                total = np.array([known[w] for w in words]).sum(axis=0) if words else np.zeros(len(languages))
+                    (known if len(w) <= LONG else own)[w] = segmenter.log_sum(w.decode("utf-8", "replace"))
+                total = np.array([known[w] if w in known else own[w] for w in words]).sum(axis=0) if words else np.zeros(len(languages))
                 best = int(total.argmax())
                 answers.append(languages[best])
                 scores.append(float(1.0 / np.exp(total - total[best]).sum()))

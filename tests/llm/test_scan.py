@@ -3,6 +3,8 @@
 import re
 from collections import Counter, defaultdict
 
+import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -72,6 +74,32 @@ def test_forward_pass_sums_all_segmentations():
             assert abs(sum(len(n) * u for n, u in s.expected(word, k)) - len(word) - 1) < 1e-9
 
 
+def test_sums_of_long_words_are_whole():
+    """Words of 160 letters and more against plain recursions in logarithms, letters outside the vocabulary among them."""
+    rng = np.random.default_rng(4)
+    names = ["a", "b", "▁", "ab", "ba", "aab", "bbab", "▁a", "abababab"]
+    chances = rng.random((len(names), 2)) * 1e-4
+    s = language.Segmenter(names, chances)
+    for size in (39, 40, 41, 160, 1000, 9000):
+        word = "".join("abc"[i] for i in rng.choice(3, size, p=[0.6, 0.35, 0.05]))
+        text = "▁" + word
+        for k in range(2):
+            logs, count = [0.0], [[0.0, 0.0]]
+            for end in range(1, len(text) + 1):
+                here = [(np.log(chances[i, k]), n) for i, n in enumerate(names) if text.endswith(n, 0, end)]
+                if not any(len(n) == 1 for _, n in here):
+                    here.append((np.log(language.RARE), text[end - 1]))
+                each = [(logs[end - len(n)] + p, n) for p, n in here]
+                logs.append(np.logaddexp.reduce([x for x, _ in each]))
+                # uses of "ab" and of "a" over all segmentations of the prefix
+                count.append([sum(np.exp(x - logs[-1]) * (count[end - len(n)][j] + (n == ("ab", "a")[j])) for x, n in each) for j in range(2)])
+            assert abs(s.log_sum(word)[k] - logs[-1]) < 1e-9 * size
+            uses = Counter()
+            for name, n in s.expected(word, k):
+                uses[name] += n
+            assert np.allclose([uses["ab"], uses["a"]], count[-1], rtol=1e-8)
+
+
 def test_quality_on_held_out_labels(spark, odd, empty):
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
     got = ranking_quality.op5_bradley_terry(spark, "/root/testdata/sf0.01").join(labels, "doc_id").where("held_out").collect()
@@ -88,6 +116,8 @@ def test_quality_on_held_out_labels(spark, odd, empty):
 
 def held(text, item, k):
     doc, own = decontaminate.words_of(text), decontaminate.words_of(item)
+    if 0 < len(own) < k:
+        k = len(own) if len(b"".join(own).decode()) >= decontaminate.LEAST_CHARS else k
     own = decontaminate.runs(own, k)
     return len(own), len(own & decontaminate.runs(doc, k))
 
@@ -96,7 +126,7 @@ def test_leaks_equal_brute_force(spark, odd, empty):
     rows = odd.collect()
     long = max((r.text or "" for r in rows), key=len).split(" ")
     items = [(1, " ".join(long[20_000:20_040])), (2, " ".join(long[5:11])), (3, "too short"), (4, None), (None, " ".join(long[300:700])), (5, "not in any of these documents at all"),
-             (6, " ".join(long[900:930]).upper() + "!"), (6, " ".join(long[50:60] + ["other"] * 30)), (7, rows[4].text)]
+             (8, " ".join(long[70:74])), (9, " ".join(long[80:82])), (9, "no"), (6, " ".join(long[900:930]).upper() + "!"), (6, " ".join(long[50:60] + ["other"] * 30)), (7, rows[4].text)]
     table = spark.createDataFrame([(i, t, "x") for i, t in items], "item_id long, text string, leaks string")
     for block in (8_000_000, 700):
         got = Counter((r.text, x.item_id, x.shingles, x.found) for r in decontaminate.with_leaks(odd, table, block_bytes=block).collect() for x in r.leaks)
@@ -113,6 +143,20 @@ def test_leaks_equal_brute_force(spark, odd, empty):
     assert decontaminate.without_leaks(odd, table.limit(0)).count() == odd.count()
 
 
+def test_short_items_and_items_without_blanks_are_found(spark):
+    rng = np.random.default_rng(3)
+    body = " ".join(f"w{i}" for i in rng.integers(0, 10**6, 300))
+    chinese = "".join(chr(0x4E00 + i) for i in rng.integers(0, 3000, 200))
+    docs = spark.createDataFrame([(1, body + " Capital of Mongolia? " + body), (2, chinese), (3, body), (4, "mongolia of capital")], "doc_id long, text string")
+    items = spark.createDataFrame([(1, "capital of mongolia"), (2, chinese[60:90]), (3, chinese[10:15]), (4, chinese[20:23]), (5, chinese[::-1][:30])], "item_id long, text string")
+    got = {(r.doc_id, x.item_id) for r in decontaminate.with_leaks(docs, items).collect() for x in r.leaks}
+    assert got == {(1, 1), (2, 2), (2, 3)}
+    found = duckdb.connect()
+    found.register("documents", docs.toPandas())
+    found.register("benchmark", items.toPandas())
+    assert {r[:2] for r in found.execute(decontaminate.OP6_SQL).fetchall()} == got
+
+
 def base(text):
     words = WORD.findall(text or "")
     seen = Counter(zip(words, words[1:], words[2:]))
