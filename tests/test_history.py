@@ -93,6 +93,20 @@ def test_hot_file_does_not_pair_everything(spark):
     assert {r.other_number for r in got.select("other_number").distinct().collect()} == set(range(2990, 3000))
 
 
+@pytest.mark.parametrize("same", [True, False])
+def test_six_hot_files_of_all_pair_no_pull_requests(spark, monkeypatch, same):
+    """Equal sets count as one, and sets of up to eight hot files are not paired on any of them."""
+    rng = random.Random(5)
+    edges = [(f"o/r#{p}", p, f"f{f}") for p in range(400) for f in (range(6) if same else rng.sample(range(12), 6))]
+    met = []
+    counted = hist.counted_pairs
+    monkeypatch.setattr(hist, "counted_pairs", lambda df: (met.append(df.count()), counted(df))[1])
+    df = spark.createDataFrame(edges, "pr_id string, pr_number bigint, file_path string")
+    got = {(r.pr_id, r.other_id, r.common_files, r.overlap_rank) for r in hist.common_file_counts(df, 10, 20).collect()}
+    assert got == _brute(edges, 10)
+    assert met[0] <= 400
+
+
 def test_closed_prs_equal_a_plain_loop(spark):
     rng = random.Random(4)
     edges = _edges(rng, 60, 0.6)
