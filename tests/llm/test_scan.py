@@ -114,6 +114,22 @@ def test_quality_on_held_out_labels(spark, odd, empty):
     assert ranking_quality.ranked(empty, docs, small).count() == 0
 
 
+def test_quality_learns_from_every_label(spark, monkeypatch):
+    """All labelled rows are fitted, in several groups, and the cut is the quantile of them all."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    rows = ranking_quality.training_rows(docs, labels, "text", "doc_id", "quality").collect()
+    assert {r.doc for r in rows} == {r.doc_id for r in labels.where("quality IS NOT NULL").join(docs, "doc_id").collect()}
+    found = ranking_quality.fitted(docs, labels, "text", "doc_id", "quality", 8, group=100)
+    x = np.array([r.measures for r in rows])
+    assert np.allclose(found.middle, x.mean(axis=0)) and np.allclose(found.spread, x.std(axis=0) + 1e-9)
+    assert abs(found.cut - np.quantile(found.strengths(x), np.mean([not r.good for r in rows]))) < 1e-9
+    values = [*np.random.default_rng(1).normal(size=3000), *[0.5] * 2000, -1e6, 1e6]
+    df = spark.createDataFrame([(float(v),) for v in values], "v double")
+    for q in (0.0, 0.3, 0.4321, 0.7, 1.0):
+        assert abs(ranking_quality.quantile(df, q, few=20) - np.quantile(values, q)) < 1e-9
+
+
 def held(text, item, k):
     doc, own = decontaminate.words_of(text), decontaminate.words_of(item)
     if 0 < len(own) < k:
