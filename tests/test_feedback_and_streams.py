@@ -122,3 +122,20 @@ def test_review_plan_has_no_python_and_no_cartesian(spark, diffs_of):
     plan = rv.review(diffs_of(("p", 1, "a.py", "python", "modified", 1, "+x")))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
     assert "WindowGroupLimit" in plan
+
+
+def test_directory_patterns_are_looked_up_without_a_join_of_the_findings(spark, monkeypatch):
+    def joined(*_):
+        raise AssertionError("findings are matched by a join")
+
+    monkeypatch.setattr(fb, "match_patterns", joined)
+    found = spark.createDataFrame(
+        [("r", 1, "src/a/x.py", "security", 0.5), ("r", 2, "src/b.py", "security", 0.5), ("r", 3, "src/a/x.py", "bug", 0.5), ("r", 4, None, "bug", 0.5)],
+        "pr_id string, line_start int, file_path string, category string, confidence double")
+    learned = spark.createDataFrame(
+        [("security", "^src/a/", 0.7, True), ("security", "^src/", 1.2, True), ("security", "^src/", 0.5, False), ("bug", "^lib/", 0.1, True)],
+        "category string, file_pattern string, confidence_multiplier double, should_apply boolean").withColumns({
+            "pattern_id": F.lit("p"), "code_pattern": F.lit(None).cast("string"), "conf_min": F.lit(None).cast("double"),
+            "conf_max": F.lit(None).cast("double")})
+    got = {r.line_start: round(r.confidence, 6) for r in fb.apply_patterns(found, learned, ["pr_id", "line_start"]).collect()}
+    assert got == {1: 0.42, 2: 0.6, 3: 0.5, 4: 0.5}
