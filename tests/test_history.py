@@ -284,3 +284,13 @@ def test_documents_are_cut_by_bytes(spark):
     for r in big:
         assert len(r.files) <= 100 and sum(32 + len(f.file_path) + len(f.diff) for f in r.files[:-1]) <= 4000
     assert len(big) > 10 and all(r.part == 0 for r in got if r.pr_id != "big")
+
+
+def test_parts_of_lists_are_neither_repeated_nor_sent_through_the_driver(spark):
+    """20,001 or more numbered rows in several parts: each meets its part by key, without copies for salts."""
+    rows = spark.range(21_000).select(F.concat(F.lit("p"), (F.col("id") % 7000).cast("string")).alias("pr_id"), F.col("id").cast("int").alias("file_ord"),
+                                      F.repeat(F.lit("x"), 60).alias("file_path"))
+    nested = report.listed(rows, ["pr_id"], ["file_ord"], ["file_path"], "files", part_bytes=100)
+    plan = nested._jdf.queryExecution().executedPlan().toString()
+    assert "_salt" not in plan and "BroadcastHashJoin" not in plan
+    assert nested.agg(F.sum(F.size("files"))).first()[0] == 21_000 and nested.count() > 7000
