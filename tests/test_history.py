@@ -294,3 +294,18 @@ def test_parts_of_lists_are_neither_repeated_nor_sent_through_the_driver(spark):
     plan = nested._jdf.queryExecution().executedPlan().toString()
     assert "_salt" not in plan and "BroadcastHashJoin" not in plan
     assert nested.agg(F.sum(F.size("files"))).first()[0] == 21_000 and nested.count() > 7000
+
+
+def test_issues_that_many_name_go_to_every_task(spark):
+    """Whatever Spark guesses of the sizes, the few issues that are named at all are broadcast; unknown ones drop out, repeats stay."""
+    prs = spark.createDataFrame([("p", "o", "n", "#1 and #2 and #1 and #9"), ("q", "o", "n", "#1"), ("r", "o", "n", None)],
+                                "pr_id string, repo_owner string, repo_name string, description string")
+    issues = spark.createDataFrame([("1", "a"), ("2", "b"), ("3", "c")], "issue_id string, title string")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+        found = hist.related_issues(prs, issues, by_repo=False)
+        assert "BroadcastHashJoin" in found._jdf.queryExecution().executedPlan().toString()
+        assert sorted((r.pr_id, r.ref_ord, r.title) for r in found.collect()) == [("p", 0, "a"), ("p", 1, "b"), ("p", 2, "a"), ("q", 0, "a")]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
