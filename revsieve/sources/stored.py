@@ -40,9 +40,10 @@ class StoredTable:
         self._written(self.with_bucket(rows.select(*self.columns)).withColumn("_load", F.lit(load).cast("bigint")), f"{self.folder}/rows", "append")
 
     def upsert(self, rows: DataFrame, load: int) -> None:
-        """Add the rows and compact the buckets that they belong to."""
+        """Add the rows and compact the buckets that they belong to, which the table tells, so that rows are made only once."""
         self.append(rows, load)
-        self.compact(self.touched(rows), f"load-{load}")
+        loaded = self.versions().where(F.col("_load") == load).select("_bucket").distinct()
+        self.compact(sorted(r[0] for r in loaded.collect()), f"load-{load}")
 
     def versions(self, buckets: list[int] | None = None) -> DataFrame:
         """All stored versions, of some buckets only if these are named."""
@@ -73,12 +74,13 @@ class StoredTable:
             self._written(self._newest(self.versions(buckets)), f"{aside}/rows", "overwrite")
             self.spark.range(1).write.mode("overwrite").parquet(f"{aside}/whole")
         kept = self.spark.read.schema(f"{self.schema}, _load bigint, _bucket int").parquet(f"{aside}/rows")
-        self._written(kept, f"{self.folder}/rows", "overwrite")
+        self._written(kept, f"{self.folder}/rows", "overwrite", together=True)
         self._path(aside)[0].delete(self._path(aside)[1], True)
 
-    def _written(self, rows: DataFrame, folder: str, mode: str) -> None:
-        """Rows of a bucket lie together, in several files if they are many; an overwrite replaces the buckets that it has."""
-        rows.hint("rebalance", "_bucket").write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy("_bucket").parquet(folder)
+    def _written(self, rows: DataFrame, folder: str, mode: str, together: bool = False) -> None:
+        """Rows of a bucket lie together, in several files if they are many, and are brought together unless they come so; an overwrite replaces
+        the buckets that it has."""
+        (rows if together else rows.hint("rebalance", "_bucket")).write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy("_bucket").parquet(folder)
 
     def _path(self, folder: str):
         path = self.spark._jvm.org.apache.hadoop.fs.Path(folder)
