@@ -130,3 +130,20 @@ def test_review_stream_reads_only_touched_buckets(spark, diffs_of, monkeypatch):
     got = sinks.current_reviews(spark, folder).select(*columns)
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.select(*columns).collect()))
     assert "o/r#9" not in {r.pr_id for r in got.collect()}
+
+
+def test_a_load_makes_its_rows_once(spark, tmp_path):
+    """The buckets to compact are read from the table, so the rows are worked out for the append only."""
+    made = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            made.add(batch.num_rows)
+            yield batch
+
+    table = StoredTable(spark, str(tmp_path / "once"), "k bigint, v bigint", ["k"], buckets=4)
+    rows = spark.range(100).selectExpr("id % 60 AS k", "id AS v").coalesce(1).mapInArrow(counted, "k bigint, v bigint")
+    table.upsert(rows, 1)
+    table.upsert(rows.where("k < 10"), 2)
+    assert made.value == 200
+    assert table.read().count() == 60
