@@ -74,13 +74,14 @@ class StoredTable:
             self._written(self._newest(self.versions(buckets)), f"{aside}/rows", "overwrite")
             self.spark.range(1).write.mode("overwrite").parquet(f"{aside}/whole")
         kept = self.spark.read.schema(f"{self.schema}, _load bigint, _bucket int").parquet(f"{aside}/rows")
-        self._written(kept, f"{self.folder}/rows", "overwrite", together=True)
+        self._written(kept, f"{self.folder}/rows", "overwrite")
         self._path(aside)[0].delete(self._path(aside)[1], True)
 
-    def _written(self, rows: DataFrame, folder: str, mode: str, together: bool = False) -> None:
-        """Rows of a bucket lie together, in several files if they are many, and are brought together unless they come so; an overwrite replaces
-        the buckets that it has."""
-        (rows if together else rows.hint("rebalance", "_bucket")).write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy("_bucket").parquet(folder)
+    def _written(self, rows: DataFrame, folder: str, mode: str) -> None:
+        """Rows of a bucket lie together, in several files if they are many; an overwrite replaces the buckets that it has."""
+        from_aside = mode == "overwrite" and folder == f"{self.folder}/rows"  # where they lie together already
+        (rows if from_aside else rows.hint("rebalance", "_bucket")).write.mode(mode).option(
+            "partitionOverwriteMode", "dynamic").partitionBy("_bucket").parquet(folder)
 
     def _path(self, folder: str):
         path = self.spark._jvm.org.apache.hadoop.fs.Path(folder)
