@@ -139,3 +139,13 @@ def test_directory_patterns_are_looked_up_without_a_join_of_the_findings(spark,
             "conf_max": F.lit(None).cast("double")})
     got = {r.line_start: round(r.confidence, 6) for r in fb.apply_patterns(found, learned, ["pr_id", "line_start"]).collect()}
     assert got == {1: 0.42, 2: 0.6, 3: 0.5, 4: 0.5}
+
+
+def test_category_records_are_worked_out_once(spark):
+    """The check of their size and the join with the findings read the finished rows; the feedback is grouped once."""
+    grouped = spark.createDataFrame([("bug",)] * 6, "category string").groupBy("category").agg((F.count("*") / 5).alias("multiplier"))
+    found = spark.createDataFrame([("p", "a", 1, "bug", 0.5), ("p", "b", 1, "style", 0.5)],
+                                  "pr_id string, file_path string, line_start int, category string, confidence double")
+    got = fb.apply_category_multipliers(found, grouped)
+    assert "Aggregate" not in got._jdf.queryExecution().optimizedPlan().toString()
+    assert {(r.category, r.confidence) for r in got.collect()} == {("bug", 0.6), ("style", 0.5)}
