@@ -45,6 +45,13 @@ def test_common_files_equal_all_pairs_for_any_degree_limit(spark):
         assert got == want, max_degree
 
 
+def test_subsets_of_hot_files_are_not_broadcast(spark):
+    """The planner counts the sets, not their many subsets, which would all go to the driver."""
+    own = spark.range(3).selectExpr("id AS pr", "sequence(0L, 7L) AS over", "sequence(0L, 7L) AS hot")
+    plan = hist._hot_partners(own, 10, 8, 10)._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" in plan and "Broadcast" not in plan
+
+
 def test_common_counts_are_symmetric_without_a_limit(spark):
     edges = _edges(random.Random(2), 30, 0.5)
     df = spark.createDataFrame(edges, "pr_id string, pr_number bigint, file_path string")
