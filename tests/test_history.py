@@ -230,6 +230,30 @@ def test_evidence_order(spark):
         "Related to issue #7: Error x", "Similar files modified in PR #3: T"]
 
 
+def test_files_of_the_history_are_read_once(spark, monkeypatch):
+    """Files with and without the removed ones come from one reading; the rankings of similar pull requests share one shuffle."""
+    from revsieve.plans import review as rv
+
+    rows = [("p", "a", "added"), ("p", "a", "removed"), ("p", "b", "removed"), ("p", "c", None), ("q", "a", "modified"), ("q", "a", "added")]
+    diffs = spark.createDataFrame(rows, "pr_id string, file_path string, status string")
+    both = hist.touched_files(diffs)
+    pairs = lambda df: sorted((r.pr_id, r.file_path) for r in df.collect())
+    assert pairs(both) == pairs(hist.pr_file_edges(diffs, keep_removed=True))
+    assert pairs(both.where("live")) == pairs(hist.pr_file_edges(diffs)) == [("p", "a"), ("q", "a")]
+    read = []
+    monkeypatch.setattr(hist, "pr_file_edges", lambda *a, **k: read.append(a))
+    prs = spark.createDataFrame([(f"o/r#{i}", i, "o", "r", "t", "closed", i) for i in range(3)],
+                                "pr_id string, pr_number long, repo_owner string, repo_name string, title string, state string, day int")
+    prs = prs.withColumn("created_at", F.timestamp_seconds(F.col("day") * 86400)).drop("day")
+    diffs = spark.createDataFrame([(f"o/r#{i}", "f", "added", "") for i in range(3)], "pr_id string, file_path string, status string, diff string")
+    found = rv.context(prs, diffs, F.timestamp_seconds(F.lit(3 * 86400)))
+    assert read == []
+    assert sorted((r.pr_id, r.other_number) for r in found["closed"].collect()) == [(f"o/r#{i}", j) for i in range(3) for j in range(3)]
+    overlap = spark.createDataFrame([("p", "q", 1, 0.5, 1, 2)], "pr_id string, other_id string, other_number long, similarity_score double, method_rank int, common_files int")
+    plan = hist.merge_similar(prs, overlap)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1, plan
+
+
 def test_latest_version(spark):
     df = spark.createDataFrame([("a", 1, 1), ("a", 3, 2), ("a", 2, 3), ("b", 1, 4)], "pr_id string, updated_at int, version_id int")
     assert {(r.pr_id, r.version_id) for r in hist.latest_versions(df).collect()} == {("a", 2), ("b", 4)}
